@@ -81,10 +81,11 @@ def with_next(docs: DataFrame, columns: list[str], rows: int, per_part: int = 10
     is_first = F.col("doc_id").isNull() if probe["nulls"] else F.col("doc_id") == F.lit(probe["lo"])
     ghost = F.when(is_first, F.lit(len(bounds))).when(F.col("doc_id").isin(bounds) if bounds else F.lit(False), bucket - 1)
     dealt = docs.withColumn("_at", F.explode(F.when(ghost.isNotNull(), F.array(own, F.struct(ghost.alias("bucket"), F.lit(True).alias("ghost")))).otherwise(F.array(own))))
-    w = Window.partitionBy("_at.bucket").orderBy("_at.ghost", "doc_id", *columns)
-    for c in columns:
-        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(w))
-    return dealt.where(~F.col("_at.ghost")).drop("_at")
+    dealt = dealt.select(*docs.columns, F.col("_at.bucket").alias("_bucket"), F.col("_at.ghost").alias("_ghost"))
+    # one specification for all, else each column gets an exchange of its own
+    w = Window.partitionBy("_bucket").orderBy("_ghost", "doc_id", *columns)
+    led = dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    return led.where(~F.col("_ghost")).drop("_bucket", "_ghost")
 
 
 def fingerprint_edits(docs: DataFrame, rows: int | None = None) -> DataFrame:
