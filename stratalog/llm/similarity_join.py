@@ -13,8 +13,8 @@ A document's set is its distinct 5-word shingles (64-bit hashes); two documents
    postings at once by counting, where a heap would take them one by one), and the long ones are probed by binary
    search for the documents that can still reach the required overlap.
 5. Linked documents are joined into components (large-star, small-star, all by joins). Lists that still hold
-   several components go on with a next centre, or with all their pairs across components when they are short, until
-   no list is left. So every link between different components is found, and none needs all pairs within a group.
+   several components go on: short lists with all their pairs across components, long ones with more centres each
+   round, until no list is left. So every link between different components is found, and none needs all pairs within a group.
 
 Nulls and texts without words have empty sets: alone in their component. Fewer than k words are one shingle.
 """
@@ -35,8 +35,8 @@ SHARE, OF = 80, 100
 HOT_SHINGLES = 200_000
 #: Documents that a search block holds.
 BLOCK_DOCS = 128
-#: Lists up to this many documents give all their pairs across components after the first rounds.
-SHORT_LIST = 24
+#: Lists up to this many documents give all their pairs across components after the first round.
+SHORT_LIST = 256
 #: A list counts as long where it has at least 1 / LONG of a block's documents.
 LONG = 4
 
@@ -269,33 +269,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shared = stored(posted.join(lists, "shingle"), "join-lists")
     shared = shared.join(copies.where("doc_id = first").select("doc_id"), "doc_id", "left_semi")
     texts = _rows(docs).repartition(width, "doc_id")
-    links, known, step = None, None, 0
+    known, step = None, 0
     while True:
         if known is not None:
             shared = shared.drop("root").join(known, shared["doc_id"] == known["node"], "left").select("shingle", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
         else:
             shared = shared.withColumn("root", F.col("doc_id"))
-        about = shared.groupBy("shingle").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("m > 1 and r1 < r2")
-        shared = stored(shared.join(about.select("shingle", "centre", "m"), "shingle"), f"join-lists-{step}")
+        about = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("m > 1 and r1 < r2")
+        shared = stored(shared.join(about.select("shingle", "m"), "shingle"), f"join-lists-{step}")
         if shared.isEmpty():
             break
+        # the first round has one centre a list; later ones take short lists whole and eight times as many centres of long ones
+        short = F.lit(False) if step == 0 else F.col("m") <= SHORT_LIST
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(1 if step == 0 else 2 * 8**step))
+        heads = shared.where(~short).groupBy("shingle", salt.alias("salt")).agg(F.min(F.struct("doc_id", "n", "root")).alias("head"))
+        heads = heads.select("shingle", F.col("head.doc_id").alias("centre"), F.col("head.n").alias("cn"), F.col("head.root").alias("croot"))
+        every = shared.where(short).select("shingle", F.col("doc_id").alias("centre"), F.col("n").alias("cn"), F.col("root").alias("croot"))
         near = (F.col("n") * OF >= F.col("cn") * SHARE) & (F.col("cn") * OF >= F.col("n") * SHARE) & (F.col("root") != F.col("croot"))
-        heads = shared.where("doc_id = centre").select("shingle", F.col("n").alias("cn"), F.col("root").alias("croot"))
-        star = shared.where(f"doc_id != centre and (m > {SHORT_LIST} or {step} = 0)").join(heads, "shingle").where(near).select("centre", F.col("doc_id").alias("other")).distinct()
-        pairs = star
-        if step:
-            small = shared.where(f"m <= {SHORT_LIST}")
-            left = small.select("shingle", F.col("doc_id").alias("c"), F.col("n").alias("cn"), F.col("root").alias("croot"))
-            every = small.join(left, "shingle").where("c < doc_id").where(near).select(F.col("c").alias("centre"), F.col("doc_id").alias("other"))
-            pairs = star.unionByName(every).distinct()
-        pairs = stored(pairs, f"join-pairs-{step}")
+        apart = (F.col("doc_id") != F.col("centre")) & (~short | (F.col("centre") < F.col("doc_id")))
+        asked = shared.join(heads.unionByName(every), "shingle").where(near & apart)
+        pairs = stored(asked.select("centre", F.col("doc_id").alias("other")).distinct(), f"join-pairs-{step}")
         found = stored(verify(pairs, texts, width), f"join-links-{step}")
-        links = found if links is None else links.unionByName(found)
-        known = components(links)
-        known = stored(known, "join-components")
-        # a centre has met its whole list; short lists have met all their pairs after the first round
-        done = f"m <= {SHORT_LIST}" if step else "false"
-        shared = shared.where(f"doc_id != centre and not ({done})").select("shingle", "doc_id", "n", "root")
+        if not found.isEmpty():
+            # what is linked already is carried by its root
+            more = found if known is None else found.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            known = stored(components(more), "join-components")
+        # a centre has met its whole list, and short lists have met all their pairs
+        rest = shared.where(~short).select("shingle", "doc_id", "n", "root")
+        shared = rest.join(heads.select("shingle", F.col("centre").alias("doc_id")), ["shingle", "doc_id"], "left_anti")
         step += 1
     roots = copies if known is None else copies.join(known, copies["first"] == known["node"], "left").select("doc_id", F.coalesce("root", "first").alias("first"))
     out = digests.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(roots.groupBy("doc_id").agg(F.min("first").alias("component_id")), "doc_id", "left")
