@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bytes of text that the vectorised stages hold as numpy arrays at once (a longer document is one chunk).
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 600_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -36,13 +36,13 @@ POOLED = "*"
 BROADCAST_IDS = 2_000_000
 
 #: Byte to symbol; 0 is the padding before a text.
-CLASS = np.array([1 if b in (9, 10, 11, 12, 13, 32) else b - 31 if 33 <= b <= 126 else 96 + (b & 31) if b >= 128 else 1 for b in range(256)], np.int64)
+CLASS = np.array([1 if b in (9, 10, 11, 12, 13, 32) else b - 31 if 33 <= b <= 126 else 96 + (b & 31) if b >= 128 else 1 for b in range(256)], np.int32)
 
 
 def keys_of(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
     """The n-gram ending at each byte; before a document's first byte stands padding."""
     s = CLASS[data]
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    place = (np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))).astype(np.int32)
     out = s.copy()
     for j in range(1, order):
         shifted = np.zeros_like(s)
@@ -143,7 +143,7 @@ class Dense:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy, its standard error) of each document."""
         keys = keys_of(data, offsets)
-        lp = -self.logp[self.row[keys // SYMBOLS].astype(np.int64) * SYMBOLS + keys % SYMBOLS].astype(np.float64)
+        lp = -self.logp[self.row[keys // SYMBOLS] * SYMBOLS + keys % SYMBOLS].astype(np.float64)
         n = np.diff(offsets)
         s1 = np.concatenate([[0], np.cumsum(lp)])
         s2 = np.concatenate([[0], np.cumsum(lp * lp)])
@@ -207,7 +207,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
         def run(batches, shard=shard):
             for batch in batches:
                 langs = batch.column("_lm_lang").to_pylist()
-                data, offs = binary_parts(batch.column("_lm_body"))
+                data, offs = binary_parts(batch.column("text"))  # a null is an empty slice
                 score, error = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
                 lang_of = np.array(langs, dtype=object)
                 for lang in sorted(set(langs)):
@@ -223,7 +223,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
                         score[mine[a:b]], error[mine[a:b]] = m.score(flat[cut[a] : cut[b]], cut[a : b + 1] - cut[a])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(fields))), pa.array(score), pa.array(error)], names=[*fields, "_lm_score", "_lm_error"])
 
-        part = docs.withColumns({"_lm_lang": F.coalesce("lang", F.lit("")), "_lm_body": text_bytes()})
+        part = docs.withColumn("_lm_lang", F.coalesce("lang", F.lit("")))
         if len(model.langs) > 1:
             own = F.col("_lm_lang").isin(sorted(langs))
             part = part.where(own | ~F.col("_lm_lang").isin(sorted(named)) if i == 0 else own)
