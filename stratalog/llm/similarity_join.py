@@ -37,6 +37,8 @@ HOT_SHINGLES = 200_000
 BLOCK_DOCS = 128
 #: Lists up to this many documents give all their pairs across components after the first round.
 SHORT_LIST = 256
+#: Ids of documents to be searched that are broadcast at most (8 bytes each), so that only their texts are shuffled.
+BROADCAST_IDS = 2_000_000
 #: A list counts as long where it has at least 1 / LONG of a block's documents.
 LONG = 4
 
@@ -187,6 +189,10 @@ def search_block(centre: np.ndarray, others: list[np.ndarray]) -> list[int]:
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The pairs (centre, other) that link. `texts`: doc_id, body; hot centres are searched in blocks of documents."""
+    asked = pairs.select(F.explode(F.array("centre", "other")).alias("doc_id")).distinct()
+    if asked.count() <= BROADCAST_IDS:  # only their texts are shuffled; beyond it every text is
+        texts = texts.join(F.broadcast(asked), "doc_id", "left_semi")
+    texts = texts.repartition(width, "doc_id")
     sizes = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("asked"))
     blocks = F.expr(f"cast(ceil(asked / {BLOCK_DOCS}) as int)")
     centres = sizes.join(texts, sizes["centre"] == texts["doc_id"]).select("centre", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(None).cast("long").alias("other"), "body")
@@ -268,7 +274,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lists = posted.groupBy("shingle").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("shingle")
     shared = stored(posted.join(lists, "shingle"), "join-lists")
     shared = shared.join(copies.where("doc_id = first").select("doc_id"), "doc_id", "left_semi")
-    texts = _rows(docs).repartition(width, "doc_id")
+    texts = _rows(docs)
     known, step = None, 0
     while True:
         if known is not None:
