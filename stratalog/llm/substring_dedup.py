@@ -271,8 +271,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
 
     Columns and rows stay; a text that loses nothing keeps its spacing, and a null text stays null.
     """
-    found = deduplicate(spark, docs, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("kept").alias("_kept")).dropDuplicates(["_doc"])
-    out = docs.join(found, docs["doc_id"] == F.col("_doc"), "left").withColumn("text", F.coalesce("_kept", "text"))
+    found = deduplicate(spark, docs, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("_stratalog_doc"), F.col("kept").alias("_stratalog_kept")).dropDuplicates(["_stratalog_doc"])
+    out = docs.join(found, docs["doc_id"] == F.col("_stratalog_doc"), "left").withColumn("text", F.coalesce("_stratalog_kept", "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("_stratalog_kept").isNotNull(), F.length("_stratalog_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
