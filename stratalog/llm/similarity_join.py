@@ -6,15 +6,18 @@ A document's set is its distinct 5-word shingles (64-bit hashes); two documents
 2. Prefix filter: in one global order of shingles (rare before frequent, then by hash), linked sets share a shingle
    among the first n - ceil(0.8 n) + 1 of each. Frequent shingles are counted over all documents in the tasks and
    the hottest are broadcast (HOT_SHINGLES at most); the order only steers cost, any order gives the same links.
-3. The prefixes are the inverted lists. A list names its smallest document as centre; each other document on it is
-   searched against the centre, never against all the others.
-4. T-occurrence search (DivideSkip) answers a centre over a block of the documents that asked for it: inverted lists
+3. The prefixes are the inverted lists, one of those with the same documents. A list names its smallest document as
+   centre; each other document on it is searched against the centre, never against all the others.
+4. Each set has a sketch: the parities of how many of its shingles fall on each of some 2.5 n bits. Two sets differ in
+   at least as many shingles as their sketches in bits, so candidates whose sketches differ too much go, and no link does.
+5. T-occurrence search (DivideSkip) answers a centre over a block of the documents that asked for it: inverted lists
    of the block's shingles that the centre has are divided into long and short ones, the short ones are merged (all
    postings at once by counting, where a heap would take them one by one), and the long ones are probed by binary
    search for the documents that can still reach the required overlap.
-5. Linked documents are joined into components (large-star, small-star, all by joins). Lists that still hold
-   several components go on: short lists with all their pairs across components, long ones with more centres each
-   round, until no list is left. So every link between different components is found, and none needs all pairs within a group.
+6. Linked documents are joined into components (large-star, small-star, all by joins). Lists that still hold
+   several components go on: the sketches of short lists are compared with each other in memory and those of long
+   lists, dealt in blocks, with more centres each round, until no list is left. Only documents of different components
+   whose sketches are near enough become rows, so every link between different components is found.
 
 Nulls and texts without words have empty sets: alone in their component. Fewer than k words are one shingle.
 """
@@ -35,8 +38,10 @@ SHARE, OF = 80, 100
 HOT_SHINGLES = 200_000
 #: Documents that a search block holds.
 BLOCK_DOCS = 128
-#: Lists up to this many documents give all their pairs across components after the first round.
-SHORT_LIST = 256
+#: Lists up to this many documents are compared whole after the first round; longer ones in blocks of as many.
+SHORT_LIST = 1024
+#: Bits of a set's sketch: a power of two from 2.5 for each shingle, within these. Lists carry the least.
+SKETCH_BITS = 512, 32_768
 #: Ids of documents to be searched that are broadcast at most (8 bytes each), so that only their texts are shuffled.
 BROADCAST_IDS = 2_000_000
 #: A list counts as long where it has at least 1 / LONG of a block's documents.
@@ -81,8 +86,43 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (last axis) cut down to `words` 64-bit words: a bit is the parity of those that fall on it."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def sketches(v: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
+    """For each set, its size and the words of its sketch."""
+    n = np.diff(cut)
+    least, most = SKETCH_BITS
+    words = (np.clip(2 ** np.ceil(np.log2(np.maximum(2.5 * n, 1))), least, most) // 64).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(words + 1)])
+    flat = np.zeros(base[-1], np.uint64)
+    at = np.repeat(base[:-1] + 1, n) + ((v & np.repeat(words * 64 - 1, n).astype(np.uint64)) >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(flat, at, np.uint64(1) << (v & np.uint64(63)))
+    flat[base[:-1]] = n
+    return [flat[i:j] for i, j in zip(base[:-1], base[1:], strict=True)]
+
+
+def near_sketches(centre: np.ndarray, others: list[np.ndarray]) -> list[int]:
+    """Indices of the sketches whose sets may link with the centre's."""
+    out = []
+    sizes = np.array([len(x) for x in others])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        some = np.stack([others[i] for i in at])
+        words = min(size, len(centre)) - 1
+        apart = np.bitwise_count(folded(some[:, 1:], words) ^ folded(centre[1:], words)).sum(1, dtype=np.int64)
+        n_a, n_b = int(centre[0]), some[:, 0].astype(np.int64)
+        out.extend(at[apart <= n_a + n_b - 2 * needed(n_a, n_b)].tolist())
+    return out
+
+
 def set_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, d1, d2: size and 128-bit digest of each set."""
+    """doc_id, n_shingles, d1, d2 (size and 128-bit digest of each set), sketch, and least (it cut down, without the size)."""
 
     def run(batches):
         for batch in batches:
@@ -90,9 +130,11 @@ def set_digests(docs: DataFrame) -> DataFrame:
             for a, b in chunks(offs):
                 v, cut = sets_of(data[offs[a] : offs[b]], offs[a : b + 1])
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(v + np.uint64(s)))]) for s in (1, 2)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(cut)), *(pa.array((x[cut[1:]] - x[cut[:-1]]).view(np.int64)) for x in sums)], names=["doc_id", "n_shingles", "d1", "d2"])
+                bits = sketches(v, cut)
+                least = [folded(x[1:], SKETCH_BITS[0] // 64).tobytes() for x in bits]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(cut)), *(pa.array((x[cut[1:]] - x[cut[:-1]]).view(np.int64)) for x in sums), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(least, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sketch", "least"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    return _rows(docs).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, least binary")
 
 
 def frequent_shingles(docs: DataFrame, most: int = HOT_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
@@ -187,57 +229,126 @@ def search_block(centre: np.ndarray, others: list[np.ndarray]) -> list[int]:
     return [int(i) for i in live if have[i] >= need[i]]
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (centre, other) that link. `texts`: doc_id, body; hot centres are searched in blocks of documents."""
-    asked = pairs.select(F.explode(F.array("centre", "other")).alias("doc_id")).distinct()
-    if asked.count() <= BROADCAST_IDS:  # only their texts are shuffled; beyond it every text is
-        texts = texts.join(F.broadcast(asked), "doc_id", "left_semi")
-    texts = texts.repartition(width, "doc_id")
+def _read_sets(data: np.ndarray, offs: np.ndarray):
+    for a, b in chunks(offs):
+        v, cut = sets_of(data[offs[a] : offs[b]], offs[a : b + 1])
+        for i in range(b - a):
+            yield v[cut[i] : cut[i + 1]]
+
+
+def _read_sketches(data: np.ndarray, offs: np.ndarray):
+    for a, b in zip(offs[:-1], offs[1:], strict=True):
+        yield data[a:b].view(np.uint64)
+
+
+def _searched(pairs: DataFrame, bodies: DataFrame, width: int, read, search) -> DataFrame:
+    """The pairs (centre, other) that `search` finds, as a, b. `bodies`: doc_id, body; hot centres go in blocks of documents."""
     sizes = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("asked"))
     blocks = F.expr(f"cast(ceil(asked / {BLOCK_DOCS}) as int)")
-    centres = sizes.join(texts, sizes["centre"] == texts["doc_id"]).select("centre", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(None).cast("long").alias("other"), "body")
+    centres = sizes.join(bodies, sizes["centre"] == bodies["doc_id"]).select("centre", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(None).cast("long").alias("other"), "body")
     others = pairs.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("other"), blocks).cast("int"))
-    others = others.join(texts, others["other"] == texts["doc_id"]).select("centre", "block", "other", "body")
+    others = others.join(bodies, others["other"] == bodies["doc_id"]).select("centre", "block", "other", "body")
 
-    def flush(centre_id, centre, ids, sets):
-        found = search_block(centre, sets)
-        return [centre_id] * len(found), [ids[i] for i in found]
+    def found(state) -> pa.RecordBatch:
+        (centre, _), centre_bodies, ids, held = state
+        hit = sorted({ids[i] for own in centre_bodies for i in search(own, held)}) if held else []
+        return pa.RecordBatch.from_arrays([pa.array([centre] * len(hit), pa.int64()), pa.array(hit, pa.int64())], names=["a", "b"])
 
     def run(batches):
-        state = None  # (key, centre's set, ids, sets) of the group that is being read
+        state = None  # (key, centre's bodies, ids, bodies) of the group that is being read
         for batch in batches:
-            out: tuple[list[int], list[int]] = ([], [])
-
-            def done(s, out=out):
-                if s and s[2]:
-                    c, o = flush(s[0][0], s[1], s[2], s[3])
-                    out[0].extend(c)
-                    out[1].extend(o)
-
             centre, block, other = (batch.column(c).to_pylist() for c in ("centre", "block", "other"))
-            data, offs = binary_parts(batch.column("body"))
-            for a, b in chunks(offs):
-                v, cut = sets_of(data[offs[a] : offs[b]], offs[a : b + 1])
-                for i in range(a, b):
-                    own = v[cut[i - a] : cut[i - a + 1]]
-                    if state is None or state[0] != (centre[i], block[i]):
-                        done(state)
-                        state = ((centre[i], block[i]), own, [], [])
-                    if other[i] is not None:
-                        state[2].append(other[i])
-                        state[3].append(own)
-                    if len(state[2]) >= 2 * BLOCK_DOCS:
-                        done(state)
-                        state = (state[0], state[1], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
-        if state and state[2]:
-            c, o = flush(state[0][0], state[1], state[2], state[3])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(o, pa.int64())], names=["a", "b"])
+            for i, own in enumerate(read(*binary_parts(batch.column("body")))):
+                if state is None or state[0] != (centre[i], block[i]):
+                    if state:
+                        yield found(state)
+                    state = ((centre[i], block[i]), [], [], [])
+                if other[i] is None:
+                    state[1].append(own)
+                else:
+                    state[2].append(other[i])
+                    state[3].append(own)
+                if len(state[2]) >= 2 * BLOCK_DOCS:
+                    yield found(state)
+                    state = (state[0], state[1], [], [])
+        if state:
+            yield found(state)
 
     grouped = centres.unionByName(others).repartition(width, "centre", "block").sortWithinPartitions("centre", "block", F.col("other").asc_nulls_first())
     return grouped.mapInArrow(run, "a long, b long")
 
 
+def _asked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The bodies of the documents in the pairs; beyond BROADCAST_IDS of those, all."""
+    ids = pairs.select(F.explode(F.array("centre", "other")).alias("doc_id")).distinct()
+    return bodies.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else bodies
+
+
+def may_link(pairs: DataFrame, digests: DataFrame, width: int) -> DataFrame:
+    """The pairs (centre, other) whose sketches allow a link."""
+    bodies = _asked(pairs, digests.select("doc_id", F.col("sketch").alias("body")))
+    return _searched(pairs, bodies, width, _read_sketches, near_sketches).select(F.col("a").alias("centre"), F.col("b").alias("other"))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs (centre, other) that link, as a, b. `texts`: doc_id, body."""
+    return _searched(pairs, _asked(pairs, texts).repartition(width, "doc_id"), width, _read_sets, search_block)
+
+
+def near_in_lists(members: DataFrame, heads: DataFrame, width: int) -> DataFrame:
+    """centre, other: documents of one list and different roots whose sketches allow a link.
+
+    `members`: shingle, m (its length), doc_id, n, root, least; `heads`: the same, the centres of lists over SHORT_LIST.
+    """
+    count = F.expr(f"cast(ceil(m / {SHORT_LIST}) as int)")
+    columns = ["shingle", "block", "head", "doc_id", "n", "root", "least"]
+    dealt = members.withColumn("block", F.when(F.col("m") <= SHORT_LIST, 0).otherwise(F.pmod(F.xxhash64("doc_id"), count)).cast("int")).withColumn("head", F.lit(False))
+    every = heads.withColumn("block", F.explode(F.sequence(F.lit(0), count - 1))).withColumn("head", F.lit(True))
+    rows = dealt.select(*columns).unionByName(every.select(*columns))
+
+    def compare(head, doc, n, root, bits):
+        if head.any():
+            left, right = np.flatnonzero(head), np.flatnonzero(~head)
+        else:
+            left = right = np.arange(len(doc))
+        for a in range(0, len(left), 64):
+            some = left[a : a + 64]
+            apart = np.zeros((len(some), len(right)), np.int32)
+            for word in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[some, word][:, None] ^ bits[right, word][None, :])
+            both = n[some][:, None] + n[right][None, :]
+            near = (apart <= both - 2 * needed(n[some][:, None], n[right][None, :])) & (root[some][:, None] != root[right][None, :])
+            if left is right:
+                near &= doc[some][:, None] < doc[right][None, :]
+            i, j = np.nonzero(near)
+            yield doc[some[i]], doc[right[j]]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, _ = binary_parts(batch.column("least"))
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns[:-1]]
+            now.append(data.view(np.uint64).reshape(batch.num_rows, -1))
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            starts = np.flatnonzero(np.concatenate([[True], (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])]))
+            out = [pair for a, b in zip(starts[:-1], starts[1:], strict=True) for pair in compare(*(x[a:b] for x in now[2:]))]
+            held = [x[starts[-1] :].copy() for x in now]
+            yield from emit(out)
+        if held is not None:
+            yield from emit(list(compare(*held[2:])))
+
+    def emit(out):
+        if out:
+            pairs = np.unique(np.stack([np.concatenate([x[k] for x in out]) for k in (0, 1)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["centre", "other"])
+
+    grouped = rows.repartition(width, "shingle", "block").sortWithinPartitions("shingle", "block")
+    return grouped.mapInArrow(run, "centre long, other long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each component of the edges (a, b); nodes without edges are left out.
 
@@ -281,20 +392,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
             shared = shared.drop("root").join(known, shared["doc_id"] == known["node"], "left").select("shingle", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
         else:
             shared = shared.withColumn("root", F.col("doc_id"))
-        about = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("m > 1 and r1 < r2")
+        which = [F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))).alias("y")]
+        about = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2"), *which).where("m > 1 and r1 < r2")
+        # lists of the same documents ask the same
+        about = about.groupBy("m", "r1", "r2", "x", "y").agg(F.min("shingle").alias("shingle"))
         shared = stored(shared.join(about.select("shingle", "m"), "shingle"), f"join-lists-{step}")
         if shared.isEmpty():
             break
         # the first round has one centre a list; later ones take short lists whole and eight times as many centres of long ones
         short = F.lit(False) if step == 0 else F.col("m") <= SHORT_LIST
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(1 if step == 0 else 2 * 8**step))
-        heads = shared.where(~short).groupBy("shingle", salt.alias("salt")).agg(F.min(F.struct("doc_id", "n", "root")).alias("head"))
-        heads = heads.select("shingle", F.col("head.doc_id").alias("centre"), F.col("head.n").alias("cn"), F.col("head.root").alias("croot"))
-        every = shared.where(short).select("shingle", F.col("doc_id").alias("centre"), F.col("n").alias("cn"), F.col("root").alias("croot"))
-        near = (F.col("n") * OF >= F.col("cn") * SHARE) & (F.col("cn") * OF >= F.col("n") * SHARE) & (F.col("root") != F.col("croot"))
-        apart = (F.col("doc_id") != F.col("centre")) & (~short | (F.col("centre") < F.col("doc_id")))
-        asked = shared.join(heads.unionByName(every), "shingle").where(near & apart)
-        pairs = stored(asked.select("centre", F.col("doc_id").alias("other")).distinct(), f"join-pairs-{step}")
+        heads = shared.where(~short).groupBy("shingle", salt.alias("salt")).agg(F.min(F.struct("doc_id", "n", "root", "m")).alias("head"))
+        heads = heads.select("shingle", "head.*")
+        if step == 0:
+            centres = heads.select("shingle", F.col("doc_id").alias("centre"), F.col("n").alias("cn"))
+            near = (F.col("n") * OF >= F.col("cn") * SHARE) & (F.col("cn") * OF >= F.col("n") * SHARE) & (F.col("doc_id") != F.col("centre"))
+            asked = shared.join(centres, "shingle").where(near).select("centre", F.col("doc_id").alias("other"))
+        else:
+            least = digests.select("doc_id", "least")
+            asked = near_in_lists(shared.join(least, "doc_id"), heads.join(least, "doc_id"), width)
+        asked = stored(asked.distinct(), f"join-asked-{step}")
+        pairs = stored(may_link(asked, digests, width), f"join-pairs-{step}")
         found = stored(verify(pairs, texts, width), f"join-links-{step}")
         if not found.isEmpty():
             # what is linked already is carried by its root
@@ -302,7 +420,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
             known = stored(components(more), "join-components")
         # a centre has met its whole list, and short lists have met all their pairs
         rest = shared.where(~short).select("shingle", "doc_id", "n", "root")
-        shared = rest.join(heads.select("shingle", F.col("centre").alias("doc_id")), ["shingle", "doc_id"], "left_anti")
+        shared = rest.join(heads.select("shingle", "doc_id"), ["shingle", "doc_id"], "left_anti")
         step += 1
     roots = copies if known is None else copies.join(known, copies["first"] == known["node"], "left").select("doc_id", F.coalesce("root", "first").alias("first"))
     out = digests.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(roots.groupBy("doc_id").agg(F.min("first").alias("component_id")), "doc_id", "left")

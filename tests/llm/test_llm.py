@@ -98,6 +98,42 @@ def test_jaccard_join(spark, short, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(d, len(s), find(d)) for d, s in sets.items()}
 
 
+@pytest.mark.parametrize("short", [1024, 16])
+def test_jaccard_join_of_a_drifting_group(spark, short, monkeypatch):
+    """Copies of one text that drift apart: lists hold several components, so later rounds are needed."""
+    monkeypatch.setattr(similarity_join, "SHORT_LIST", short)
+    rng, texts = random.Random(4), []
+    base = [f"v{i}" for i in range(200)]
+    for i in range(120):
+        w = list(texts[rng.randrange(len(texts))]) if texts and i % 3 else list(base)
+        for _ in range(rng.choice([1, 2, 3, 6])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts.append(w)
+    sets, root = [shingles(" ".join(w)) for w in texts], list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(texts)]
+    got = similarity_join.near_duplicates(spark, frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(sets))}
+    assert len(set(map(find, range(len(sets))))) > 2
+
+
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(0)
+    for n in (3, 150, 2500, 20000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - n // 10], rng.integers(0, 2**63, n // 10 * 2 % max(n // 10, 1)).astype(np.uint64)])
+        far = rng.integers(0, 2**63, n).astype(np.uint64)
+        v = [np.unique(x) for x in (a, b, far)]
+        s = similarity_join.sketches(np.concatenate(v), np.concatenate([[0], np.cumsum([len(x) for x in v])]))
+        assert 0 in similarity_join.near_sketches(s[0], [s[1], s[2]])
+        assert n < 100 or 1 not in similarity_join.near_sketches(s[0], [s[1], s[2]])
+
+
 @pytest.mark.parametrize("hot", [2000, 1])
 def test_substring_dedup(spark, hot, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", hot)
