@@ -8,8 +8,9 @@ A document's set is its distinct 5-word shingles (64-bit hashes); two documents
    the hottest are broadcast (HOT_SHINGLES at most); the order only steers cost, any order gives the same links.
 3. The prefixes are the inverted lists, one of those with the same documents. A list names its smallest document as
    centre; each other document on it is searched against the centre, never against all the others.
-4. Each set has a sketch: the parities of how many of its shingles fall on each of some 2.5 n bits. Two sets differ in
-   at least as many shingles as their sketches in bits, so candidates whose sketches differ too much go, and no link does.
+4. Each set has a sketch: the parities of how many of its shingles fall on each of some 10 n bits. Two sets differ in
+   at least as many shingles as their sketches in bits, so candidates whose sketches differ too much go, and no link
+   does. A sketch folds to a smaller one; the folded ones are compared first, and the texts move only for what is left.
 5. T-occurrence search (DivideSkip) answers a centre over a block of the documents that asked for it: inverted lists
    of the block's shingles that the centre has are divided into long and short ones, the short ones are merged (all
    postings at once by counting, where a heap would take them one by one), and the long ones are probed by binary
@@ -40,8 +41,10 @@ HOT_SHINGLES = 200_000
 BLOCK_DOCS = 128
 #: Lists up to this many documents are compared whole after the first round; longer ones in blocks of as many.
 SHORT_LIST = 1024
-#: Bits of a set's sketch: a power of two from 2.5 for each shingle, within these. Lists carry the least.
-SKETCH_BITS = 512, 32_768
+#: Bits of a set's sketch: a power of two from 10 for each shingle, within these. Lists carry the least.
+SKETCH_BITS = 512, 262_144
+#: Candidates meet first with sketches of a quarter of the bits (but the least), those left with the whole ones.
+COARSE = 4
 #: Ids of documents to be searched that are broadcast at most (8 bytes each), so that only their texts are shuffled.
 BROADCAST_IDS = 2_000_000
 #: A list counts as long where it has at least 1 / LONG of a block's documents.
@@ -98,7 +101,7 @@ def sketches(v: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
     """For each set, its size and the words of its sketch."""
     n = np.diff(cut)
     least, most = SKETCH_BITS
-    words = (np.clip(2 ** np.ceil(np.log2(np.maximum(2.5 * n, 1))), least, most) // 64).astype(np.int64)
+    words = (np.clip(2 ** np.ceil(np.log2(np.maximum(10 * n, 1))), least, most) // 64).astype(np.int64)
     base = np.concatenate([[0], np.cumsum(words + 1)])
     flat = np.zeros(base[-1], np.uint64)
     at = np.repeat(base[:-1] + 1, n) + ((v & np.repeat(words * 64 - 1, n).astype(np.uint64)) >> np.uint64(6)).astype(np.int64)
@@ -121,8 +124,14 @@ def near_sketches(centre: np.ndarray, others: list[np.ndarray]) -> list[int]:
     return out
 
 
+def coarse(sketch: np.ndarray) -> np.ndarray:
+    """A sketch (size first) folded to 1 / COARSE of its bits, or the least."""
+    words = max(SKETCH_BITS[0] // 64, (len(sketch) - 1) // COARSE)
+    return np.concatenate([sketch[:1], folded(sketch[1:], words)])
+
+
 def set_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (size and 128-bit digest of each set), sketch, and least (it cut down, without the size)."""
+    """doc_id, n_shingles, d1, d2 (size and 128-bit digest of each set), sketch, coarse (it folded), and least (the smallest, without the size)."""
 
     def run(batches):
         for batch in batches:
@@ -132,9 +141,9 @@ def set_digests(docs: DataFrame) -> DataFrame:
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(v + np.uint64(s)))]) for s in (1, 2)]
                 bits = sketches(v, cut)
                 least = [folded(x[1:], SKETCH_BITS[0] // 64).tobytes() for x in bits]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(cut)), *(pa.array((x[cut[1:]] - x[cut[:-1]]).view(np.int64)) for x in sums), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(least, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sketch", "least"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(cut)), *(pa.array((x[cut[1:]] - x[cut[:-1]]).view(np.int64)) for x in sums), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([coarse(x).tobytes() for x in bits], pa.binary()), pa.array(least, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sketch", "coarse", "least"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, least binary")
+    return _rows(docs).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, coarse binary, least binary")
 
 
 def frequent_shingles(docs: DataFrame, most: int = HOT_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +170,7 @@ def frequent_shingles(docs: DataFrame, most: int = HOT_SHINGLES) -> tuple[np.nda
         v, n = merge()
         yield pa.RecordBatch.from_arrays([pa.array(v[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["shingle", "n"])
 
-    counted = _rows(docs).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.where("n > 4").orderBy(F.desc("n"), "shingle").limit(most).toArrow()  # bounded by `most`
     v, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(v)
@@ -169,7 +178,7 @@ def frequent_shingles(docs: DataFrame, most: int = HOT_SHINGLES) -> tuple[np.nda
 
 
 def prefixes(docs: DataFrame, hot) -> DataFrame:
-    """shingle, doc_id, n of each set's prefix in the global order; n is the set's size."""
+    """shingle, doc_id, n, hot of each set's prefix in the global order; n is the set's size, hot says that `hot` has the shingle."""
 
     def run(batches):
         hot_v, hot_n = hot.value
@@ -187,10 +196,42 @@ def prefixes(docs: DataFrame, hot) -> DataFrame:
                 order = np.lexsort((v, rank, of))
                 place = np.arange(len(v)) - np.repeat(cut[:-1], n)
                 keep = place < np.repeat(prefix_length(n), n)
-                v, of = v[order][keep], of[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(ids[of]), pa.array(n[of - a].astype(np.int32))], names=["shingle", "doc_id", "n"])
+                v, rank, of = v[order][keep], rank[order][keep], of[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(ids[of]), pa.array(n[of - a].astype(np.int32)), pa.array(rank > 0)], names=["shingle", "doc_id", "n", "hot"])
+
+    return docs.mapInArrow(run, "shingle long, doc_id long, n int, hot boolean")
+
 
-    return _rows(docs).mapInArrow(run, "shingle long, doc_id long, n int")
+def shared_lists(posted: DataFrame, width: int) -> DataFrame:
+    """shingle, doc_id, n of the postings whose shingle is posted more than once; those of hot shingles all stay.
+
+    One shuffle: the others meet by shingle, sorted, and a list of one goes. Hot shingles are known to be shared, so
+    their postings need not meet here and are dealt by document.
+    """
+
+    def run(batches):
+        last, waiting = None, None  # the shingle before, and its only posting so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("shingle").to_numpy()
+            hot = batch.column("hot").to_numpy(zero_copy_only=False)
+            same = v[1:] == v[:-1]
+            keep = hot.copy()
+            keep[1:] |= same
+            keep[:-1] |= same
+            rows = batch.select(["shingle", "doc_id", "n"])
+            if last is not None and v[0] == last:
+                keep[0] = True
+                if waiting is not None:
+                    yield waiting
+            waiting = None if keep[-1] else rows.slice(batch.num_rows - 1)
+            last = v[-1]
+            yield rows.filter(pa.array(keep))
+
+    meet = F.when(F.col("hot"), F.xxhash64("doc_id")).otherwise(F.col("shingle"))
+    dealt = posted.withColumn("meet", meet).repartition(width, "meet").drop("meet").sortWithinPartitions("shingle")
+    return dealt.mapInArrow(run, "shingle long, doc_id long, n int")
 
 
 def search_block(centre: np.ndarray, others: list[np.ndarray]) -> list[int]:
@@ -285,9 +326,12 @@ def _asked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def may_link(pairs: DataFrame, digests: DataFrame, width: int) -> DataFrame:
-    """The pairs (centre, other) whose sketches allow a link."""
-    bodies = _asked(pairs, digests.select("doc_id", F.col("sketch").alias("body")))
-    return _searched(pairs, bodies, width, _read_sketches, near_sketches).select(F.col("a").alias("centre"), F.col("b").alias("other"))
+    """The pairs (centre, other) whose sketches, first the coarse and then the whole ones, allow a link."""
+    for column in ("coarse", "sketch"):
+        bodies = _asked(pairs, digests.select("doc_id", F.col(column).alias("body")))
+        near = _searched(pairs, bodies, width, _read_sketches, near_sketches).select(F.col("a").alias("centre"), F.col("b").alias("other"))
+        pairs = stored(near, f"join-{column}") if column == "coarse" else near
+    return pairs
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -350,26 +394,29 @@ def near_in_lists(members: DataFrame, heads: DataFrame, width: int) -> DataFrame
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node of each component of the edges (a, b); nodes without edges are left out.
+    """node, root: the smallest node of each component of the edges (a, b); nodes without edges to others are left out.
 
     Large-star and small-star rounds: every step is a grouped minimum and a join, so a node with very many edges is
     combined in the tasks first. Each round is written to the shared folder.
     """
-    spark = edges.sparkSession
     now = stored(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    while True:
+    while not _is_star(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low2, "u")
         small = linked.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        after = stored(small, "components")
-        same = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = after
-        if same:
-            break
-    return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+        now = stored(small, "components")
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every u (u > v) has one v, and no v is itself a u: then v is the smallest of its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out")))
+    about = ends.groupBy("node").agg(F.sum("out").alias("out"), F.count(F.lit(1)).alias("n"))
+    return about.where("out > 1 or (out = 1 and n > 1)").isEmpty()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -379,13 +426,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # equal sets: the smallest doc_id stands for them
     first = digests.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("first"))
     copies = stored(digests.join(first, ["n_shingles", "d1", "d2"]).select("doc_id", "first"), "join-copies")
-    hot = spark.sparkContext.broadcast(frequent_shingles(docs))
-    posted = prefixes(docs, hot)
+    own = copies.where("doc_id = first").select("doc_id")
+    mere = stored(copies.where("doc_id != first").select("doc_id").distinct().join(own, "doc_id", "left_anti"), "join-mere-copies")
+    few = mere.count() <= BROADCAST_IDS
+    texts = _rows(docs).where("doc_id is not null")
+    if few:
+        texts = texts.join(F.broadcast(mere), "doc_id", "left_anti")
+    hot = spark.sparkContext.broadcast(frequent_shingles(texts))
     # lists of at least two documents; the rest of the corpus ends here
-    lists = posted.groupBy("shingle").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("shingle")
-    shared = stored(posted.join(lists, "shingle"), "join-lists")
-    shared = shared.join(copies.where("doc_id = first").select("doc_id"), "doc_id", "left_semi")
-    texts = _rows(docs)
+    shared = stored(shared_lists(prefixes(texts, hot), width), "join-lists")
+    if not few:
+        shared = shared.join(mere, "doc_id", "left_anti")
     known, step = None, 0
     while True:
         if known is not None:
