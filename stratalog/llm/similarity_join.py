@@ -42,9 +42,11 @@ BLOCK_DOCS = 128
 #: Lists up to this many documents are compared whole after the first round; longer ones in blocks of as many.
 SHORT_LIST = 1024
 #: Bits of a set's sketch: a power of two from 10 for each shingle, within these. Lists carry the least.
-SKETCH_BITS = 512, 262_144
-#: Candidates meet first with sketches of a quarter of the bits (but the least), those left with the whole ones.
+SKETCH_BITS = 2048, 262_144
+#: Candidates meet first with sketches of a quarter of the bits, those left with the whole ones.
 COARSE = 4
+#: Within a list, sketches of so many bits are compared first.
+FIRST_BITS = 512
 #: Ids of documents to be searched that are broadcast at most (8 bytes each), so that only their texts are shuffled.
 BROADCAST_IDS = 2_000_000
 #: A list counts as long where it has at least 1 / LONG of a block's documents.
@@ -125,9 +127,8 @@ def near_sketches(centre: np.ndarray, others: list[np.ndarray]) -> list[int]:
 
 
 def coarse(sketch: np.ndarray) -> np.ndarray:
-    """A sketch (size first) folded to 1 / COARSE of its bits, or the least."""
-    words = max(SKETCH_BITS[0] // 64, (len(sketch) - 1) // COARSE)
-    return np.concatenate([sketch[:1], folded(sketch[1:], words)])
+    """A sketch (size first) folded to 1 / COARSE of its bits."""
+    return np.concatenate([sketch[:1], folded(sketch[1:], (len(sketch) - 1) // COARSE)])
 
 
 def set_digests(docs: DataFrame) -> DataFrame:
@@ -355,17 +356,22 @@ def near_in_lists(members: DataFrame, heads: DataFrame, width: int) -> DataFrame
             left, right = np.flatnonzero(head), np.flatnonzero(~head)
         else:
             left = right = np.arange(len(doc))
+        first = folded(bits, FIRST_BITS // 64)
         for a in range(0, len(left), 64):
             some = left[a : a + 64]
             apart = np.zeros((len(some), len(right)), np.int32)
-            for word in range(bits.shape[1]):
-                apart += np.bitwise_count(bits[some, word][:, None] ^ bits[right, word][None, :])
+            for word in range(first.shape[1]):
+                apart += np.bitwise_count(first[some, word][:, None] ^ first[right, word][None, :])
             both = n[some][:, None] + n[right][None, :]
             near = (apart <= both - 2 * needed(n[some][:, None], n[right][None, :])) & (root[some][:, None] != root[right][None, :])
             if left is right:
                 near &= doc[some][:, None] < doc[right][None, :]
             i, j = np.nonzero(near)
-            yield doc[some[i]], doc[right[j]]
+            i, j = some[i], right[j]
+            for at in range(0, len(i), 8192):
+                p, q = i[at : at + 8192], j[at : at + 8192]
+                keep = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64) <= n[p] + n[q] - 2 * needed(n[p], n[q])
+                yield doc[p[keep]], doc[q[keep]]
 
     def run(batches):
         held = None
