@@ -165,6 +165,11 @@ def _model_of(tag: str, shard: dict, lang: str) -> Dense:
     return _dense[tag, name]
 
 
+def _release() -> None:
+    """Workers are used again by other operators, which need the memory."""
+    _dense.clear()
+
+
 @dataclass
 class Model:
     """Groups of languages, each broadcast; languages of no group go with the first (which has POOLED)."""
@@ -204,7 +209,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     out = None
     for i, (shard, langs) in enumerate(zip(model.shards, model.langs, strict=True)):
 
-        def run(batches, shard=shard):
+        def score_batches(batches, shard):
             for batch in batches:
                 langs = batch.column("_lm_lang").to_pylist()
                 data, offs = binary_parts(batch.column("text"))  # a null is an empty slice
@@ -223,6 +228,12 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
                         score[mine[a:b]], error[mine[a:b]] = m.score(flat[cut[a] : cut[b]], cut[a : b + 1] - cut[a])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(fields))), pa.array(score), pa.array(error)], names=[*fields, "_lm_score", "_lm_error"])
 
+        def run(batches, shard=shard):
+            try:
+                yield from score_batches(batches, shard)
+            finally:
+                _release()
+
         part = docs.withColumn("_lm_lang", F.coalesce("lang", F.lit("")))
         if len(model.langs) > 1:
             own = F.col("_lm_lang").isin(sorted(langs))

@@ -155,9 +155,10 @@ def frequent_shingles(docs: DataFrame, most: int = HOT_SHINGLES) -> tuple[np.nda
         held: list[np.ndarray] = []
 
         def merge():
-            v, at = np.unique(np.concatenate([have[0], *held]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([have[1], np.ones(sum(map(len, held)))])).astype(np.int64)
-            return v, n
+            v, n = np.unique(np.concatenate([have[0][:0], *held]), return_counts=True)
+            new = (n > 1) | np.isin(v, have[0], assume_unique=True)  # seen once and never before: not passed on
+            v, at = np.unique(np.concatenate([have[0], v[new]]), return_inverse=True)
+            return v, np.bincount(at, weights=np.concatenate([have[1], n[new]]), minlength=len(v)).astype(np.int64)
 
         seen = 0
         for batch in batches:
@@ -165,11 +166,10 @@ def frequent_shingles(docs: DataFrame, most: int = HOT_SHINGLES) -> tuple[np.nda
             for a, b in chunks(offs):
                 held.append(sets_of(data[offs[a] : offs[b]], offs[a : b + 1])[0])
                 seen += len(held[-1])
-                if seen > 4_000_000:
-                    v, n = merge()
-                    have, held, seen = (v[n > 1], n[n > 1]), [], 0
+                if seen > 2_000_000:
+                    have, held, seen = merge(), [], 0
         v, n = merge()
-        yield pa.RecordBatch.from_arrays([pa.array(v[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["shingle", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
     counted = docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.where("n > 4").orderBy(F.desc("n"), "shingle").limit(most).toArrow()  # bounded by `most`
