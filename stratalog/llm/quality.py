@@ -120,7 +120,7 @@ class Dense:
 
     @classmethod
     def build(cls, sizes: np.ndarray, keys: np.ndarray, p: np.ndarray, gamma: np.ndarray) -> Dense:
-        rows, where = [np.full((1, SYMBOLS), 1.0 / SYMBOLS)], np.zeros(1, np.int64)
+        rows, where = [np.full((1, SYMBOLS), 1.0 / SYMBOLS, np.float32)], np.zeros(1, np.int32)
         count = 1
         for n in range(1, ORDER + 1):
             mine = sizes == n
@@ -128,17 +128,20 @@ class Dense:
             contexts, at = np.unique(k // SYMBOLS, return_inverse=True)
             have = np.concatenate(rows)
             wider = where if n == 1 else np.tile(where, SYMBOLS)  # a longer context begins as its own tail's row
-            lowest = have[wider[contexts]]
-            weight = np.zeros(len(contexts))
+            new = have[wider[contexts]]
+            del have
+            weight = np.zeros(len(contexts), np.float32)
             weight[at] = g
-            new = lowest * weight[:, None]
+            new *= weight[:, None]
             new[at, k % SYMBOLS] = q
-            wider = wider.copy()
+            wider = wider.copy() if n == 1 else wider
             wider[contexts] = count + np.arange(len(contexts))
             rows.append(new)
             count += len(contexts)
             where = wider
-        return cls(where.astype(np.int32), np.log(np.concatenate(rows)).astype(np.float32).ravel())
+        every = np.concatenate(rows)
+        rows.clear()
+        return cls(where, np.log(every, out=every).ravel())
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy, its standard error) of each document."""
