@@ -7,9 +7,12 @@ counts of each language and order, and each order's table is joined, sharded by
 its contexts and with the next lower order's probabilities.
 
 A document's score is its cross-entropy in nats a symbol (perplexity = exp). A fifth of the trusted documents (by
-hash) is kept out of the counts; a language's threshold is a quantile of their scores plus `slack`. A document is
-rejected if its score, less twice its standard error, is above its language's threshold. Languages without trusted
-text use the model and threshold of all trusted text together. Null or empty texts score 0 and stay.
+hash) is kept out of the counts, and each language's limits come from them: median and spread of the score in
+units of a document's sampling error, and the tail of the excess (nats above the median score) of single words, as
+an exponential law past its upper TAIL. A document is rejected if its score is too high or too low for its length
+(one two-sided test), or if its worst word is one that a clean document of as many words holds with a chance below
+1 - `quantile`. Both are tests at that level, without further allowance. Languages without trusted text use the
+model and limits of all trusted text together. Null or empty texts score 0 and stay.
 
 Scoring streams the documents against dense rows built in each worker from the broadcast model. Its size follows the
 alphabet and not the corpus: at most SYMBOLS ** (ORDER - 1) contexts a language; languages are scored in groups of at
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -143,17 +147,43 @@ class Dense:
         rows.clear()
         return cls(where, np.log(every, out=every).ravel())
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(cross-entropy, its standard error) of each document."""
+    def losses(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Nats of each symbol."""
         keys = keys_of(data, offsets)
-        lp = -self.logp[self.row[keys // SYMBOLS] * SYMBOLS + keys % SYMBOLS].astype(np.float64)
+        return -self.logp[self.row[keys // SYMBOLS] * SYMBOLS + keys % SYMBOLS].astype(np.float64)
+
+    def score(self, data: np.ndarray, offsets: np.ndarray, centre: float = 0.0) -> tuple[np.ndarray, ...]:
+        """Of each document: cross-entropy, variance of a symbol's nats, symbols, words, and the worst word's nats above `centre` a symbol."""
+        lp = self.losses(data, offsets)
         n = np.diff(offsets)
         s1 = np.concatenate([[0], np.cumsum(lp)])
         s2 = np.concatenate([[0], np.cumsum(lp * lp)])
         m = np.maximum(n, 1)
         mean = (s1[offsets[1:]] - s1[offsets[:-1]]) / m
         var = np.maximum((s2[offsets[1:]] - s2[offsets[:-1]]) / m - mean * mean, 0)
-        return mean, np.sqrt(var / m)
+        starts = word_starts(data, offsets)
+        words, worst = np.zeros(len(n), np.int64), np.zeros(len(n))
+        if len(starts):
+            of = np.searchsorted(offsets, starts, side="right") - 1
+            full, first, words_of = np.unique(of, return_index=True, return_counts=True)
+            words[full] = words_of
+            worst[full] = np.maximum.reduceat(np.add.reduceat(lp - centre, starts), first)
+        return mean, var, n, words, worst
+
+    def word_excess(self, data: np.ndarray, offsets: np.ndarray, centre: float) -> np.ndarray:
+        starts = word_starts(data, offsets)
+        return np.add.reduceat(self.losses(data, offsets) - centre, starts) if len(starts) else np.zeros(0)
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where words begin, each with the white space after it; a longer word is cut into pieces of WORD bytes."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    space = CLASS[data] == 1
+    begins = np.concatenate([[True], space[:-1] & ~space[1:]])
+    begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+    at = np.arange(len(data))
+    return np.flatnonzero((at - np.maximum.accumulate(np.where(begins, at, 0))) % WORD == 0)
 
 
 _dense: dict[tuple, Dense] = {}
@@ -204,36 +234,37 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, shard_entries:
     return Model(shards, groups)
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, all columns kept, with _lm_score and _lm_error added."""
-    fields = docs.columns
-    schema = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in docs.schema) + "_lm_score double, _lm_error double"
+STATS = {"_lm_score": "double", "_lm_var": "double", "_lm_symbols": "long", "_lm_words": "long", "_lm_worst": "double"}
+
+
+def _pieces(batch: pa.RecordBatch, shard: tuple):
+    """(rows, model, language, bytes, offsets) of the chunks of a batch, by language."""
+    langs = batch.column("_lm_lang").to_pylist()
+    data, offs = binary_parts(batch.column("text"))  # a null is an empty slice
+    lang_of = np.array(langs, dtype=object)
+    for lang in sorted(set(langs)):
+        m = _model_of(*shard, lang)
+        mine = np.flatnonzero(lang_of == lang)
+        if len(mine) == batch.num_rows:
+            flat, cut = data, offs
+        else:
+            lens = offs[mine + 1] - offs[mine]
+            cut = np.concatenate([[0], np.cumsum(lens)])
+            flat = np.concatenate([data[offs[j] : offs[j + 1]] for j in mine])
+        for a, b in chunks(cut):
+            yield mine[a:b], m, lang, flat[cut[a] : cut[b]], cut[a : b + 1] - cut[a]
+
+
+def _over_shards(docs: DataFrame, model: Model, work, schema: str) -> DataFrame:
+    """`work(batch, shard)` of the documents of each group of languages, with its broadcast models."""
     named = {lang for g in model.langs for lang in g}
     out = None
     for i, (shard, langs) in enumerate(zip(model.shards, model.langs, strict=True)):
 
-        def score_batches(batches, shard):
-            for batch in batches:
-                langs = batch.column("_lm_lang").to_pylist()
-                data, offs = binary_parts(batch.column("text"))  # a null is an empty slice
-                score, error = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-                lang_of = np.array(langs, dtype=object)
-                for lang in sorted(set(langs)):
-                    m = _model_of(*shard.value, lang)
-                    mine = np.flatnonzero(lang_of == lang)
-                    if len(mine) == batch.num_rows:
-                        flat, cut = data, offs
-                    else:
-                        lens = offs[mine + 1] - offs[mine]
-                        cut = np.concatenate([[0], np.cumsum(lens)])
-                        flat = np.concatenate([data[offs[j] : offs[j + 1]] for j in mine])
-                    for a, b in chunks(cut):
-                        score[mine[a:b]], error[mine[a:b]] = m.score(flat[cut[a] : cut[b]], cut[a : b + 1] - cut[a])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(fields))), pa.array(score), pa.array(error)], names=[*fields, "_lm_score", "_lm_error"])
-
         def run(batches, shard=shard):
             try:
-                yield from score_batches(batches, shard)
+                for batch in batches:
+                    yield from work(batch, shard.value)
             finally:
                 _release()
 
@@ -246,28 +277,115 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     return out
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, model: Model, quantile: float, slack: float) -> dict[str, float]:
-    """By language, and POOLED; a language needs MIN_HELD_OUT held-out documents for one of its own."""
-    scored = stored(with_scores(trusted_documents(docs, labels, held_out=True), model).select("lang", "_lm_score"), "quality-held-out")
-    of = F.percentile("_lm_score", F.lit(quantile))
-    own = {r["lang"]: r["q"] + slack for r in scored.groupBy("lang").agg(of.alias("q"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_HELD_OUT).collect()}
-    every = scored.agg(of.alias("q")).first()["q"]
-    return own | {POOLED: float("inf") if every is None else every + slack}
+def with_scores(docs: DataFrame, model: Model, centre: dict[str, float] | None = None) -> DataFrame:
+    """The documents, all columns kept, with STATS added; `centre` by language, and POOLED."""
+    fields = docs.columns
+    schema = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in docs.schema) + ", ".join(f"{k} {t}" for k, t in STATS.items())
+
+    def work(batch, shard):
+        out = [np.zeros(batch.num_rows, np.int64 if t == "long" else np.float64) for t in STATS.values()]
+        for rows, m, lang, data, offs in _pieces(batch, shard):
+            for column, values in zip(out, m.score(data, offs, _own(centre or {POOLED: 0.0}, lang)), strict=True):
+                column[rows] = values
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(fields))), *map(pa.array, out)], names=[*fields, *STATS])
+
+    return _over_shards(docs, model, work, schema)
+
+
+def _own(of: dict, lang: str):
+    return of[lang] if lang in of else of[POOLED]
+
+
+def word_histogram(docs: DataFrame, model: Model, centre: dict[str, float]) -> DataFrame:
+    """lang, bin, n: the words by their nats above `centre` in steps of BIN."""
+
+    def work(batch, shard):
+        for _, m, lang, data, offs in _pieces(batch, shard):
+            bins, n = np.unique(np.floor(m.word_excess(data, offs, _own(centre, lang)) / BIN).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(bins), pa.string()), "bin": pa.array(bins), "n": pa.array(n, pa.int64())})
+
+    return _over_shards(docs, model, work, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Limits:
+    """What a language's clean documents score: see the module's text."""
+
+    centre: float
+    variance: float
+    spread: float
+    times: float
+    tail_from: float
+    tail_scale: float
+
+
+def _times(quantile: float, n: int) -> float:
+    """Student's quantile (Cornish-Fisher) of a two-sided test of one more document against n others."""
+    z, v = NormalDist().inv_cdf((1 + quantile) / 2), max(n - 1, 1)
+    return (z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v * v)) * (1 + 1 / n) ** 0.5
+
+
+def _tail(bins: list[tuple[int, int]]) -> tuple[float, float]:
+    """Where the upper TAIL of the words begins, and the scale of their excess past it, from the median so that a few outliers don't set it."""
+    bins = sorted(bins)
+    total = sum(n for _, n in bins)
+
+    def above(share: float) -> float:
+        left = share * total
+        for at, n in reversed(bins):
+            left -= n
+            if left < 0:
+                return (at + 1) * BIN
+        return bins[0][0] * BIN
+
+    start = above(TAIL)
+    # a model that is right gives words of excess x a chance of exp(-x) at most, so no tail is steeper than 1 nat
+    return start, max(1.0, (above(TAIL / 2) - start) / np.log(2))
+
+
+def limits(docs: DataFrame, labels: DataFrame, model: Model, quantile: float) -> dict[str, Limits]:
+    """By language, and POOLED; a language needs MIN_HELD_OUT held-out documents for limits of its own."""
+    held = stored(trusted_documents(docs, labels, held_out=True).where("length(text) > 0"), "quality-held-out")
+    scored = stored(with_scores(held, model).select("lang", *STATS), "quality-held-out-scores")
+    median = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    first = [median("_lm_score").alias("centre"), median("_lm_var").alias("variance"), F.count(F.lit(1)).alias("n")]
+    found = {r["lang"]: r for r in scored.groupBy("lang").agg(*first).where(F.col("n") >= MIN_HELD_OUT).collect()}
+    every = scored.agg(*first).first()
+    if not every["n"]:
+        return {}
+    found[POOLED] = every
+    of = lambda name: _lookup({k: float(r[name]) for k, r in found.items()})
+    off = scored.withColumn("z", F.abs(F.col("_lm_score") - of("centre")) / F.sqrt(F.greatest(of("variance"), F.lit(1e-9)) / F.col("_lm_symbols")))
+    spread = {r["lang"]: r["s"] for r in off.groupBy("lang").agg(median("z").alias("s")).collect()} | {POOLED: off.agg(median("z").alias("s")).first()["s"]}
+    bins: dict[str, list] = {}
+    for r in word_histogram(held, model, {k: r["centre"] for k, r in found.items()}).collect():
+        for lang in {r["lang"], POOLED}:
+            bins.setdefault(lang, []).append((r["bin"], r["n"]))
+    return {k: Limits(r["centre"], max(r["variance"], 1e-9), max(1.0, 1.4826 * spread[k]), _times(quantile, r["n"]), *_tail(bins[k])) for k, r in found.items()}
 
 
 #: Held-out documents below which a language takes the threshold of all.
 MIN_HELD_OUT = 5
+#: Bytes of a word that are judged as one.
+WORD = 24
+#: Share of words whose excess is taken for the tail, and the step in nats at which it is counted.
+TAIL, BIN = 0.01, 0.05
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 0.1) -> DataFrame:
-    """The documents with _lm_score, _lm_error, _lm_threshold and _lm_keep; all columns and rows kept."""
+def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
+    """The documents with STATS, _lm_threshold (the upper limit of the score at the document's length) and _lm_keep; all columns and rows kept."""
     model = fit(spark, docs, labels)
-    if model is None:
-        return docs.withColumns({"_lm_score": F.lit(0.0), "_lm_error": F.lit(0.0), "_lm_threshold": F.lit(float("inf")), "_lm_keep": F.lit(True)})
-    limits = thresholds(docs, labels, model, quantile, slack)
-    limit = _lookup(limits)
-    out = with_scores(docs, model).withColumn("_lm_threshold", limit)
-    return out.withColumn("_lm_keep", F.col("_lm_score") - 2 * F.col("_lm_error") <= F.col("_lm_threshold"))
+    found = limits(docs, labels, model, quantile) if model is not None else {}
+    if not found:
+        nothing = {k: F.lit(0).cast(t) for k, t in STATS.items()}
+        scored = docs.withColumns(nothing) if model is None else with_scores(docs, model)
+        return scored.withColumns({"_lm_threshold": F.lit(float("inf")), "_lm_keep": F.lit(True)})
+    of = lambda name: _lookup({k: float(getattr(v, name)) for k, v in found.items()})
+    room = of("times") * of("spread") * F.sqrt(of("variance") / F.greatest(F.col("_lm_symbols"), F.lit(1)))
+    out = with_scores(docs, model, {k: v.centre for k, v in found.items()}).withColumn("_lm_threshold", of("centre") + room)
+    rare = F.col("_lm_words") * TAIL * F.exp((of("tail_from") - F.col("_lm_worst")) / of("tail_scale")) < 1 - quantile
+    usual = F.abs(F.col("_lm_score") - of("centre")) <= room
+    return out.withColumn("_lm_keep", (F.col("_lm_symbols") == 0) | (usual & ~rare))
 
 
 def _lookup(limits: dict[str, float]) -> Column:
@@ -278,6 +396,6 @@ def _lookup(limits: dict[str, float]) -> Column:
     return own
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 0.1) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    return classify(spark, docs, labels, quantile, slack).where("_lm_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return classify(spark, docs, labels, quantile).where("_lm_keep").select(*[F.col(f"`{c}`") for c in docs.columns])

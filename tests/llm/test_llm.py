@@ -165,6 +165,20 @@ def test_quality_model_is_a_distribution_and_keeps_clean_text(spark):
     assert quality.keep_good(spark, frame(spark, good), labels.limit(0)).count() == len(good)
 
 
+def test_quality_rejects_one_bad_word_and_repeated_common_words(spark):
+    rng = random.Random(6)
+    parts = ["the", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]
+    text = lambda n: " ".join("".join(rng.choices(parts, k=rng.choice([1, 2, 2, 3]))) for _ in range(n))
+    good = [(i, text(rng.choice([60, 200, 400])), "en", "s", 1) for i in range(200)]
+    sparse = [(1000 + i, f"{text(150)} worthless clown {text(150)}", "en", "s", 1) for i in range(6)]
+    common = [(2000, "the " * 400, "en", "s", 1)]
+    short = [(3000, "Zq#x Kv%j", "en", "s", 1)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r._lm_keep for r in quality.classify(spark, frame(spark, good + sparse + common + short), labels).collect()}
+    assert not any(got[d[0]] for d in sparse + common + short)
+    assert sum(not got[d[0]] for d in good) <= 6
+
+
 def test_packing(spark):
     assert packing.fill({5: 2, 3: 1}, 13) == {5: 2, 3: 1}
     rows = documents(6) + [(900, "word, " * 5000, "en", "s", 1)]
