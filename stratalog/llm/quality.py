@@ -11,8 +11,9 @@ hash) is kept out of the counts, and each language's limits come from them: medi
 units of a document's sampling error, and the tail of the excess (nats above the median score) of single words, as
 an exponential law past its upper TAIL. A document is rejected if its score is too high or too low for its length
 (one two-sided test), or if its worst word is one that a clean document of as many words holds with a chance below
-1 - `quantile`. Both are tests at that level, without further allowance. Languages without trusted text use the
-model and limits of all trusted text together. Null or empty texts score 0 and stay.
+1 - `quantile`. Both are tests at that level, without further allowance. Languages with fewer than MIN_HELD_OUT held-out
+documents use the model of all trusted text together, and limits taken from all held-out documents under that same
+model. Null or empty texts score 0 and stay.
 
 Scoring streams the documents against dense rows built in each worker from the broadcast model. Its size follows the
 alphabet and not the corpus: at most SYMBOLS ** (ORDER - 1) contexts a language; languages are scored in groups of at
@@ -255,11 +256,10 @@ def _pieces(batch: pa.RecordBatch, shard: tuple):
             yield mine[a:b], m, lang, flat[cut[a] : cut[b]], cut[a : b + 1] - cut[a]
 
 
-def _over_shards(docs: DataFrame, model: Model, work, schema: str) -> DataFrame:
-    """`work(batch, shard)` of the documents of each group of languages, with its broadcast models."""
-    named = {lang for g in model.langs for lang in g}
+def _over_shards(docs: DataFrame, model: Model, own: set[str], work, schema: str) -> DataFrame:
+    """`work(batch, shard)` of the documents of each group of languages, with its broadcast models; languages not in `own` are POOLED."""
     out = None
-    for i, (shard, langs) in enumerate(zip(model.shards, model.langs, strict=True)):
+    for shard, langs in zip(model.shards, model.langs, strict=True):
 
         def run(batches, shard=shard):
             try:
@@ -268,32 +268,28 @@ def _over_shards(docs: DataFrame, model: Model, work, schema: str) -> DataFrame:
             finally:
                 _release()
 
-        part = docs.withColumn("_lm_lang", F.coalesce("lang", F.lit("")))
+        lang = F.coalesce("lang", F.lit(""))
+        part = docs.withColumn("_lm_lang", F.when(lang.isin(sorted(own)), lang).otherwise(F.lit(POOLED)))
         if len(model.langs) > 1:
-            own = F.col("_lm_lang").isin(sorted(langs))
-            part = part.where(own | ~F.col("_lm_lang").isin(sorted(named)) if i == 0 else own)
+            part = part.where(F.col("_lm_lang").isin(sorted(langs)))
         scored = part.mapInArrow(run, schema)
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
-def with_scores(docs: DataFrame, model: Model, centre: dict[str, float] | None = None) -> DataFrame:
-    """The documents, all columns kept, with STATS added; `centre` by language, and POOLED."""
+def with_scores(docs: DataFrame, model: Model, centre: dict[str, float]) -> DataFrame:
+    """The documents, all columns kept, with STATS added; languages without a `centre` of their own are scored as POOLED."""
     fields = docs.columns
     schema = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in docs.schema) + ", ".join(f"{k} {t}" for k, t in STATS.items())
 
     def work(batch, shard):
         out = [np.zeros(batch.num_rows, np.int64 if t == "long" else np.float64) for t in STATS.values()]
         for rows, m, lang, data, offs in _pieces(batch, shard):
-            for column, values in zip(out, m.score(data, offs, _own(centre or {POOLED: 0.0}, lang)), strict=True):
+            for column, values in zip(out, m.score(data, offs, centre[lang]), strict=True):
                 column[rows] = values
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(fields))), *map(pa.array, out)], names=[*fields, *STATS])
 
-    return _over_shards(docs, model, work, schema)
-
-
-def _own(of: dict, lang: str):
-    return of[lang] if lang in of else of[POOLED]
+    return _over_shards(docs, model, set(centre) - {POOLED}, work, schema)
 
 
 def word_histogram(docs: DataFrame, model: Model, centre: dict[str, float]) -> DataFrame:
@@ -301,10 +297,10 @@ def word_histogram(docs: DataFrame, model: Model, centre: dict[str, float]) -> D
 
     def work(batch, shard):
         for _, m, lang, data, offs in _pieces(batch, shard):
-            bins, n = np.unique(np.floor(m.word_excess(data, offs, _own(centre, lang)) / BIN).astype(np.int64), return_counts=True)
+            bins, n = np.unique(np.floor(m.word_excess(data, offs, centre[lang]) / BIN).astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(bins), pa.string()), "bin": pa.array(bins), "n": pa.array(n, pa.int64())})
 
-    return _over_shards(docs, model, work, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    return _over_shards(docs, model, set(centre) - {POOLED}, work, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -346,25 +342,29 @@ def _tail(bins: list[tuple[int, int]]) -> tuple[float, float]:
 def limits(docs: DataFrame, labels: DataFrame, model: Model, quantile: float) -> dict[str, Limits]:
     """By language, and POOLED; a language needs MIN_HELD_OUT held-out documents for limits of its own."""
     held = stored(trusted_documents(docs, labels, held_out=True).where("length(text) > 0"), "quality-held-out")
-    scored = stored(with_scores(held, model).select("lang", *STATS), "quality-held-out-scores")
-    median = lambda c: F.percentile_approx(c, 0.5, 10_000)
-    first = [median("_lm_score").alias("centre"), median("_lm_var").alias("variance"), F.count(F.lit(1)).alias("n")]
-    found = {r["lang"]: r for r in scored.groupBy("lang").agg(*first).where(F.col("n") >= MIN_HELD_OUT).collect()}
-    every = scored.agg(*first).first()
-    if not every["n"]:
+    named = {lang for g in model.langs for lang in g} - {POOLED}
+    counts = {r["lang"]: r["count"] for r in held.groupBy("lang").count().collect()}
+    if not counts:
         return {}
-    found[POOLED] = every
-    of = lambda name: _lookup({k: float(r[name]) for k, r in found.items()})
-    off = scored.withColumn("z", F.abs(F.col("_lm_score") - of("centre")) / F.sqrt(F.greatest(of("variance"), F.lit(1e-9)) / F.col("_lm_symbols")))
-    spread = {r["lang"]: r["s"] for r in off.groupBy("lang").agg(median("z").alias("s")).collect()} | {POOLED: off.agg(median("z").alias("s")).first()["s"]}
-    bins: dict[str, list] = {}
-    for r in word_histogram(held, model, {k: r["centre"] for k, r in found.items()}).collect():
-        for lang in {r["lang"], POOLED}:
-            bins.setdefault(lang, []).append((r["bin"], r["n"]))
+    median = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    found, spread, bins = {}, {}, {}
+    enough = {lang for lang, n in counts.items() if n >= MIN_HELD_OUT and lang in named}
+    # the held-out documents under their own languages' models, and all of them under the model that POOLED stands for
+    for docs_of, langs in ((held.where(F.col("lang").isin(sorted(enough))), enough), (held.withColumn("lang", F.lit(POOLED)), {POOLED})):
+        if not langs:
+            continue
+        scored = stored(with_scores(docs_of, model, dict.fromkeys(langs, 0.0)).select("lang", *STATS), "quality-held-out-scores")
+        mine = {r["lang"]: r for r in scored.groupBy("lang").agg(median("_lm_score").alias("centre"), median("_lm_var").alias("variance"), F.count(F.lit(1)).alias("n")).collect()}
+        of = lambda name, mine=mine: _lookup({POOLED: 0.0} | {k: float(r[name]) for k, r in mine.items()})
+        off = scored.withColumn("z", F.abs(F.col("_lm_score") - of("centre")) / F.sqrt(F.greatest(of("variance"), F.lit(1e-9)) / F.col("_lm_symbols")))
+        spread |= {r["lang"]: r["s"] for r in off.groupBy("lang").agg(median("z").alias("s")).collect()}
+        for r in word_histogram(docs_of, model, {k: r["centre"] for k, r in mine.items()}).collect():
+            bins.setdefault(r["lang"], []).append((r["bin"], r["n"]))
+        found |= mine
     return {k: Limits(r["centre"], max(r["variance"], 1e-9), max(1.0, 1.4826 * spread[k]), _times(quantile, r["n"]), *_tail(bins[k])) for k, r in found.items()}
 
 
-#: Held-out documents below which a language takes the threshold of all.
+#: Held-out documents below which a language takes the model and limits of all.
 MIN_HELD_OUT = 5
 #: Bytes of a word that are judged as one.
 WORD = 24
@@ -378,7 +378,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile:
     found = limits(docs, labels, model, quantile) if model is not None else {}
     if not found:
         nothing = {k: F.lit(0).cast(t) for k, t in STATS.items()}
-        scored = docs.withColumns(nothing) if model is None else with_scores(docs, model)
+        scored = docs.withColumns(nothing) if model is None else with_scores(docs, model, {POOLED: 0.0})
         return scored.withColumns({"_lm_threshold": F.lit(float("inf")), "_lm_keep": F.lit(True)})
     of = lambda name: _lookup({k: float(getattr(v, name)) for k, v in found.items()})
     room = of("times") * of("spread") * F.sqrt(of("variance") / F.greatest(F.col("_lm_symbols"), F.lit(1)))

@@ -179,6 +179,23 @@ def test_quality_rejects_one_bad_word_and_repeated_common_words(spark):
     assert sum(not got[d[0]] for d in good) <= 6
 
 
+def test_quality_scores_rare_languages_by_the_pooled_model_and_its_limits(spark):
+    rng = random.Random(7)
+    text = lambda parts, n: " ".join("".join(rng.choices(parts, k=2)) for _ in range(n))
+    a, b = ["the", "er", "on", "an", "re"], ["sch", "ung", "ein", "lich"]
+    rows = [(i, text(a, 80), "en", "s", 1) for i in range(100)] + [(200 + i, text(b, 80), "de", "s", 1) for i in range(8)] + [(300, text(b, 80), "xx", "s", 1)]
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows[:-1]], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    model = quality.fit(spark, docs, labels)
+    found = quality.limits(docs, labels, model, 0.995)
+    assert set(found) == {"en", quality.POOLED}
+    pooled = {r.doc_id: r._lm_score for r in quality.with_scores(docs, model, {quality.POOLED: 0.0}).collect()}
+    got = {r.doc_id: r._lm_score for r in quality.classify(spark, docs, labels).collect()}
+    assert all(got[i] == pooled[i] for i in got if i >= 200) and any(got[i] != pooled[i] for i in range(100))
+    held = [r.doc_id for r in quality.trusted_documents(docs, labels, held_out=True).collect()]
+    assert min(abs(found[quality.POOLED].centre - pooled[i]) for i in held) < 1e-9
+
+
 def test_packing(spark):
     assert packing.fill({5: 2, 3: 1}, 13) == {5: 2, 3: 1}
     rows = documents(6) + [(900, "word, " * 5000, "en", "s", 1)]
