@@ -41,3 +41,9 @@ def test_rename_needs_one_to_one(spark):
 def test_retarget(spark):
     f = lambda t: spark.createDataFrame([("i", t, "s")], "identity string, target string, state string")
     assert [r.change for r in diff.relationship_changes(f("a"), f("b")).collect()] == ["retargeted"]
+
+
+def test_relationship_diff_reaches_every_order(spark):
+    got = catalog_queries.queries()["d3_relationship_diff_whole"](spark, SF)
+    want = duckdb.sql(f"SELECT count(DISTINCT l_orderkey) FROM '{SF}/lineitem.parquet' WHERE l_linenumber = 1").fetchall()[0][0]
+    assert got.where("change <> 'evidence_changed'").select("identity").distinct().count() == want
