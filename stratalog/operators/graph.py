@@ -1,4 +1,4 @@
-"""Graph operators over edges: bounded breadth-first trace, impact, ancestry."""
+"""Graph operators over edges: bounded breadth-first trace, impact."""
 
 from __future__ import annotations
 
