@@ -1,10 +1,10 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-The alphabet is words (split at white space), inner substrings are S = 2 words and k-mers K = 6 words: a k-mer is an
+The alphabet is words (split at white space; one of more than LONG characters gives its single characters), inner substrings are S = 2 words and k-mers K = 6 words: a k-mer is an
 anchor where the least hash of its inner substrings lies at its first or last place. That depends on the k-mer alone,
 so equal passages have equal anchors wherever they stand. A fingerprint is the `keep` least distinct anchor hashes
-(40 bits each, as hex); likeness is the Jaccard estimate of the `keep` least of the union. A text of fewer than K words is its
-own single anchor; an empty or null text has no anchors, and two of those are alike (1.0).
+(40 bits each, as hex); likeness is the Jaccard similarity of all distinct anchors. A text in which no k-mer is closed, or
+of fewer than K words, is its own single anchor; an empty or null text has no anchors, and two of those are alike (1.0).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 S, K = 2, 6
 KEEP = 64
+LONG = 64
 _DIGITS = 10
 
 
@@ -26,15 +27,18 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """
     words, inner = f"_{out}_words", f"_{out}_inner"
     df = df.withColumn(words, F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""))
+    long = lambda w: F.length(w) > LONG
+    df = df.withColumn(words, F.when(F.exists(words, long), F.flatten(F.transform(words, lambda w: F.when(long(w), F.split(w, "")).otherwise(F.array(w))))).otherwise(F.col(words)))
     n = F.size(words)
     none = F.array().cast("array<int>")
     df = df.withColumn(inner, F.transform(F.when(n >= S, F.sequence(F.lit(0), n - S)).otherwise(none), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1))))
     at = lambda i, d: F.get(F.col(inner), i + d)
     last = K - S
     closed = F.filter(F.when(n >= K, F.sequence(F.lit(0), n - K)).otherwise(none), lambda i: F.least(at(i, 0), at(i, last)) <= F.least(*[at(i, d) for d in range(1, last)]))
-    whole = F.when((n > 0) & (n < K), F.array(F.struct(F.lit(0).alias("position"), _short(F.xxhash64(F.array_join(words, " "))).alias("anchor")))).otherwise(F.array().cast("array<struct<position:int,anchor:bigint>>"))
+    whole = F.when(n > 0, F.array(F.struct(F.lit(0).alias("position"), _short(F.xxhash64(F.array_join(words, " "))).alias("anchor")))).otherwise(F.array().cast("array<struct<position:int,anchor:bigint>>"))
     anchors = F.transform(closed, lambda i: F.struct(i.alias("position"), _short(F.xxhash64(at(i, 0), at(i, S), at(i, 2 * S))).alias("anchor")))
-    return df.withColumn(out, F.when(n >= K, anchors).otherwise(whole)).drop(words, inner)
+    df = df.withColumn(out, anchors)
+    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(whole)).drop(words, inner)
 
 
 def _short(h: Column) -> Column:
@@ -50,11 +54,16 @@ def as_text(sketched: str | Column) -> Column:
     return F.array_join(F.transform(sketched, lambda h: F.lpad(F.lower(F.hex(h)), _DIGITS, "0")), "")
 
 
-def likeness(a: str, b: str, keep: int = KEEP) -> Column:
-    """Estimated Jaccard similarity of the anchor sets behind two sketches, 0 to 1."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, keep)
-    shared = F.size(F.array_intersect(both, F.array_intersect(a, b)))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared / F.size(both))
+def hashes(anchors: str | Column) -> Column:
+    """The distinct anchor hashes."""
+    return F.array_distinct(F.transform(anchors, lambda a: a["anchor"]))
+
+
+def likeness(a: str, b: str) -> Column:
+    """Jaccard similarity of two arrays of distinct anchor hashes, 0 to 1."""
+    shared = F.size(F.array_intersect(a, b))
+    every = F.size(a) + F.size(b) - shared
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared / every)
 
 
 def matched_positions(a: str, b: str) -> Column:
@@ -95,14 +104,15 @@ def fingerprint_edits(docs: DataFrame, rows: int | None = None) -> DataFrame:
     """
     rows = docs.count() if rows is None else rows
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = with_anchors(base, "text", "anchors").select("doc_id", "text", sketch("anchors").alias("sketch"))
-    paired = with_next(base, ["text", "sketch"], rows)
+    paired = with_next(base, ["text"], rows)
     n = F.length("text")
     quarter = F.expr("length(text) div 4").cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
-    out = paired.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
-    out = with_anchors(out, "edited", "anchors").withColumn("edited_sketch", sketch("anchors")).drop("anchors")
+    out = paired.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
+    # the next text's anchors are made again here, so that no more than the texts is shuffled
+    for column, name in (("text", "own"), ("next_text", "next"), ("edited", "changed")):
+        out = with_anchors(out, column, f"{name}_anchors").withColumn(f"{name}_hashes", hashes(f"{name}_anchors"))
     return out.select(
-        "doc_id", "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text("sketch").alias("fingerprint"), as_text("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"),
+        "doc_id", "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(sketch("own_anchors")).alias("fingerprint"), as_text(sketch("changed_anchors")).alias("edited_fingerprint"),
+        likeness("own_hashes", "changed_hashes").alias("near_edited"), likeness("own_hashes", "next_hashes").alias("near_next"),
     )

@@ -251,6 +251,19 @@ def test_fingerprints(spark):
     assert all(len(f) == 1 for f in by_text.values())
 
 
+def test_fingerprints_of_short_unspaced_and_long_texts(spark):
+    rng = random.Random(11)
+    short = [" ".join(rng.sample(WORDS, 6)) for _ in range(20)]
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))
+    base = [f"v{rng.randrange(10**6)}" for _ in range(3000)]
+    texts = [*short, han, han[:200] + "x" + han[200:], " ".join(base), " ".join(base[:2900] + ["z"] * 100), ""]
+    got = sorted(fingerprints.fingerprint_edits(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect(), key=lambda r: r.doc_id)
+    assert all(r.fingerprint for r in got[:-1]) and len({r.fingerprint for r in got[:20]}) == 20 and got[-1].fingerprint == ""
+    assert all(r.near_next < 1 for r in got[:20]) and 0.8 < got[20].near_next < 1
+    full = {r.doc_id: {a.anchor for a in r.x} for r in fingerprints.with_anchors(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), "text", "x").collect()}
+    assert len(full[22]) > 1000 and got[22].near_next == len(full[22] & full[23]) / len(full[22] | full[23])
+
+
 def test_urls():
     model = url_filter.train([x for i, x in enumerate(labelled_urls()) if i % 4])
     held = [x for i, x in enumerate(labelled_urls()) if i % 4 == 0]
