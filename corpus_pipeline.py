@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", minimum_slack_packing),
 ]
 
-#: A trained model and a tokenizer are not SQL; the pipeline is tested against plain Python versions of its stages.
+#: A trained model and a tokenizer are not SQL; the three middle stages and the documents that run() keeps are tested against plain Python.
 ORACLE_SQL = None
 
 

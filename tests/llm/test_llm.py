@@ -306,3 +306,36 @@ def test_empty_tables_and_clashing_columns(spark):
     wide = spark.createDataFrame([(1, "a b c", "en", "s", 5, 7, "x", "y")], SCHEMA + ", _doc int, spans string, body string")
     assert similarity_join.keep_one(spark, wide).columns == wide.columns
     assert substring_dedup.remove_repeats(spark, wide).count() == 1
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = lambda n: [f"u{rng.randrange(10**5)}" for _ in range(n)]
+    item, passage, copy = text(14), text(25), text(80)
+    texts = [copy, copy, [*copy[:79], "zz"], [*text(30), *passage, *text(30)], [*text(30), *passage, *text(30)], [*text(20), *item, *text(20)], text(50), []]
+    rows = [(i, " ".join(w), "en", "s", len(" ".join(w))) for i, w in enumerate(texts)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sets = [shingles(" ".join(w)) for w in texts]
+    alike = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    one = stages["n-gram Jaccard join"](spark, docs, str(tmp_path))
+    stay = [i for i in range(len(texts)) if not any(alike(i, j) for j in range(i))]
+    assert sorted(r.doc_id for r in one.collect()) == stay
+    want, seen = {}, set()
+    for i in stay:
+        w, gone = texts[i], set()
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in seen:
+                gone |= set(range(k, k + 20))
+            seen.add(tuple(w[k : k + 20]))
+        want[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    rest = stages["substring dedup"](spark, one, str(tmp_path))
+    assert {r.doc_id: r.text for r in rest.collect()} == want and want[4] != rows[4][1]
+    clean = stages["benchmark decontamination"](spark, rest, str(tmp_path))
+    left = {i for i in stay if not brute_hits(want[i], [(1, " ".join(item))])[1]}
+    assert {r.doc_id for r in clean.collect()} == left and 5 not in left
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left
