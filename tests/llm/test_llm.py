@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from stratalog.llm import binary_ids, decontamination, fingerprints, packing, quality, sharding, similarity_join, substring_dedup, token_counts, tokens, url_filter
+from stratalog.llm import binary_ids, decontamination, fingerprints, packing, sharding, similarity_join, substring_dedup, token_counts, tokens, url_filter
 from stratalog.llm.labelled_urls import labelled_urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -151,51 +151,6 @@ def test_substring_dedup(spark, hot, monkeypatch):
     assert {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.spans), r.kept) for r in got} == want
 
 
-def test_quality_model_is_a_distribution_and_keeps_clean_text(spark):
-    rng = random.Random(5)
-    good = [(i, " ".join(rng.choices(["lorem", "ipsum", "dolor", "amet"], k=40)), "en", "s", 1) for i in range(80)]
-    bad = [(100 + i, " ".join("".join(rng.choices("ZXQ#$%", k=7)) for _ in range(40)), "en", "s", 1) for i in range(5)]
-    empty = [(200, None, None, None, None), (201, "", "xx", "s", 0)]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(100, 0, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r._lm_keep for r in quality.classify(spark, frame(spark, good + bad + empty), labels).collect()}
-    assert all(got[d[0]] for d in good + empty) and not any(got[d[0]] for d in bad)
-    model = quality.fit(spark, frame(spark, good), labels)
-    rows = np.exp(quality.Dense.build(*model.shards[0].value[1]["en"]).logp.reshape(-1, quality.SYMBOLS)).sum(1)
-    assert np.allclose(rows, 1, atol=1e-3)
-    assert quality.keep_good(spark, frame(spark, good), labels.limit(0)).count() == len(good)
-
-
-def test_quality_rejects_one_bad_word_and_repeated_common_words(spark):
-    rng = random.Random(6)
-    parts = ["the", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]
-    text = lambda n: " ".join("".join(rng.choices(parts, k=rng.choice([1, 2, 2, 3]))) for _ in range(n))
-    good = [(i, text(rng.choice([60, 200, 400])), "en", "s", 1) for i in range(200)]
-    sparse = [(1000 + i, f"{text(150)} worthless clown {text(150)}", "en", "s", 1) for i in range(6)]
-    common = [(2000, "the " * 400, "en", "s", 1)]
-    short = [(3000, "Zq#x Kv%j", "en", "s", 1)]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r._lm_keep for r in quality.classify(spark, frame(spark, good + sparse + common + short), labels).collect()}
-    assert not any(got[d[0]] for d in sparse + common + short)
-    assert sum(not got[d[0]] for d in good) <= 6
-
-
-def test_quality_scores_rare_languages_by_the_pooled_model_and_its_limits(spark):
-    rng = random.Random(7)
-    text = lambda parts, n: " ".join("".join(rng.choices(parts, k=2)) for _ in range(n))
-    a, b = ["the", "er", "on", "an", "re"], ["sch", "ung", "ein", "lich"]
-    rows = [(i, text(a, 80), "en", "s", 1) for i in range(100)] + [(200 + i, text(b, 80), "de", "s", 1) for i in range(8)] + [(300, text(b, 80), "xx", "s", 1)]
-    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows[:-1]], "doc_id long, quality int, toxic int")
-    docs = frame(spark, rows)
-    model = quality.fit(spark, docs, labels)
-    found = quality.limits(docs, labels, model, 0.995)
-    assert set(found) == {"en", quality.POOLED}
-    pooled = {r.doc_id: r._lm_score for r in quality.with_scores(docs, model, {quality.POOLED: 0.0}).collect()}
-    got = {r.doc_id: r._lm_score for r in quality.classify(spark, docs, labels).collect()}
-    assert all(got[i] == pooled[i] for i in got if i >= 200) and any(got[i] != pooled[i] for i in range(100))
-    held = [r.doc_id for r in quality.trusted_documents(docs, labels, held_out=True).collect()]
-    assert min(abs(found[quality.POOLED].centre - pooled[i]) for i in held) < 1e-9
-
-
 def test_packing(spark):
     assert packing.fill({5: 2, 3: 1}, 13) == {5: 2, 3: 1}
     rows = documents(6) + [(900, "word, " * 5000, "en", "s", 1)]
