@@ -12,25 +12,28 @@ A document's set is its distinct 5-word shingles (64-bit hashes); two documents
    at least as many shingles as their sketches in bits, so candidates whose sketches differ too much go, and no link
    does. A sketch folds to a smaller one; the folded ones are compared first, and the texts move only for what is left.
 5. T-occurrence search (DivideSkip) answers a centre over a block of the documents that asked for it: inverted lists
-   of the block's shingles that the centre has are divided into long and short ones, the short ones are merged (all
-   postings at once by counting, where a heap would take them one by one), and the long ones are probed by binary
-   search for the documents that can still reach the required overlap.
+   of the block's shingles that the centre has are divided into long and short ones, the short ones are merged with a
+   heap, and the long ones are probed by binary search for the documents that can still reach the required overlap.
 6. Linked documents are joined into components (large-star, small-star, all by joins). Lists that still hold
    several components go on: the sketches of short lists are compared with each other in memory and those of long
    lists, dealt in blocks, with more centres each round, until no list is left. Only documents of different components
    whose sketches are near enough become rows, so every link between different components is found.
 
-Nulls and texts without words have empty sets: alone in their component. Fewer than k words are one shingle.
+Nulls and texts without words have empty sets: alone in their component. Fewer than k words are one shingle. Rows are
+told apart by numbers of their own, whatever their doc_ids are; equal rows are copies like any other. Very long texts
+are taken whole. A similarity of just 0.8 links. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_parts, chunks, stored, text_bytes
+from .common import binary_parts, chunks, given_names, numbered, own_names, stored, text_bytes
 from .words import Words, grams, mix
 
 SHINGLE = 5
@@ -235,30 +238,50 @@ def shared_lists(posted: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "shingle long, doc_id long, n int")
 
 
+def merge_short(lists: list[np.ndarray], n: int) -> np.ndarray:
+    """How many of the inverted lists (ascending) each of n documents stands on, by a heap over the lists' heads."""
+    have = np.zeros(n, np.int64)
+    heap = [(int(x[0]), i, 0) for i, x in enumerate(lists)]
+    heapq.heapify(heap)
+    while heap:
+        doc, i, at = heap[0]
+        have[doc] += 1
+        if at + 1 < len(lists[i]):
+            heapq.heapreplace(heap, (int(lists[i][at + 1]), i, at + 1))
+        else:
+            heapq.heappop(heap)
+    return have
+
+
 def search_block(centre: np.ndarray, others: list[np.ndarray]) -> list[int]:
-    """Indices of the sets that link with the centre's, by T-occurrence search over an inverted index of the block."""
+    """Indices of the sets that link with the centre's: T-occurrence search over an inverted index of the block.
+
+    DivideSkip: the longest lists (those of at least 1 / LONG of the documents) are set aside, the short ones are merged
+    with a heap, and documents that can still reach the required overlap are looked up in the long ones by binary search.
+    """
+    if not others or not len(centre):
+        return []
     sizes = np.array([len(x) for x in others])
     of = np.repeat(np.arange(len(others)), sizes)
-    v = np.concatenate(others) if len(others) else np.zeros(0, np.uint64)
-    at = np.minimum(np.searchsorted(centre, v), max(0, len(centre) - 1))
-    inside = centre[at] == v if len(centre) else np.zeros(len(v), bool)
-    # postings of the centre's shingles only, by shingle and document
+    v = np.concatenate(others)
+    at = np.minimum(np.searchsorted(centre, v), len(centre) - 1)
+    inside = centre[at] == v
+    # the inverted index: postings of the centre's shingles only, by shingle and document
     slot, of = at[inside], of[inside]
     order = np.argsort(slot, kind="stable")
     slot, of = slot[order], of[order]
     length = np.bincount(slot, minlength=len(centre))
+    begin = np.cumsum(length) - length
     need = needed(len(centre), sizes)
-    long_at = max(2, -(-len(others) // LONG))
-    is_long = length >= long_at
-    # short lists: merged by document in one pass over their postings
-    have = np.bincount(of[~is_long[slot]], minlength=len(others))
-    live = np.flatnonzero(have + int(is_long.sum()) >= need)
-    if len(live) and is_long.any():
+    is_long = length >= max(2, -(-len(others) // LONG))
+    have = merge_short([of[begin[i] : begin[i] + length[i]] for i in np.flatnonzero(~is_long & (length > 0))], len(others))
+    left = int(is_long.sum())
+    live = np.flatnonzero(have + left >= need)
+    if len(live) and left:
         keep = is_long[slot]
         key = slot[keep].astype(np.int64) * len(others) + of[keep]  # long lists end to end, each ascending
         long_slots = np.flatnonzero(is_long)
         long_slots = long_slots[np.argsort(-length[long_slots], kind="stable")]
-        left = len(long_slots)
         for a in range(0, len(long_slots), 32):
             some = long_slots[a : a + 32]
             probe = some[:, None] * len(others) + live[None, :]
@@ -425,8 +448,8 @@ def _is_star(edges: DataFrame) -> bool:
     return about.where("out > 1 or (out = 1 and n > 1)").isEmpty()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document (repeated doc_ids count as one document of all their rows' sets)."""
+def _classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, root (the least doc_id reachable) of documents whose doc_ids differ."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     digests = stored(set_digests(docs), "join-digests")
     # equal sets: the smallest doc_id stands for them
@@ -435,7 +458,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     own = copies.where("doc_id = first").select("doc_id")
     mere = stored(copies.where("doc_id != first").select("doc_id").distinct().join(own, "doc_id", "left_anti"), "join-mere-copies")
     few = mere.count() <= BROADCAST_IDS
-    texts = _rows(docs).where("doc_id is not null")
+    texts = _rows(docs)
     if few:
         texts = texts.join(F.broadcast(mere), "doc_id", "left_anti")
     hot = spark.sparkContext.broadcast(frequent_shingles(texts))
@@ -480,12 +503,37 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         shared = rest.join(heads.select("shingle", "doc_id"), ["shingle", "doc_id"], "left_anti")
         step += 1
     roots = copies if known is None else copies.join(known, copies["first"] == known["node"], "left").select("doc_id", F.coalesce("root", "first").alias("first"))
-    out = digests.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(roots.groupBy("doc_id").agg(F.min("first").alias("component_id")), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = digests.select("doc_id", "n_shingles").join(roots, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("root"))
+
+
+def _classified(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """(row, root, n_shingles), the stored documents under own names with `row`, and the names they had."""
+    plain, named = own_names(docs)
+    rows = numbered(plain, "join-rows")
+    return _classes(spark, rows.select(F.col("row").alias("doc_id"), F.col(named["text"]).alias("text"))).withColumnRenamed("doc_id", "row"), rows, named
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, a row for every row of the documents.
+
+    Rows of a repeated doc_id are documents of their own. A null doc_id is no smallest one: its row takes the component's
+    smallest other, and null where there is none.
+    """
+    found, rows, named = _classified(spark, docs.select("doc_id", "text"))
+    found = stored(found, "join-classes")
+    ids = rows.select("row", F.col(named["doc_id"]).cast("long").alias("doc_id"))
+    every = ids.join(found, "row")
+    # most documents are alone or the first of their component: their own row is the root
+    least = every.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return every.join(least, "root").select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each component (the one with its smallest doc_id), with its own columns."""
-    stay = near_duplicates(spark, docs).where("doc_id = component_id").select("doc_id")
-    kept = docs.join(stay, "doc_id", "left_semi")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each component (the one with its smallest doc_id; of several such rows, the first), with its own
+    columns, whatever these are called. Documents without words are linked with nothing, so they all stay."""
+    found, rows, named = _classified(spark, docs)
+    ids = rows.select("row", F.col(named["doc_id"]).cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    stay = ids.join(found, "row").groupBy("root").agg(first).select(F.col("first.row").alias("row"))
+    return given_names(rows.join(stay, "row", "left_semi"), named)
