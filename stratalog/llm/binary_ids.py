@@ -4,22 +4,27 @@ An id stream is cut into blocks of BLOCK ids. Each 64-bit word holds a selector
 bits at the selector's width; a value of more than 60 bits is escaped: a word with the escape selector, then the value
 itself. Offsets of the blocks' words are stored, and all blocks of a chunk are coded and decoded at once with numpy.
 
-A file: magic, header (counts), document ids, ids per document, words per block, words; all little-endian. Files are
-written under a name of their own attempt and then renamed, so a retried task leaves one whole file; their order is
-that of their names. Null or empty texts are documents with the end id only.
+A file is a magic number and chunks of some documents each: a header (counts), document ids, ids per document, words per
+block, words; all little-endian. Chunks are written and read as a stream, so a task holds one of them. Files are written
+under a name of their own attempt and then renamed, so a retried task leaves one whole file; their order is that of the
+manifest's parts.
+
+Null or empty texts are documents with the end id only. Documents without a doc_id come first, as nulls do in Spark's
+order, in chunks of their own kind, and are read back as null. Rows of a repeated doc_id follow each other, ordered by
+a hash of the text, and equal rows are written as often as they stand there. A very long text is a chunk of its own. Empty tables
+give no files and no rows. Other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
 
-import io
-import uuid
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_parts, chunks, scratch_path, stored, text_bytes
+from .common import binary_parts, chunks, open_folder, scratch_path, stored, text_bytes, write_whole
 from .tokens import encoder
 
 MAGIC = b"S8BIDS01"
@@ -29,6 +34,8 @@ ESCAPE = 0
 LAYOUT = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 #: Ids that are coded at once.
 SPAN = 1 << 20
+#: Bytes of text in a file, about.
+FILE_BYTES = 32 << 20
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
@@ -135,81 +142,73 @@ def _decode_span(words: np.ndarray, per_block: np.ndarray, out: np.ndarray) -> N
     out[pos[raw]] = words[raw + 1]
 
 
-def pack_file(doc_ids: np.ndarray, lengths: np.ndarray, words: np.ndarray, per_block: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    out.write(MAGIC)
-    out.write(np.array([len(doc_ids), int(lengths.sum()), len(per_block), len(words)], "<i8").tobytes())
-    for x, kind in ((doc_ids, "<i8"), (lengths, "<i8"), (per_block, "<i4"), (words, "<u8")):
-        out.write(np.ascontiguousarray(x, dtype=kind).tobytes())
-    return out.getvalue()
+#: Fields of a chunk's header: whether its documents have ids, documents, blocks, words.
+HEADER = 4
 
 
-def read_parts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc ids, ids per document, words per block, words."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a token-id file")
-    n, _, blocks, n_words = np.frombuffer(data, "<i8", 4, 8).tolist()
-    at = 40
-    out = []
-    for count, kind in ((n, "<i8"), (n, "<i8"), (blocks, "<i4"), (n_words, "<u8")):
-        out.append(np.frombuffer(data, kind, count, at))
-        at += count * np.dtype(kind).itemsize
-    return tuple(out)
-
+def pack_chunk(doc_ids: np.ndarray | None, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """One chunk; doc_ids is None for documents without one."""
+    words, per_block = encode(ids)
+    head = np.array([doc_ids is not None, len(lengths), len(per_block), len(words)], "<i8")
+    own = np.zeros(len(lengths), "<i8") if doc_ids is None else doc_ids
+    parts = (head, "<i8"), (own, "<i8"), (lengths, "<i8"), (per_block, "<i4"), (words, "<u8")
+    return b"".join(np.ascontiguousarray(x, dtype=kind).tobytes() for x, kind in parts)
 
-def open_folder(uri: str):
-    """(file system, path) of a shared folder, of any store that pyarrow knows."""
-    from pyarrow import fs
 
-    if "://" not in uri and uri.startswith("file:"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+def read_chunks(stream):
+    """(doc ids or None, ids per document, ids) of each chunk of an open file."""
+    if stream.read(8) != MAGIC:
+        raise ValueError("not a token-id file")
+    while head := stream.read(8 * HEADER):
+        has_ids, n, blocks, n_words = np.frombuffer(head, "<i8").tolist()
+        doc_ids, lengths = (np.frombuffer(stream.read(8 * n), "<i8") for _ in range(2))
+        per_block = np.frombuffer(stream.read(4 * blocks), "<i4")
+        words = np.frombuffer(stream.read(8 * n_words), "<u8")
+        yield doc_ids if has_ids else None, lengths, decode(words, per_block, int(lengths.sum()))
 
 
-def write_id_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, partitions: int) -> DataFrame:
-    """Encode every text and write files in ascending doc_id order; a manifest row (part, file, docs, ids) for each.
+def write_id_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Encode every text and write files in ascending doc_id order; a manifest row (part, file, n_docs, n_ids) for each.
 
-    Rows are dealt by ranges of doc_id; a partition's encoded ids (about 2.5 bytes each) are what a task holds.
+    Rows are dealt by ranges of doc_id and a hash of the text, about `file_bytes` of text each.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        doc_ids, lengths, words, per_block = [], [], [], []
-        rest = np.zeros(0, np.uint64)
-        for batch in batches:
-            data, offs = binary_parts(batch.column("body"))
-            for a, b in chunks(offs):
-                ids, n = enc.encode(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                own = np.full(len(ids) + len(n), end_id, np.uint64)
-                keep = np.ones(len(own), bool)
-                keep[np.cumsum(n + 1) - 1] = False
-                own[keep] = ids
-                lengths.append(n + 1)
-                rest = np.concatenate([rest, own])
-                whole = len(rest) - len(rest) % BLOCK
-                w, c = encode(rest[:whole])
-                rest = rest[whole:]
-                words.append(w)
-                per_block.append(c.astype(np.int32))
-            doc_ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
-        if not doc_ids:
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
             return
-        w, c = encode(rest)
-        body = pack_file(np.concatenate(doc_ids), np.concatenate(lengths), np.concatenate([*words, w]), np.concatenate([*per_block, c.astype(np.int32)]))
-        store, path = open_folder(folder)
-        store.create_dir(path, recursive=True)
-        name = f"part-{part:06d}.s8b"
-        tmp = f"{path}/.{name}.{uuid.uuid4().hex}"
-        with store.open_output_stream(tmp) as out:
-            out.write(body)
-        store.move(tmp, f"{path}/{name}")
-        yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{path}/{name}"], "n_docs": [sum(map(len, doc_ids))], "n_ids": [int(sum(x.sum() for x in lengths))]}, schema=pa.schema([("part", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
-
-    # a null doc_id is written as the least long; it comes first, as nulls do in Spark's order
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_bytes().alias("body"))
-    ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "body")
+        counted = [0, 0]
+
+        def write(out):
+            out.write(MAGIC)
+            for batch in itertools.chain([first], batches):
+                data, offs = binary_parts(batch.column("body"))
+                names = batch.column("doc_id")
+                has = names.is_valid().to_numpy(zero_copy_only=False)
+                values = names.fill_null(0).to_numpy()
+                some = int((~has).sum())  # they come first
+                for lo, hi in ((0, some), (some, batch.num_rows)):
+                    for a, b in chunks(offs[lo : hi + 1]):
+                        a, b = lo + a, lo + b
+                        ids, n = enc.encode(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                        own = np.full(len(ids) + len(n), end_id, np.uint64)
+                        keep = np.ones(len(own), bool)
+                        keep[np.cumsum(n + 1) - 1] = False
+                        own[keep] = ids
+                        out.write(pack_chunk(values[a:b] if has[a] else None, n + 1, own))
+                        counted[0] += b - a
+                        counted[1] += len(own)
+
+        file = write_whole(folder, f"part-{part:09d}.s8b", write)
+        kinds = pa.schema([("part", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+        yield pa.RecordBatch.from_pydict({"part": [part], "file": [file], "n_docs": counted[:1], "n_ids": counted[1:]}, schema=kinds)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).withColumn("order", F.xxhash64("body"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("body") + 16), F.lit(0)).alias("n")).first()["n"]
+    ordered = rows.repartitionByRange(max(1, -(-size // file_bytes)), "doc_id", "order").sortWithinPartitions("doc_id", "order").drop("order")
     return ordered.mapInArrow(run, "part long, file string, n_docs long, n_ids long")
 
 
@@ -217,34 +216,28 @@ def read_id_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit) of every document, from the files."""
     from pyspark.sql.window import Window
 
+    # a row a file: the running sum is over the manifest only
     before = Window.partitionBy("_all").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    based = manifest.withColumn("_all", F.lit(0)).select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    based = manifest.withColumn("_all", F.lit(0)).select("part", "file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
 
     def run(batches):
         for batch in batches:
             store, _ = open_folder(folder)
             for file, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 with store.open_input_stream(file) as f:
-                    doc_ids, lengths, per_block, words = read_parts(f.read())
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                first = np.concatenate([[0], np.cumsum(per_block)])
-                a = 0
-                while a < len(doc_ids):  # a run of documents, and the blocks that hold them
-                    b = max(a + 1, int(np.searchsorted(ends, ends[a] + SPAN, side="right")) - 1)
-                    x, y = int(ends[a]) // BLOCK, -(-int(ends[b]) // BLOCK)
-                    n = min(int(ends[-1]), y * BLOCK) - x * BLOCK
-                    ids = decode(words[first[x] : first[y]], per_block[x:y], n)[ends[a] - x * BLOCK : ends[b] - x * BLOCK].astype("<u4")
-                    offsets = ((ends[a : b + 1] - ends[a]) * 4).astype(np.int32)
-                    body = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b]), pa.array(base + ends[a:b]), pa.array(lengths[a:b]), body], names=["doc_id", "start", "n_tokens", "ids"])
-                    a = b
-
-    spread = based.repartition(max(1, manifest.count()), "file")
+                    for doc_ids, lengths, ids in read_chunks(f):
+                        ends = np.concatenate([[0], np.cumsum(lengths)])
+                        named = pa.nulls(len(lengths), pa.int64()) if doc_ids is None else pa.array(doc_ids)
+                        body = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                        yield pa.RecordBatch.from_arrays([named, pa.array(base + ends[:-1]), pa.array(lengths), body], names=["doc_id", "start", "n_tokens", "ids"])
+                        base += int(ends[-1])
+
+    spread = based.repartitionByRange(max(1, manifest.count()), "part")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, partitions: int) -> DataFrame:
+def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the files of all documents to the shared folder and read them back."""
     folder = scratch_path(spark, "ids")
-    manifest = stored(write_id_files(docs, tokenizer, end_id, folder, partitions), "ids-manifest")
+    manifest = stored(write_id_files(docs, tokenizer, end_id, folder, file_bytes), "ids-manifest")
     return read_id_files(manifest, folder)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from . import binary_ids, decontamination, fingerprints, packing, quality, sharding, similarity_join, substring_dedup, token_counts, url_filter
-from .common import shuffle_width
 from .labelled_urls import labelled_urls
 from .tokens import word_tokenizer_path
 
@@ -53,7 +52,7 @@ def op6_suffix_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simple8b_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    ids = binary_ids.round_trip(spark, docs, word_tokenizer_path(), end_id=2, partitions=shuffle_width(spark))
+    ids = binary_ids.round_trip(spark, docs, word_tokenizer_path(), end_id=2)
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
