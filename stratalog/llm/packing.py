@@ -8,6 +8,9 @@ traced back. A found multiset is used as often as the counts allow, so the plan
 their gapless rank among those of the same length.
 
 A window is padded to its size, except where its length is a power of two. Null or empty texts hold the end id only.
+Rows are packed one by one whatever their doc_ids are (null and repeated ones too); rows of equal length, doc_id and text
+take their places in any order. Very long texts are cut into as many full windows as they fill. Empty tables give no
+pieces. Other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -107,21 +110,22 @@ def place_rests(histogram: dict[int, int], window: int) -> list[tuple[int, int,
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked for)."""
     rows = stored(token_pieces(docs, tokenizer, end_id, window, keep_ids), "packing-pieces")
-    n = rows.count()
     rows = rows.withColumn("n_full", F.expr(f"doc_tokens div {window}")).withColumn("rest", F.expr(f"doc_tokens % {window}"))
     # bounded: one number for each length below the window
     histogram = {r["rest"]: r["count"] for r in rows.where("rest > 0").groupBy("rest").count().collect()}
-    salts = salts_for(n, 20_000)
-    salt = F.pmod(F.col("row_key"), F.lit(salts))
+    long = rows.where("n_full > 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_full"), F.lit(0)).alias("t")).first()
+    # each length is numbered in as many parts as its own rows need
+    parts = F.lit([salts_for(histogram.get(rest, 0), 20_000) for rest in range(window)])
+    salt = F.pmod(F.col("row_key"), F.get(parts, F.col("rest").cast("int")))
+    long_salt = F.pmod(F.col("row_key"), F.lit(salts_for(long["n"], 20_000)))
     order = [F.col("doc_id"), F.col("row_key")]
-    full = gapless(rows.where("n_full > 0"), [], order, salt, "n_full", "first_full")
-    total = rows.agg(F.coalesce(F.sum("n_full"), F.lit(0)).alias("t")).first()["t"]
+    full = gapless(rows.where("n_full > 0"), [], order, long_salt, "n_full", "first_full")
     windows = full.select("doc_id", "doc_tokens", "first_full", F.posexplode(F.slice("crcs", F.lit(1), F.col("n_full").cast("int"))).alias("i", "ids_crc32"), "ids")
     windows = windows.select("doc_id", (F.col("i").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first_full") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.get("ids", F.col("i")).alias("ids"))
     rests = gapless(rows.where("rest > 0"), ["rest"], order, salt, None, "rank")
     where = F.broadcast(spark.createDataFrame(place_rests(histogram, window), _PLAN))  # bounded by the lengths below the window
     rests = rests.join(where, (F.col("rest") == F.col("p_rest")) & (F.col("rank") >= F.col("p_from")) & (F.col("rank") < F.col("p_to")))
     k = F.col("rank") - F.col("p_from")
-    rests = rests.select("doc_id", (F.col("n_full") * window).alias("start"), F.col("rest").alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), "doc_tokens", (F.lit(total) + F.col("p_seq") + F.expr("(rank - p_from) div p_each")).alias("sequence_id"), (F.col("p_offset") + k % F.col("p_each") * F.col("rest")).alias("offset"), F.element_at("ids", -1).alias("ids"))
+    rests = rests.select("doc_id", (F.col("n_full") * window).alias("start"), F.col("rest").alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), "doc_tokens", (F.lit(long["t"]) + F.col("p_seq") + F.expr("(rank - p_from) div p_each")).alias("sequence_id"), (F.col("p_offset") + k % F.col("p_each") * F.col("rest")).alias("offset"), F.element_at("ids", -1).alias("ids"))
     out = windows.unionByName(rests)
     return out if keep_ids else out.drop("ids")
