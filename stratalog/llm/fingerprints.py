@@ -5,6 +5,10 @@ anchor where the least hash of its inner substrings lies at its first or last pl
 so equal passages have equal anchors wherever they stand. A fingerprint is the `keep` least distinct anchor hashes
 (40 bits each, as hex); likeness is the Jaccard similarity of all distinct anchors. A text in which no k-mer is closed, or
 of fewer than K words, is its own single anchor; an empty or null text has no anchors, and two of those are alike (1.0).
+
+Very long texts are fingerprinted whole. Rows of a repeated or null doc_id each get a row; among themselves they follow
+each other by text (equal ones either way), nulls before all others. Empty tables give empty results. Other columns are
+not read, whatever they are called.
 """
 
 from __future__ import annotations

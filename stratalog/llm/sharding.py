@@ -5,8 +5,10 @@ the key and the child's path, and the least draw wins (equal draws: the earlier
 of the weight, and a change of one weight moves keys only into or out of the subtree it lies in: draws of the other
 children stay. A new shard opens a region of its own (`Topology.grow`), so it takes rows only into itself.
 
-Nulls: a null doc_id is a key like any other (the empty string); a null text has no bytes and checksum 0. Repeated
-rows each get a slot. Empty tables give empty results; other columns are carried along where asked for.
+Nulls: a null doc_id is a key like any other (the empty string); a null text has no bytes and checksum 0. Repeated rows
+and repeated doc_ids go to one shard, each row with a slot of its own; ties in the order of slots fall either way. Very
+long texts are only measured. Empty tables give empty results. `place` keeps every column of its input (one that has the
+name asked for gives way), `shard_documents` gives the listed ones only.
 """
 
 from __future__ import annotations
@@ -79,13 +81,23 @@ def place(df: DataFrame, key: Column, topology: Topology, out: str) -> DataFrame
     by_region = _table([sum(map(sum, region)) for region in t], "array<double>")
     by_rack = _table([[sum(rack) for rack in region] for region in t], "array<array<double>>")
     by_shard, begins = _table(t, "array<array<array<double>>>"), _table(first, "array<array<int>>")
-    df = df.withColumn("_key", F.coalesce(key.cast("string"), F.lit("")))
-    df = df.withColumn("_region", _winner(F.col("_key"), F.lit(""), by_region))
-    at = F.concat(F.lit("/"), F.col("_region").cast("string"))
-    df = df.withColumn("_rack", _winner(F.col("_key"), at, F.get(by_rack, F.col("_region"))))
-    at = F.concat(at, F.lit("/"), F.col("_rack").cast("string"))
-    leaf = _winner(F.col("_key"), at, F.get(F.get(by_shard, F.col("_region")), F.col("_rack")))
-    return df.withColumn(out, F.get(F.get(begins, F.col("_region")), F.col("_rack")) + leaf).drop("_key", "_region", "_rack")
+    mine, region, rack = (_free(df, name) for name in ("key", "region", "rack"))
+    ref = lambda name: F.col(f"`{name}`")
+    df = df.withColumn(mine, F.coalesce(key.cast("string"), F.lit("")))
+    df = df.withColumn(region, _winner(ref(mine), F.lit(""), by_region))
+    at = F.concat(F.lit("/"), ref(region).cast("string"))
+    df = df.withColumn(rack, _winner(ref(mine), at, F.get(by_rack, ref(region))))
+    at = F.concat(at, F.lit("/"), ref(rack).cast("string"))
+    leaf = _winner(ref(mine), at, F.get(F.get(by_shard, ref(region)), ref(rack)))
+    return df.withColumn(out, F.get(F.get(begins, ref(region)), ref(rack)) + leaf).drop(mine, region, rack)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A name like this that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def shard_documents(docs: DataFrame, topology: Topology, grown: Topology | None = None, rows: int | None = None) -> DataFrame:

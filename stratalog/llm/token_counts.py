@@ -7,6 +7,9 @@ lengths give every token's span, and an interval join (binary search on the sort
 A token that crosses a bound belongs to one section by `rule`: `start` (that of its first byte), `end` (of its last)
 or `majority` (of most of its bytes; equal parts: the earliest). Counts of a document's sections sum to its tokens.
 Null fields are empty; a document without any text has empty sections with no tokens beyond the joining line feeds.
+Bytes that are not UTF-8 count as the replacement character, before anything is measured. Very long texts are encoded
+whole. Every row is counted by itself, whatever its doc_id; equal rows get equal counts. Empty tables give empty
+results. Other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -69,9 +72,9 @@ def count_sections(docs: DataFrame, tokenizer: str, fields: tuple[str, ...] = ("
             counts, offsets, cols = [], [0], [[] for _ in range(6)]
             parts = [binary_parts(batch.column(f"f{i}")) for i in range(len(fields))]
             for d in range(batch.num_rows):
-                raw = [data[offs[d] : offs[d + 1]].tobytes() for data, offs in parts]
+                raw = [data[offs[d] : offs[d + 1]].tobytes().decode("utf-8", "replace").encode() for data, offs in parts]
                 body = b"\n".join(raw)
-                ids = np.array(enc.encode_ordinary(body.decode("utf-8", "replace")), np.int64)
+                ids = np.array(enc.encode_ordinary(body.decode()), np.int64)
                 flat = np.frombuffer(body, np.uint8)
                 head = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
                 lines = head[-1] + np.flatnonzero(flat[head[-1] :] == 10) + 1

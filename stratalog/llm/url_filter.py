@@ -6,7 +6,10 @@ rule's, and the longest fitting rule wins. Without one, a model decides: the dis
 features present are summed. The model is trained on a small labelled URL table (at most MAX_LABELLED rows, an error
 beyond it) by full-batch gradient descent, so training and scoring are the same on every run and engine.
 
-A null url, or one without "://", has an empty host and path: no rule fits and the intercept decides.
+A null url, or one without "://", has an empty host and path: no rule fits and the intercept decides. Very long urls are
+judged whole. Every row is judged by itself, repeated ones too; of rules of equal length the earlier wins. Empty tables
+give empty results, and no rules mean that the model decides everything. A column of the input that is called host, path,
+rule or verdict is kept as `input_<name>`.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import given_names, own_names
+
 MAX_LABELLED = 100_000
 #: Weights are kept as integers of this many parts of one, so that sums are exact.
 SCALE = 10_000
@@ -121,10 +126,24 @@ def train(labelled: list[tuple[str, int]], buckets: int = 4096, sizes: tuple[int
     return UrlModel(round(b * SCALE), tuple(int(v) for v in np.round(w * scale * SCALE)), sizes)
 
 
+RESULTS = ("host", "path", "rule", "verdict")
+
+
 def filter_urls(pages: DataFrame, rules: list[Rule], model: UrlModel, url: str = "url") -> DataFrame:
     """The rows with host, path, rule and verdict (`allow` or `block`) added."""
-    out = with_host_and_path(pages, url).withColumn("rule", matching_rule(rules))
+    plain, named = own_names(pages)
+    out = with_host_and_path(plain, named[url]).withColumn("rule", matching_rule(rules))
     by_rule = F.lit(None).cast("string")
     for r in rules:
         by_rule = F.when(F.col("rule") == r.name, F.lit(r.verdict)).otherwise(by_rule)
-    return out.withColumn("verdict", F.coalesce(by_rule, F.when(model.blocks(), F.lit("block")).otherwise(F.lit("allow"))))
+    out = out.withColumn("verdict", F.coalesce(by_rule, F.when(model.blocks(), F.lit("block")).otherwise(F.lit("allow"))))
+    taken = set(named)
+
+    def free(name: str) -> str:
+        while name in taken or name in RESULTS:
+            name = f"input_{name}"
+        taken.add(name)
+        return name
+
+    kept = {free(c) if c in RESULTS else c: u for c, u in named.items()}
+    return given_names(out, kept, *map(F.col, RESULTS))
