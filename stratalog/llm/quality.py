@@ -54,7 +54,7 @@ WORD = 24
 #: Share of words whose excess is taken for the tail, and the step in nats at which it is counted.
 TAIL, BIN = 0.01, 0.05
 #: n-grams that a shard has, about, and n-grams in a request at most.
-SHARD_ENTRIES, REQUEST_KEYS = 150_000, 32_768
+SHARD_ENTRIES, REQUEST_KEYS = 16_000, 32_768
 #: Blocks whose requests one task answers for a shard, about.
 BLOCKS_A_TASK = 64
 

@@ -188,7 +188,7 @@ def test_simple8b_round_trip(spark):
         ids = [*tok.encode(d[1] or "", add_special_tokens=False).ids, 2]
         want[d[0]] = (start, len(ids), np.array(ids, "<u4").tobytes())
         start += len(ids)
-    got = binary_ids.round_trip(spark, frame(spark, rows), tokens.word_tokenizer_path(), 2, 3).collect()
+    got = binary_ids.round_trip(spark, frame(spark, rows), tokens.word_tokenizer_path(), 2, 2000).collect()
     assert {r.doc_id: (r.start, r.n_tokens, bytes(r.ids)) for r in got} == want
 
 
@@ -256,7 +256,7 @@ def test_empty_tables_and_clashing_columns(spark):
     assert similarity_join.near_duplicates(spark, none).count() == 0
     assert substring_dedup.deduplicate(spark, none).count() == 0
     assert packing.pack_documents(spark, none, tokens.word_tokenizer_path()).count() == 0
-    assert binary_ids.round_trip(spark, none, tokens.word_tokenizer_path(), 2, 2).count() == 0
+    assert binary_ids.round_trip(spark, none, tokens.word_tokenizer_path(), 2).count() == 0
     assert fingerprints.fingerprint_edits(none).count() == 0
     wide = spark.createDataFrame([(1, "a b c", "en", "s", 5, 7, "x", "y")], SCHEMA + ", _doc int, spans string, body string")
     assert similarity_join.keep_one(spark, wide).columns == wide.columns

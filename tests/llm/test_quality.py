@@ -55,7 +55,7 @@ def corpus(seed=5, n=60):
     return rows + [(2000, "Zq#x über 日本", "xx", "s", 1), (2001, None, None, None, None), (2002, "", "en", "s", 0)]
 
 
-@pytest.mark.parametrize("entries", [150_000, 40])
+@pytest.mark.parametrize("entries", [16_000, 40])
 def test_perplexity_thresholds_and_decisions_against_plain_python(spark, entries, monkeypatch):
     monkeypatch.setattr(quality, "SHARD_ENTRIES", entries)  # several shards a language
     rows = corpus()
