@@ -11,7 +11,9 @@ from pyspark.sql.window import Window
 from .functions import expressions as X
 from .functions import vocab
 from .operators import budget, diff, graph
-from .sources.tables import Catalog, coverage_status
+from .queries import QUERIES
+from .sources.model import Model
+from .sources.tables import Catalog
 
 _QUERIES: dict[str, tuple[Callable[[Catalog], DataFrame], str]] = {}
 
@@ -55,57 +57,13 @@ def s2_content_hash(c: Catalog) -> DataFrame:
     return c.files().groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_files"), F.min("path").alias("first_path"), F.sum("byte_size").alias("total_bytes"))
 
 
-@_register("s4_html_headings", r"""SELECT page_id, i::INTEGER AS pos, t[i] AS heading FROM (SELECT page_id, regexp_extract_all(html, '<h1[^>]*>([^<]*)</h1>', 1) AS t FROM pages), unnest(range(1, len(t) + 1)) AS x(i)""")
-def s4_html_headings(c: Catalog) -> DataFrame:
-    found = c.table("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<h1[^>]*>([^<]*)</h1>"), 1)).alias("p", "heading"))
-    return found.select("page_id", (F.col("p") + 1).alias("pos"), "heading")
-
-
 @_register("s5_json_keys", """SELECT k AS key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY k""")
 def s5_json_keys(c: Catalog) -> DataFrame:
     return c.table("events").select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_register("s6_line_symbols", r"""SELECT doc_id, i::BIGINT AS line, length(t[i])::BIGINT AS n_chars FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents), unnest(range(1, len(t) + 1)) AS x(i) WHERE regexp_matches(t[i], '^[A-Za-z]+')""")
-def s6_line_symbols(c: Catalog) -> DataFrame:
-    lines = c.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "t"))
-    return lines.where(F.col("t").rlike("^[A-Za-z]+")).select("doc_id", (F.col("p") + 1).cast("long").alias("line"), F.length("t").cast("long").alias("n_chars"))
-
-
-@_register("s10_persist_once", "SELECT props, min(event_id) AS event_id, count(*) AS seen FROM events GROUP BY props")
-def s10_persist_once(c: Catalog) -> DataFrame:
-    return c.table("events").groupBy("props").agg(F.min("event_id").alias("event_id"), F.count(F.lit(1)).alias("seen"))
-
-
-@_register("s15_owning_scope", f"WITH {_FILES}, s AS (SELECT DISTINCT source AS scope FROM documents UNION SELECT DISTINCT source || '/' || lang FROM documents WHERE lang <> 'es'), m AS (SELECT path, scope, row_number() OVER (PARTITION BY path ORDER BY length(scope) DESC) AS k FROM f JOIN s ON starts_with(path, scope || '/')) SELECT path, scope FROM m WHERE k = 1")
-def s15_owning_scope(c: Catalog) -> DataFrame:
-    """The deepest scope whose path components begin the file's; an equi join on the file's ancestors."""
-    d = c.table("documents")
-    scopes = d.select(F.col("source").alias("scope")).union(d.where("lang != 'es'").select(F.concat_ws("/", "source", "lang"))).distinct()
-    parts = F.split("path", "/")
-    up = c.files().select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("scope"))
-    return up.join(scopes, "scope").groupBy("path").agg(F.max_by("scope", F.length("scope")).alias("scope"))
-
-
 # --- predicates and scalars -------------------------------------------------------------------------------------
 
-def _path_rule_sql() -> str:
-    cases = " ".join(f"WHEN regexp_matches(p, '{pat}') THEN '{code}'" for code, _, pats in vocab.PATH_RULES for pat in pats)
-    return f"WITH x AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'src/.env' WHEN 1 THEN 'node_modules/a.js' WHEN 2 THEN 'dist/b.js' WHEN 3 THEN 'lib/c.min.js' WHEN 4 THEN 'img/d.png' WHEN 5 THEN 'lib/e.jar' WHEN 6 THEN 'archive/f.py' ELSE 'src/tests/g.rs' END AS p FROM documents) SELECT doc_id, p AS path, CASE {cases} ELSE 'present' END AS code FROM x"
-
-
-@_register("p1_classify_path", _path_rule_sql())
-def p1_classify_path(c: Catalog) -> DataFrame:
-    names = F.array(*[F.lit(p) for p in ("src/.env", "node_modules/a.js", "dist/b.js", "lib/c.min.js", "img/d.png", "lib/e.jar", "archive/f.py", "src/tests/g.rs")])
-    rows = c.table("documents").select("doc_id", F.get(names, (F.col("doc_id") % 8).cast("int")).alias("path"))
-    return rows.select("doc_id", "path", F.coalesce(X.classify_path(F.col("path"))["code"], F.lit("present")).alias("code"))
-
-
-@_register("p2_artifact_class", f"WITH {_FILES} SELECT path, 'documentation' AS artifact_class, false AS is_test FROM f")
-def p2_artifact_class(c: Catalog) -> DataFrame:
-    return c.files().select("path", X.artifact_class(F.col("path")).alias("artifact_class"), X.is_test(F.col("path")).alias("is_test"))
-
-
 def _task_sql() -> str:
     cases = " ".join(f"WHEN regexp_matches(text, '(?i)(^|[^A-Za-z0-9_]){k}([^A-Za-z0-9_]|$)') THEN '{kind}|{rule}'" for k, kind, rule in vocab.TASK_RULES)
     return f"WITH x AS (SELECT conv_id, turn, CASE {cases} ELSE '{'|'.join(vocab.DEFAULT_TASK_RULE)}' END AS r FROM conversations) SELECT conv_id, turn, split_part(r, '|', 1) AS kind, split_part(r, '|', 2) AS rule_id FROM x"
@@ -139,12 +97,6 @@ def p15_display_name(c: Catalog) -> DataFrame:
     return c.table("part").select("p_partkey", X.display_name(key).alias("display"))
 
 
-@_register("p17_source_range", "SELECT doc_id, array_to_string((string_split(text, chr(10)))[2:3], chr(10)) AS body FROM documents WHERE len(string_split(text, chr(10))) >= 2")
-def p17_source_range(c: Catalog) -> DataFrame:
-    lines = F.split("text", "\n")
-    return c.table("documents").where(F.size(lines) >= 2).select("doc_id", F.array_join(F.slice(lines, 2, 2), "\n").alias("body"))
-
-
 @_register("p23_cursor", f"WITH {_FILES} SELECT path, lower(hex(encode(path || chr(31) || file_id))) AS cursor FROM f")
 def p23_cursor(c: Catalog) -> DataFrame:
     return c.files().select("path", F.lower(F.hex(F.concat_ws("\u001f", "path", "file_id").cast("binary"))).alias("cursor"))
@@ -172,11 +124,6 @@ def j9_latest_event(c: Catalog) -> DataFrame:
     return c.table("events").groupBy("user_id").agg(F.max("ts").alias("ts"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@_register("j10_sequence_range", "SELECT user_id, count(*) AS n FROM events WHERE event_id > 100 AND event_id <= 5000 GROUP BY user_id")
-def j10_sequence_range(c: Catalog) -> DataFrame:
-    return c.table("events").where("event_id > 100 and event_id <= 5000").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @_register("j12_renames", f"WITH {_G1}, {_G2}, gone AS (SELECT content_hash, min(path) AS old_path FROM g1 WHERE path NOT IN (SELECT path FROM g2) GROUP BY 1 HAVING count(*) = 1), new AS (SELECT content_hash, min(path) AS new_path FROM g2 WHERE path NOT IN (SELECT path FROM g1) GROUP BY 1 HAVING count(*) = 1) SELECT content_hash, old_path, new_path FROM gone JOIN new USING (content_hash)")
 def j12_renames(c: Catalog) -> DataFrame:
     before, after = c.generation(1), c.generation(2)
@@ -190,40 +137,12 @@ def a2_coverage_summary(c: Catalog) -> DataFrame:
     return c.coverage().groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
 
 
-@_register("a3_symbol_counts", f"WITH {_RES} SELECT symbol_key, count(r.source) AS callers, count(CASE WHEN r.status = 'stale' THEN 1 END) AS stale FROM sym LEFT JOIN res r ON r.target = symbol_key AND r.type = 'calls' GROUP BY symbol_key")
-def a3_symbol_counts(c: Catalog) -> DataFrame:
-    calls = resolved_edges(c).where("type = 'calls'").groupBy("target").agg(F.count(F.lit(1)).alias("callers"), F.count_if(F.col("status") == "stale").alias("stale"))
-    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
-    return c.symbols().join(calls, F.col("symbol_key") == F.col("target"), "left").select("symbol_key", zero("callers"), zero("stale"))
-
-
-@_register("a4_coverage_rollup", f"WITH {_COV}, r AS (SELECT 'language' AS scope_kind, lang AS scope_key, status FROM cov UNION ALL SELECT 'source', source, status FROM cov UNION ALL SELECT 'workspace', '', status FROM cov) SELECT scope_kind, scope_key, count(*) AS eligible, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'unsupported') AS unsupported, count(*) FILTER (status = 'failed') AS failed FROM r GROUP BY 1, 2")
-def a4_coverage_rollup(c: Catalog) -> DataFrame:
-    pair = lambda kind, key: F.struct(F.lit(kind).alias("scope_kind"), key.alias("scope_key"))
-    rows = c.coverage().select("status", F.explode(F.array(pair("language", F.col("lang")), pair("source", F.col("source")), pair("workspace", F.lit("")))).alias("s"))
-    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("complete", "partial", "unsupported", "failed")]
-    return rows.groupBy("s.scope_kind", "s.scope_key").agg(F.count(F.lit(1)).alias("eligible"), *counts)
-
-
-@_register("a7_event_counts", f"WITH {_EV} SELECT use_type, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM ev GROUP BY use_type")
-def a7_event_counts(c: Catalog) -> DataFrame:
-    return c.use_events().groupBy("use_type").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-
-
 @_register("a9_evidence_clusters", "SELECT l_orderkey, l_partkey, count(*) AS facts, count(DISTINCT l_suppkey) AS targets, CASE WHEN count(DISTINCT l_suppkey) <= 1 THEN 'corroborated' ELSE 'conflict' END AS outcome, arg_max(l_linenumber, (l_quantity, l_linenumber)) AS preferred FROM lineitem GROUP BY 1, 2")
 def a9_evidence_clusters(c: Catalog) -> DataFrame:
     targets = F.count_distinct("l_suppkey")
     return c.table("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.count(F.lit(1)).alias("facts"), targets.alias("targets"), F.when(targets <= 1, "corroborated").otherwise("conflict").alias("outcome"), F.max_by("l_linenumber", F.struct("l_quantity", "l_linenumber")).alias("preferred"))
 
 
-@_register("a13_risk_summary", f"WITH {_COV}, t AS (SELECT count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'unsupported') AS unsupported FROM cov), s AS (SELECT unnest(['failed', 'partial', 'unsupported']) AS signal, unnest([failed, partial, unsupported]) AS n, unnest([3, 2, 1]) AS rank FROM t) SELECT signal, n, rank::INTEGER AS rank, (max(rank) OVER ())::INTEGER AS level FROM s WHERE n > 0")
-def a13_risk_summary(c: Catalog) -> DataFrame:
-    ranks = {"failed": 3, "partial": 2, "unsupported": 1}
-    one = c.coverage().agg(*[F.count_if(F.col("status") == s).alias(s) for s in ranks])
-    rows = one.select(F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("n"), F.lit(r).alias("rank")) for s, r in ranks.items()])).alias("x")).select("x.*").where("n > 0")
-    return rows.withColumn("level", F.max("rank").over(Window.partitionBy()))
-
-
 @_register("a15_nearest_rank", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def a15_nearest_rank(c: Catalog) -> DataFrame:
     p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
@@ -238,12 +157,6 @@ def w1_retention_rank(c: Catalog) -> DataFrame:
     return s.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("last"), "session_id"))).where("k <= 3").select("session_id", "k")
 
 
-@_register("w2_preferred_symbol", f"WITH {_SYM} SELECT path, symbol_key FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY confidence DESC, symbol_key) AS k FROM sym) WHERE k = 1")
-def w2_preferred_symbol(c: Catalog) -> DataFrame:
-    w = Window.partitionBy("path").orderBy(F.desc("confidence"), "symbol_key")
-    return c.symbols().withColumn("k", F.row_number().over(w)).where("k = 1").select("path", "symbol_key")
-
-
 @_register("w6_retained_candidates", f"WITH {_SYM}, r AS (SELECT *, dense_rank() OVER (ORDER BY kind) AS d FROM sym) SELECT kind, count(*) AS n, max(d) = 6 AS sentinel FROM r WHERE d <= 6 GROUP BY kind")
 def w6_retained_candidates(c: Catalog) -> DataFrame:
     """The first five keys and the sentinel after them; keys are ranked among distinct keys only."""
@@ -256,12 +169,6 @@ def l3_history(c: Catalog) -> DataFrame:
     return c.table("events").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
 
 
-@_register("l5_keyset_page", f"WITH {_FILES} SELECT path, file_id FROM f WHERE (path, file_id) > ('src1/en/5.md', '') ORDER BY path, file_id LIMIT 50")
-def l5_keyset_page(c: Catalog) -> DataFrame:
-    after = (F.col("path") > "src1/en/5.md") | ((F.col("path") == "src1/en/5.md") & (F.col("file_id") > ""))
-    return c.files().where(after).select("path", "file_id").orderBy("path", "file_id").limit(50)
-
-
 @_register("u2_set_algebra", f"WITH {_EV}, s AS (SELECT session_id, coalesce(list(DISTINCT entity) FILTER (use_type = 'context_supplied'), []) AS a, coalesce(list(DISTINCT entity) FILTER (use_type = 'entity_queried'), []) AS b FROM ev GROUP BY session_id) SELECT session_id, len(a) AS supplied, len(b) AS observed, len(list_intersect(a, b)) AS used, len(b) - len(list_intersect(a, b)) AS expanded FROM s")
 def u2_set_algebra(c: Catalog) -> DataFrame:
     s = c.use_events().groupBy("session_id").agg(*[F.collect_set(F.when(F.col("use_type") == t, F.col("entity"))).alias(n) for t, n in (("context_supplied", "a"), ("entity_queried", "b"))])
@@ -302,8 +209,8 @@ def d2_file_diff(c: Catalog) -> DataFrame:
     return diff.file_changes(c.generation(1), c.generation(2)).select("file_id", "old_path", "new_path", "change")
 
 
-@_register("d3_relationship_diff", """WITH b AS (SELECT 'order:' || l_orderkey AS i, 'part:' || l_partkey AS t, l_returnflag AS s FROM lineitem WHERE l_orderkey % 3 = 0),
-a AS (SELECT 'order:' || l_orderkey AS i, 'part:' || CASE WHEN l_linenumber = 1 THEN l_partkey + 1 ELSE l_partkey END AS t, CASE WHEN l_linenumber = 2 THEN 'X' ELSE l_returnflag END AS s FROM lineitem WHERE l_orderkey % 3 = 0),
+@_register("d3_relationship_diff", """WITH b AS (SELECT 'order:' || l_orderkey AS i, 'part:' || l_partkey AS t, l_returnflag AS s FROM lineitem),
+a AS (SELECT 'order:' || l_orderkey AS i, 'part:' || CASE WHEN l_linenumber = 1 THEN l_partkey + 1 ELSE l_partkey END AS t, CASE WHEN l_linenumber = 2 THEN 'X' ELSE l_returnflag END AS s FROM lineitem),
 g AS (SELECT *, row_number() OVER (PARTITION BY i, t ORDER BY s) AS k FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)), n AS (SELECT *, row_number() OVER (PARTITION BY i, t ORDER BY s) AS k FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)),
 j AS (SELECT coalesce(g.i, n.i) AS i, coalesce(g.t, n.t) AS t, g.s AS s1, n.s AS s2 FROM g FULL JOIN n ON g.i = n.i AND g.t = n.t AND g.k = n.k),
 r AS (SELECT *, count(s1) OVER (PARTITION BY i) AS c1, count(s2) OVER (PARTITION BY i) AS c2 FROM j WHERE s1 IS NULL OR s2 IS NULL)
@@ -311,12 +218,6 @@ SELECT i AS identity, 'evidence_changed' AS change, t AS old_target, t AS new_ta
 UNION ALL SELECT i, 'retargeted', max(CASE WHEN s1 IS NOT NULL THEN t END), max(CASE WHEN s2 IS NOT NULL THEN t END) FROM r WHERE c1 = 1 AND c2 = 1 GROUP BY i
 UNION ALL SELECT i, CASE WHEN s1 IS NULL THEN 'added' ELSE 'removed' END, CASE WHEN s1 IS NOT NULL THEN t END, CASE WHEN s2 IS NOT NULL THEN t END FROM r WHERE NOT (c1 = 1 AND c2 = 1)""")
 def d3_relationship_diff(c: Catalog) -> DataFrame:
-    """A third of the orders, as its SQL has it; d3_relationship_diff_whole has all."""
-    return _lineitem_diff(c.table("lineitem").where("l_orderkey % 3 = 0"))
-
-
-@_register("d3_relationship_diff_whole", _QUERIES["d3_relationship_diff"][1].replace(" WHERE l_orderkey % 3 = 0", ""))
-def d3_relationship_diff_whole(c: Catalog) -> DataFrame:
     return _lineitem_diff(c.table("lineitem"))
 
 
@@ -327,20 +228,6 @@ def _lineitem_diff(li: DataFrame) -> DataFrame:
     return diff.relationship_changes(before, after)
 
 
-@_register("d12_deletions", f"WITH {_G1}, {_G2} SELECT file_id, path, content_hash FROM g1 WHERE file_id NOT IN (SELECT file_id FROM g2)")
-def d12_deletions(c: Catalog) -> DataFrame:
-    return c.generation(1).join(c.generation(2).select("file_id"), "file_id", "left_anti").select("file_id", "path", "content_hash")
-
-
-@_register("d18_retention", f"WITH {_EV}, s AS (SELECT user_id, session_id, max(ts) AS last FROM ev GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last DESC, session_id) AS k, (SELECT max(ts) FROM events) AS now FROM s) SELECT session_id, CASE WHEN k > 5 OR last < now - INTERVAL 180 DAY THEN 'delete_session' WHEN last < now - INTERVAL 30 DAY THEN 'delete_derived' ELSE 'keep' END AS action FROM r")
-def d18_retention(c: Catalog) -> DataFrame:
-    e = c.use_events()
-    s = e.groupBy("user_id", "session_id").agg(F.max("ts").alias("last"))
-    s = s.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("last"), "session_id"))).crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))
-    older = lambda days: F.col("last") < F.col("now") - F.expr(f"INTERVAL {days} DAY")
-    return s.select("session_id", F.when((F.col("k") > 5) | older(180), "delete_session").when(older(30), "delete_derived").otherwise("keep").alias("action"))
-
-
 # --- selection --------------------------------------------------------------------------------------------------
 
 @_register("b1_greedy_budget", """WITH RECURSIVE c AS (SELECT source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS rank, doc_id::VARCHAR AS item, strlen(text)::BIGINT AS b FROM documents),
@@ -354,45 +241,8 @@ def b1_greedy_budget(c: Catalog) -> DataFrame:
     return budget.greedy_select(rows, "request", 10, 20_000, 4_000)
 
 
-@_register("b10_find", f"WITH {_SYM} SELECT symbol_key, display_name, kind, path, confidence FROM sym WHERE lower(display_name) LIKE '%a%' AND lower(path) LIKE 'brand%' AND confidence >= 0.5 ORDER BY path, start_byte, symbol_key LIMIT 51")
-def b10_find(c: Catalog) -> DataFrame:
-    """Substring, prefix and confidence, one page and the row after it."""
-    s = c.symbols().where(F.lower("display_name").like("%a%") & F.lower("path").like("brand%") & (F.col("confidence") >= 0.5))
-    return s.orderBy("path", "start_byte", "symbol_key").limit(51).select("symbol_key", "display_name", "kind", "path", "confidence")
-
-
-@_register("b11_inspect", f"WITH {_RES} SELECT 'outbound' AS direction, source, type, target FROM res WHERE source = 'order:7' UNION ALL SELECT 'inbound', source, type, target FROM res WHERE target = 'order:7'")
-def b11_inspect(c: Catalog) -> DataFrame:
-    e = c.edges()
-    one = lambda side, name: e.where(F.col(side) == "order:7").select(F.lit(name).alias("direction"), "source", "type", "target")
-    return one("source", "outbound").unionByName(one("target", "inbound"))
-
-
-@_register("j15_phrase_search", r"WITH w AS (SELECT doc_id, ' ' || array_to_string(regexp_split_to_array(lower(text), '[^a-z0-9]+'), ' ') || ' ' AS t FROM documents), q AS (SELECT item_id, ' ' || array_to_string((regexp_split_to_array(lower(text), '[^a-z0-9]+'))[1:3], ' ') || ' ' AS p FROM benchmark) SELECT q.item_id, w.doc_id FROM w JOIN q ON contains(w.t, q.p)")
-def j15_phrase_search(c: Catalog) -> DataFrame:
-    """Contiguous phrases of three words by an equi join on the documents' word triples."""
-    words = lambda: F.split(F.lower("text"), "[^a-z0-9]+")
-    d = c.table("documents").select("doc_id", words().alias("w"))
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    rows = d.where(F.size("w") >= 3).select("doc_id", F.explode(F.array_distinct(triples)).alias("p"))
-    q = c.table("benchmark").select("item_id", F.array_join(F.slice(words(), 1, 3), " ").alias("p"))
-    return rows.join(q, "p").select("item_id", "doc_id").distinct()
-
-
 # --- metrics ----------------------------------------------------------------------------------------------------
 
-@_register("m2_context_metrics", f"WITH {_EV}, s AS (SELECT session_id, count(DISTINCT entity) FILTER (use_type = 'context_supplied') AS supplied, count(DISTINCT entity) FILTER (use_type = 'exact_source_requested') AS reads FROM ev GROUP BY session_id) SELECT session_id, supplied, reads, CASE WHEN supplied = 0 THEN 'no_supplied_evidence' ELSE 'valid' END AS validity FROM s")
-def m2_context_metrics(c: Catalog) -> DataFrame:
-    n = lambda t: F.count_distinct(F.when(F.col("use_type") == t, F.col("entity")))
-    s = c.use_events().groupBy("session_id").agg(n("context_supplied").alias("supplied"), n("exact_source_requested").alias("reads"))
-    return s.withColumn("validity", F.when(F.col("supplied") == 0, "no_supplied_evidence").otherwise("valid"))
-
-
-@_register("r7_record_event_once", f"WITH {_EV} SELECT substr(sha256(session_id || chr(31) || use_type || chr(31) || entity), 1, 32) AS event_key, count(*) AS n FROM ev WHERE entity IS NOT NULL GROUP BY 1")
-def r7_record_event_once(c: Catalog) -> DataFrame:
-    e = c.use_events().where("entity is not null")
-    return e.groupBy(X.framed_id(F.col("session_id"), F.col("use_type"), F.col("entity")).alias("event_key")).agg(F.count(F.lit(1)).alias("n"))
-
 
 @_register("k4_integrity", "SELECT 'orders.o_custkey' AS rule, count(*) AS violations FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'lineitem.l_orderkey', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'documents.doc_id unique', (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1))")
 def k4_integrity(c: Catalog) -> DataFrame:
@@ -404,8 +254,9 @@ def k4_integrity(c: Catalog) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Catalog(spark, sf_dir))) for name, (f, _) in _QUERIES.items()}
+    first = {name: (lambda spark, sf_dir, f=f: f(Catalog(spark, sf_dir))) for name, (f, _) in _QUERIES.items()}
+    return first | {name: (lambda spark, sf_dir, f=f: f(Model(spark, sf_dir))) for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _QUERIES.items()}
+    return {name: sql for name, (_, sql) in (_QUERIES | QUERIES).items() if sql is not None}

@@ -33,9 +33,11 @@ def classify_path(path: Column) -> Column:
 
 
 def artifact_class(path: Column) -> Column:
+    """`test` where is_test() holds, else by the extension: what stands after the path's last dot."""
     name = F.lower(path)
     ext = F.when(name.contains("."), F.element_at(F.split(name, r"\."), -1)).otherwise("")
-    return _chain([(ext.isin(*exts), F.lit(kind)) for kind, exts in vocab.ARTIFACT_CLASSES.items()], F.lit("other"))
+    by_extension = _chain([(ext.isin(*exts), F.lit(kind)) for kind, exts in vocab.ARTIFACT_CLASSES.items()], F.lit("other"))
+    return F.when(is_test(path), "test").otherwise(by_extension)
 
 
 def is_test(path: Column) -> Column:

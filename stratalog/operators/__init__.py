@@ -1 +1 @@
-"""operators of the catalogue engine."""
+"""Operators: DataFrame to DataFrame, without knowledge of the registered queries."""

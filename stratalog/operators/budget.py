@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,19 +10,30 @@ from pyspark.sql import functions as F
 def greedy_select(candidates: DataFrame, group: str, max_records: int, max_bytes: int, max_tokens: int) -> DataFrame:
     """group, rank, item, decision (`selected`, or the first limit broken: records, bytes, tokens).
 
-    candidates: group, rank (unique in a group), item, bytes, tokens. A request's candidates are one array, folded in
-    rank order on the JVM; requests run in parallel, and a request's candidates are bounded upstream by its retained
-    candidate limit.
+    candidates: group, rank (unique in a group), item, bytes, tokens. Requests are dealt to partitions, sorted by rank
+    there, and streamed with three running totals: a request of any length takes no more memory than one batch.
     """
-    item = F.struct("rank", "item", F.col("bytes").cast("long").alias("bytes"), F.col("tokens").cast("long").alias("tokens"))
-    listed = candidates.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("c"))
-    zero = F.expr("named_struct('n', 0L, 'b', 0L, 't', 0L, 'out', cast(array() as array<struct<rank: bigint, item: string, decision: string>>))")
 
-    def step(acc, x):
-        why = F.when(acc["n"] >= max_records, "records").when(acc["b"] + x["bytes"] > max_bytes, "bytes").when(acc["t"] + x["tokens"] > max_tokens, "tokens").otherwise("selected")
-        take = lambda a, v: F.when(why == "selected", a + v).otherwise(a)
-        row = F.struct(x["rank"].cast("long").alias("rank"), x["item"].alias("item"), why.alias("decision"))
-        return F.struct(take(acc["n"], F.lit(1).cast("long")).alias("n"), take(acc["b"], x["bytes"]).alias("b"), take(acc["t"], x["tokens"]).alias("t"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def run(batches):
+        request, n, size, spent = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for g, b, t in zip(*(batch.column(c).to_pylist() for c in ("g", "bytes", "tokens")), strict=True):
+                if g != request:
+                    request, n, size, spent = g, 0, 0, 0
+                if n >= max_records:
+                    out.append("records")
+                elif size + b > max_bytes:
+                    out.append("bytes")
+                elif spent + t > max_tokens:
+                    out.append("tokens")
+                else:
+                    n, size, spent = n + 1, size + b, spent + t
+                    out.append("selected")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("g", "rank", "item")), pa.array(out, pa.string())], names=["g", "rank", "item", "decision"])
 
-    folded = listed.select(group, F.explode(F.aggregate("c", zero, step)["out"]).alias("r"))
-    return folded.select(group, "r.*")
+    long = [F.col(c).cast("long").alias(c) for c in ("rank", "bytes", "tokens")]
+    rows = candidates.select(F.col(group).alias("g"), F.col("item").cast("string").alias("item"), *long)
+    kind = rows.schema["g"].dataType.simpleString()
+    folded = rows.repartition("g").sortWithinPartitions("g", "rank").mapInArrow(run, f"g {kind}, rank long, item string, decision string")
+    return folded.withColumnRenamed("g", group)

@@ -28,11 +28,13 @@ def relationship_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     and one added make `retargeted`.
     """
     keys = ["identity", "target", "state"]
-    gone, new = before.select(keys).exceptAll(after.select(keys)), after.select(keys).exceptAll(before.select(keys))
-    number = F.row_number().over(Window.partitionBy("identity", "target").orderBy("state"))
-    g = gone.withColumn("k", number).withColumnRenamed("state", "old_state")
-    n = new.withColumn("k", number).withColumnRenamed("state", "new_state")
-    both = g.join(n, ["identity", "target", "k"], "full_outer")
+    signed = before.select(*keys, F.lit(1).alias("s")).unionByName(after.select(*keys, F.lit(-1).alias("s")))
+    # one shuffle by identity serves the signed count, the pairing and the retarget rule
+    left = signed.repartition("identity").groupBy(*keys).agg(F.sum("s").alias("s")).where("s != 0")
+    copies = left.withColumn("_", F.explode(F.sequence(F.lit(1), F.abs("s").cast("int")))).withColumn("old", F.col("s") > 0)
+    copies = copies.withColumn("k", F.row_number().over(Window.partitionBy("identity", "target", "old").orderBy("state")))
+    side = lambda old: F.max(F.when(F.col("old") == old, F.col("state")))
+    both = copies.groupBy("identity", "target", "k").agg(side(True).alias("old_state"), side(False).alias("new_state"))
     kept = both.where("old_state is not null and new_state is not null").select("identity", F.lit("evidence_changed").alias("change"), F.col("target").alias("old_target"), F.col("target").alias("new_target"))
     rest = both.where("old_state is null or new_state is null")
     w = Window.partitionBy("identity")
@@ -41,3 +43,34 @@ def relationship_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     moved = rest.where(pair).groupBy("identity").agg(F.lit("retargeted").alias("change"), F.max(F.when(F.col("old_state").isNotNull(), F.col("target"))).alias("old_target"), F.max(F.when(F.col("new_state").isNotNull(), F.col("target"))).alias("new_target"))
     single = rest.where(~pair).select("identity", F.when(F.col("old_state").isNull(), "added").otherwise("removed").alias("change"), F.when(F.col("old_state").isNotNull(), F.col("target")).alias("old_target"), F.when(F.col("new_state").isNotNull(), F.col("target")).alias("new_target"))
     return kept.unionByName(moved).unionByName(single)
+
+
+def reconcile(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path, outcome, extract: what a reconcile does with each path of the new listing, and with the vanished ones.
+
+    A vanished and a new path with one content each way are a rename, and keep their identity; only contents that no
+    earlier revision has are extracted.
+    """
+    gone = before.join(after.select("path"), "path", "left_anti")
+    new = after.join(before.select("path"), "path", "left_anti")
+    moved = renames(gone, new)
+    known = before.select("content_hash").distinct().withColumn("known", F.lit(True))
+    old = before.select("path", F.col("content_hash").alias("old_hash"))
+    rows = after.select("path", "content_hash").join(moved.select(F.col("new_path").alias("path"), "old_path"), "path", "left").join(old, "path", "left").join(known, "content_hash", "left")
+    outcome = F.when(F.col("old_path").isNotNull(), "renamed").when(F.col("old_hash").isNull(), "created").when(F.col("old_hash") != F.col("content_hash"), "modified").otherwise("kept")
+    deleted = gone.select("path").join(moved.select(F.col("old_path").alias("path")), "path", "left_anti")
+    return rows.select("path", outcome.alias("outcome"), F.col("known").isNull().alias("extract")).unionByName(deleted.select("path", F.lit("deleted").alias("outcome"), F.lit(False).alias("extract")))
+
+
+def retention_manifest(events: DataFrame, keep: int, per_run: int, session_days: int, derived_days: int, now_after_days: int) -> DataFrame:
+    """session_id, action of the oldest sessions that are to go, at most `per_run`.
+
+    The first `keep` sessions by last event are found with a top-k, so sessions are not numbered in one task.
+    """
+    s = events.groupBy("session_id").agg(F.max("ts").alias("last"), F.max(F.col("use_type") == "artifact_changed").alias("derived"))
+    newest = s.orderBy(F.desc("last"), "session_id").limit(keep).select("session_id", F.lit(True).alias("kept"))
+    now = events.agg((F.max("ts") + F.expr(f"INTERVAL {now_after_days} DAY")).alias("now"))
+    rows = s.join(F.broadcast(newest), "session_id", "left").crossJoin(F.broadcast(now))  # `keep` rows; one row
+    older = lambda days: F.col("last") < F.col("now") - F.expr(f"INTERVAL {days} DAY")
+    action = F.when(F.col("kept").isNull() | older(session_days), "delete_session").when(older(derived_days) & F.col("derived"), "delete_derived").when(older(derived_days), "delete_metric")
+    return rows.withColumn("action", action).where("action is not null").orderBy("last", "session_id").limit(per_run).select("session_id", "action")

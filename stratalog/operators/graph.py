@@ -1,21 +1,32 @@
-"""Graph operators over edges: bounded breadth-first trace, impact."""
+"""Graph operators over edges: bounded breadth-first traces and impact."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Statuses and kinds of resolutions that a resolved trace follows.
+RESOLVED = ("resolved_symbol", "resolved_file")
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a level and read it again, in the folder that the cluster shares; checkpoint() where there is none."""
-    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write a level to the folder that the cluster shares (spark.checkpoint.dir) and read it again, so that plans stay
+    short and a level is not computed again for each later one. A `local` session without that setting uses a folder
+    of its own; on a cluster its absence is an error."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.stratalog.graph", None)
     if not folder:
-        return df
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="stratalog-graph-")
+        spark.conf.set("spark.stratalog.graph", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def trace(edges: DataFrame, seeds: DataFrame, max_depth: int, outbound: bool = True) -> DataFrame:
@@ -29,9 +40,9 @@ def trace(edges: DataFrame, seeds: DataFrame, max_depth: int, outbound: bool = T
     visited, out = frontier, None
     for depth in range(1, max_depth + 1):
         step = edges.join(frontier.withColumnRenamed("node", here), here).select(F.lit(depth).alias("depth"), "source", "type", "target").distinct()
-        step = _cut(step, "trace")
+        step = cut(step, "trace")
         out = step if out is None else out.unionByName(step)
-        frontier = _cut(step.select(F.col(there).alias("node")).distinct().join(visited, "node", "left_anti"), "trace-frontier")
+        frontier = cut(step.select(F.col(there).alias("node")).distinct().join(visited, "node", "left_anti"), "trace-frontier")
         if depth < max_depth:
             visited = visited.unionByName(frontier)
     return out
@@ -43,3 +54,24 @@ def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     hit = (F.col("target") == F.col("seed")) | F.like(F.lower("target"), F.concat(F.lit("%"), F.lower("seed")))
     found = edges.join(s, hit).select(F.col("source").alias("dependent")).distinct()
     return found.join(seeds.select(F.col("node").alias("dependent")), "dependent", "left_anti").withColumn("is_test", F.lower("dependent").contains("test") | F.lower("dependent").contains("spec"))
+
+
+def trace_flags(steps: DataFrame, max_depth: int, max_records: int) -> DataFrame:
+    """The first `max_records` steps by (depth, source, type, target) with both truncation flags on every row.
+
+    truncated_by_depth: a node was first met at the last depth. truncated_by_records: there were more steps.
+    """
+    first = steps.groupBy("target").agg(F.min("depth").alias("first"))
+    deep = first.agg(F.coalesce(F.max(F.col("first") == max_depth), F.lit(False)).alias("truncated_by_depth"))
+    n = steps.agg((F.count(F.lit(1)) > max_records).alias("truncated_by_records"))
+    page = steps.orderBy("depth", "source", "type", "target").limit(max_records)
+    return page.crossJoin(F.broadcast(deep)).crossJoin(F.broadcast(n))  # single rows
+
+
+def trace_resolved(edges: DataFrame, members: DataFrame, seeds: DataFrame, max_depth: int, outbound: bool) -> DataFrame:
+    """trace() over resolved edges by their resolved value. Outbound edges must belong to a member file; inbound ones
+    need no membership, only a resolution in the generation."""
+    rows = edges.where(F.col("status").isin(*RESOLVED)).withColumn("target", F.coalesce("resolved_value", "target"))
+    if outbound:
+        rows = rows.join(members.select("file_id").distinct(), "file_id", "left_semi")
+    return trace(rows.select("source", "target", "type"), seeds, max_depth, outbound)

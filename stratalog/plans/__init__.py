@@ -1 +1 @@
-"""plans of the catalogue engine."""
+"""Looking at physical plans: what a query shuffles, broadcasts, reads and runs in Python."""

@@ -1 +1 @@
-"""streaming of the catalogue engine."""
+"""Structured Streaming forms of the event log: an extension, the batch operators are the ones of the survey."""
