@@ -6,7 +6,6 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from stratalog.llm import binary_ids, decontamination, fingerprints, packing, sharding, similarity_join, substring_dedup, token_counts, tokens, url_filter
-from stratalog.llm.labelled_urls import labelled_urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(30)] + ["É", "日本", "the", "of"]
@@ -219,12 +218,6 @@ def test_fingerprints_of_short_unspaced_and_long_texts(spark):
     assert len(full[22]) > 1000 and got[22].near_next == len(full[22] & full[23]) / len(full[22] | full[23])
 
 
-def test_urls():
-    model = url_filter.train([x for i, x in enumerate(labelled_urls()) if i % 4])
-    held = [x for i, x in enumerate(labelled_urls()) if i % 4 == 0]
-    assert np.mean([(model.score(*url_filter.split_url(u)) > 0) == bool(y) for u, y in held]) >= 0.95
-
-
 def test_url_rules(spark):
     from stratalog.llm.queries import RULES, url_model
 
