@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from stratalog.llm import decontamination, packing, quality, similarity_join, substring_dedup
 from stratalog.llm.common import stored
@@ -51,7 +50,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", minimum_slack_packing),
 ]
 
-#: A trained model and a tokenizer are not SQL; the three middle stages and the documents that run() keeps are tested against plain Python.
+#: A trained model and a tokenizer are not SQL: tests/llm compares every stage and the documents that run() keeps with plain Python.
 ORACLE_SQL = None
 
 
