@@ -17,10 +17,12 @@ nor answers come to the driver, nothing is broadcast, and texts are not shuffled
 A document's score is its cross-entropy in nats a byte (perplexity = exp). A fifth of the trusted documents (by
 hash) is kept out of the counts, and each language's limits come from them: median and spread of the score in
 units of a document's sampling error, and the tail of the excess (nats above the median score) of single words, as
-an exponential law past its upper TAIL. A document is rejected if its score is too high or too low for its length
-(one two-sided test), or if its worst word is one that a clean document of as many words holds with a chance below
-1 - `quantile`. Languages with fewer than MIN_HELD_OUT held-out documents use the model of all trusted text together,
-and limits taken from all held-out documents under that same model.
+an exponential law past its upper TAIL. A model finds a document wanting if its score is too high or too low for its
+length (one two-sided test), or if its worst word is one that a clean document of as many words holds with a chance
+below 1 - `quantile`. A document is rejected if both its language's model and the model of all trusted text together find
+it wanting, each by limits taken under itself: clean text of several languages, or under a wrong label, is not its
+language's but is usual to the second, while junk and toxic words are usual to neither. Languages with fewer than
+MIN_HELD_OUT held-out documents have the second model only.
 
 Null or empty texts score 0 and stay; so does everything where there is no trusted text. Very long texts are scored
 whole. Repeated rows and repeated doc_ids are scored row by row; a trusted doc_id's rows all count. A null doc_id is
@@ -279,7 +281,7 @@ def _pieces(batch: pa.RecordBatch, text: str):
 
 
 def requests(docs: DataFrame, text: str, shards: int) -> DataFrame:
-    """Rows of kind 2: the distinct n-grams of each block and language, by shard."""
+    """Rows of kind 2: the distinct n-grams of each block, for its languages and for all together, by shard."""
 
     def run(batches):
         have: dict[tuple[int, str], list[np.ndarray]] = {}
@@ -295,10 +297,12 @@ def requests(docs: DataFrame, text: str, shards: int) -> DataFrame:
         for batch in batches:
             seen = set()
             for _, block, lang, data, offs in _pieces(batch, text):
-                own = have.setdefault((block, lang), [])
-                own.append(np.unique(keys_of(data, offs)))
-                if sum(map(len, own)) > 2_000_000:
-                    own[:] = [np.unique(np.concatenate(own))]
+                keys = np.unique(keys_of(data, offs))
+                for model in {lang, POOLED}:
+                    own = have.setdefault((block, model), [])
+                    own.append(keys)
+                    if sum(map(len, own)) > 2_000_000:
+                        own[:] = [np.unique(np.concatenate(own))]
                 seen.add(block)
             for key in [k for k in have if k[0] not in seen]:
                 yield from ask(key)
@@ -375,10 +379,10 @@ class Answers:
     def __init__(self, folder: str):
         self._folder, self._block, self._of = folder, None, {}
 
-    def nats(self, block: int, lang: str, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Nats of each byte."""
+    def nats(self, block: int, lang: str, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Nats of each byte under the language's model and under that of all together."""
         if not len(data):
-            return np.zeros(0)
+            return [np.zeros(0)] * 2
         if block != self._block:
             store, path = open_folder(self._folder)
             with store.open_input_stream(f"{path}/{block}.nats") as f:
@@ -390,12 +394,15 @@ class Answers:
                 own, at = raw[at : at + name].decode(), at + name
                 self._of[own] = np.frombuffer(raw[at : at + 8 * n], np.int64), np.frombuffer(raw[at + 8 * n : at + 12 * n], np.float32)
                 at += 12 * n
-        known, values = self._of[lang]
         keys, back = np.unique(keys_of(data, offsets), return_inverse=True)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        if not np.array_equal(known[at], keys):
-            raise RuntimeError("the documents changed between two passes")
-        return values[at].astype(np.float64)[back]
+        out = []
+        for model in dict.fromkeys((lang, POOLED)):
+            known, values = self._of[model]
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            if not np.array_equal(known[at], keys):
+                raise RuntimeError("the documents changed between two passes")
+            out.append(values[at].astype(np.float64)[back])
+        return [out[0], out[-1]]
 
 
 def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -410,6 +417,9 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 STATS = {"_lm_score": "double", "_lm_var": "double", "_lm_symbols": "long", "_lm_words": "long", "_lm_worst": "double"}
+#: The same under the model of all trusted text together.
+POOLED_STATS = {"_lm_pooled_score": "double", "_lm_pooled_var": "double", "_lm_pooled_worst": "double"}
+EVERY = STATS | POOLED_STATS
 
 
 def score(lp: np.ndarray, data: np.ndarray, offsets: np.ndarray, centre: float) -> tuple[np.ndarray, ...]:
@@ -430,19 +440,21 @@ def score(lp: np.ndarray, data: np.ndarray, offsets: np.ndarray, centre: float)
 
 
 def _scored(docs: DataFrame, text: str, folder: str, centre: dict[str, float]) -> DataFrame:
-    """`docs` (with block and model), and STATS."""
+    """`docs` (with block and model), STATS and POOLED_STATS."""
     kept = docs.columns
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema) + ", ".join(f"{k} {t}" for k, t in STATS.items())
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema) + ", ".join(f"{k} {t}" for k, t in EVERY.items())
 
     def run(batches):
         known = Answers(folder)
         for batch in batches:
-            out = [np.zeros(batch.num_rows, np.int64 if t == "long" else np.float64) for t in STATS.values()]
+            out = [np.zeros(batch.num_rows, np.int64 if t == "long" else np.float64) for t in EVERY.values()]
             for rows, block, lang, data, offs in _pieces(batch, text):
-                lp = known.nats(block, lang, data, offs)
-                for column, values in zip(out, score(lp, data, offs, centre.get(lang, 0.0)), strict=True):
+                own, pooled = known.nats(block, lang, data, offs)
+                mine = score(own, data, offs, centre.get(lang, 0.0))
+                other = mine if lang == POOLED else score(pooled, data, offs, centre.get(POOLED, 0.0))
+                for column, values in zip(out, (*mine, other[0], other[1], other[4]), strict=True):
                     column[rows] = values
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out)], names=[*kept, *STATS])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out)], names=[*kept, *EVERY])
 
     return docs.mapInArrow(run, schema)
 
@@ -457,9 +469,10 @@ def _word_histogram(docs: DataFrame, text: str, folder: str, centre: dict[str, f
                 starts = word_starts(data, offs)
                 if not len(starts):
                     continue
-                excess = np.add.reduceat(known.nats(block, lang, data, offs) - centre[lang], starts)
-                bins, n = np.unique(np.floor(excess / BIN).astype(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"model": pa.array([lang] * len(bins), pa.string()), "bin": pa.array(bins), "n": pa.array(n, pa.int64())})
+                for model, lp in dict(zip((lang, POOLED), known.nats(block, lang, data, offs), strict=True)).items():
+                    excess = np.add.reduceat(lp - centre[model], starts)
+                    bins, n = np.unique(np.floor(excess / BIN).astype(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"model": pa.array([model] * len(bins), pa.string()), "bin": pa.array(bins), "n": pa.array(n, pa.int64())})
 
     return docs.select("block", "model", text).mapInArrow(run, "model string, bin long, n long").groupBy("model", "bin").agg(F.sum("n").alias("n"))
 
@@ -511,12 +524,14 @@ def held_out(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, frozenset[s
 
 def limits(held: DataFrame, model: Model, quantile: float) -> dict[str, Limits]:
     """By language, and POOLED, of documents under their own languages' models and of all under that of POOLED."""
-    own = held.where(F.col("lang").isin(sorted(model.languages))).withColumn("model", F.col("lang"))
-    both = held.withColumn("model", F.lit(POOLED))
-    rows, named = with_blocks((own.unionByName(both) if model.languages else both).select("model", "text"))
-    rows = rows.select("block", F.col(named["model"]).alias("model"), F.col(named["text"]).alias("text"))
+    rows, named = with_blocks(held.select("lang", "text"))
+    lang = F.col(named["lang"])
+    own = F.when(lang.isin(sorted(model.languages)), lang).otherwise(F.lit(POOLED)) if model.languages else F.lit(POOLED)
+    rows = rows.select("block", own.alias("model"), F.col(named["text"]).alias("text"))
     folder = answers(model, rows, "text", rows.count())
-    scored = stored(_scored(rows, "text", folder, {}).select("model", *STATS), "quality-held-out-scores")
+    scored = stored(_scored(rows, "text", folder, {}).select("model", *EVERY), "quality-held-out-scores")
+    pooled = scored.select(F.lit(POOLED).alias("model"), F.col("_lm_pooled_score").alias("_lm_score"), F.col("_lm_pooled_var").alias("_lm_var"), "_lm_symbols")
+    scored = scored.where(F.col("model") != POOLED).select("model", "_lm_score", "_lm_var", "_lm_symbols").unionByName(pooled)
     median = lambda c: F.percentile_approx(c, 0.5, 10_000)
     found = {r["model"]: r for r in scored.groupBy("model").agg(median("_lm_score").alias("centre"), median("_lm_var").alias("variance"), F.count(F.lit(1)).alias("n")).collect()}
     if not found:
@@ -545,28 +560,34 @@ def _judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: f
     found = limits(held, model, quantile) if model is not None else {}
     if not found:
         plain, named = own_names(docs)
-        nothing = {k: F.lit(0).cast(t) for k, t in STATS.items()}
+        nothing = {k: F.lit(0).cast(t) for k, t in EVERY.items()}
         return plain.withColumns(nothing | {"_lm_threshold": F.lit(float("inf")), "_lm_keep": F.lit(True)}), named
     plain, named = with_blocks(docs)
     plain = plain.drop("at")
     lang = F.coalesce(F.col(named["lang"]), F.lit(""))
     plain = plain.withColumn("model", F.when(lang.isin(sorted(set(found) - {POOLED})), lang).otherwise(F.lit(POOLED)))
     folder = answers(model, plain, named["text"], docs.count())
-    of = lambda name: _lookup("model", {k: float(getattr(v, name)) for k, v in found.items()})
-    room = of("times") * of("spread") * F.sqrt(of("variance") / F.greatest(F.col("_lm_symbols"), F.lit(1)))
-    out = _scored(plain, named["text"], folder, {k: v.centre for k, v in found.items()}).withColumn("_lm_threshold", of("centre") + room)
-    rare = F.col("_lm_words") * TAIL * F.exp((of("tail_from") - F.col("_lm_worst")) / of("tail_scale")) < 1 - quantile
-    usual = F.abs(F.col("_lm_score") - of("centre")) <= room
-    return out.withColumn("_lm_keep", (F.col("_lm_symbols") == 0) | (usual & ~rare)), named
+    own = lambda name: _lookup("model", {k: float(getattr(v, name)) for k, v in found.items()})
+    every = lambda name: F.lit(float(getattr(found[POOLED], name)))
+    room = lambda of: of("times") * of("spread") * F.sqrt(of("variance") / F.greatest(F.col("_lm_symbols"), F.lit(1)))
+
+    def passes(of, score_: str, worst: str) -> Column:
+        rare = F.col("_lm_words") * TAIL * F.exp((of("tail_from") - F.col(worst)) / of("tail_scale")) < 1 - quantile
+        return (F.abs(F.col(score_) - of("centre")) <= room(of)) & ~rare
+
+    out = _scored(plain, named["text"], folder, {k: v.centre for k, v in found.items()}).withColumn("_lm_threshold", own("centre") + room(own))
+    good = passes(own, "_lm_score", "_lm_worst") | passes(every, "_lm_pooled_score", "_lm_pooled_worst")
+    return out.withColumn("_lm_keep", (F.col("_lm_symbols") == 0) | good), named
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
-    """The documents with STATS, _lm_threshold (the upper limit of the score at the document's length) and _lm_keep.
+    """The documents with STATS, POOLED_STATS, _lm_threshold (the upper limit of the score at the document's length under
+    its language's model) and _lm_keep.
 
     All rows and columns are kept, but for a column that has one of these names: it gives way to the result.
     """
     out, named = _judged(spark, docs, labels, quantile)
-    return given_names(out, named, *[F.col(c) for c in (*STATS, "_lm_threshold", "_lm_keep")])
+    return given_names(out, named, *[F.col(c) for c in (*EVERY, "_lm_threshold", "_lm_keep")])
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:

@@ -47,12 +47,33 @@ class PlainKneserNey:
         return [-math.log(self.p(b[i : i + self.order])) for i in range(len(b) - self.order + 1)]
 
 
+def passes(model, limits, text, quantile=0.995):
+    """Whether a model and its limits find a text usual: its score for its length, and its worst word."""
+    nats, raw = model.nats(text) if text else [], (text or "").encode()
+    if not nats:
+        return True
+    worst, words, at = -math.inf, 0, 0
+    while at < len(raw):
+        end = at + 1
+        while end < len(raw) and not (raw[end - 1] in b" \t\n" and raw[end] not in b" \t\n"):
+            end += 1
+        for a in range(at, end, quality.WORD):
+            words += 1
+            worst = max(worst, sum(x - limits.centre for x in nats[a : min(a + quality.WORD, end)]))
+        at = end
+    chance = words * quality.TAIL * math.exp((limits.tail_from - worst) / limits.tail_scale)
+    room = limits.times * limits.spread * math.sqrt(limits.variance / len(raw))
+    return abs(np.mean(nats) - limits.centre) <= room and chance >= 1 - quantile
+
+
 def corpus(seed=5, n=60):
     rng = random.Random(seed)
     parts = {"en": ["the", "er", "on", "an", "re"], "de": ["sch", "ung", "ein", "ß"]}
     text = lambda lang, k: " ".join("".join(rng.choices(parts[lang], k=rng.choice([1, 2, 3]))) for _ in range(k))
     rows = [(i, text("en", 40), "en", "s", 1) for i in range(n)] + [(1000 + i, text("de", 40), "de", "s", 1) for i in range(n)]
-    return rows + [(2000, "Zq#x über 日本", "xx", "s", 1), (2001, None, None, None, None), (2002, "", "en", "s", 0)]
+    junk = [(3000 + i, " ".join(rng.choices(["Zq#x", "%%kv", "JJJJ!"], k=12)), "en", "s", 1) for i in range(3)]
+    mixed = [(4000 + i, text("en", 30) + " " + text("de", 30), "en", "s", 1) for i in range(3)]
+    return rows + junk + mixed + [(2000, "Zq#x über 日本", "xx", "s", 1), (2001, None, None, None, None), (2002, "", "en", "s", 0)]
 
 
 @pytest.mark.parametrize("entries", [16_000, 40])
@@ -83,8 +104,10 @@ def test_perplexity_thresholds_and_decisions_against_plain_python(spark, entries
             if r[2] == lang:
                 room = quality._times(0.995, n) * spread * math.sqrt(variance / len(r[1].encode()))
                 assert got[r[0]]._lm_threshold == pytest.approx(centre + room, abs=1e-4)
-                if abs(got[r[0]]._lm_score - centre) > room + 1e-4:
-                    assert not got[r[0]]._lm_keep
+    held_frame, enough = quality.held_out(docs, labels)
+    found = quality.limits(held_frame, quality.fit(spark, docs, labels, enough), 0.995)
+    decided = [passes(models[lang if lang in models else "*"], found.get(lang, found["*"]), text) or passes(models["*"], found["*"], text) for _, text, lang, *_ in rows]
+    assert decided == [got[r[0]]._lm_keep for r in rows] and not all(decided)
     assert got[2001]._lm_keep and got[2002]._lm_keep
 
 
