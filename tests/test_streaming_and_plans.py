@@ -57,3 +57,15 @@ def test_lookups_have_no_cross_join_and_one_shuffle_a_group(spark):
     m = Model(spark, SF)
     assert audit(find.find_page(m.symbols().withColumn("kind", F.lit("k")), find.matches("a"), 10, "g", "q")).cartesian == 0
     assert audit(find.latest(m.table("events"), "user_id", ["ts", "event_id"], "event_type")).shuffles == 1
+
+
+def test_api_gives_frames(spark):
+    from stratalog import api
+
+    m = api.open_model(spark, SF)
+    page = api.find(m, "r", limit=5).collect()
+    assert len(page) == 5 and page[0].truncated
+    after = api.find(m, "r", limit=5, cursor=page[0].next_cursor).collect()
+    assert min(r.path for r in after) > max(r.path for r in page)
+    assert api.trace(m, "part:40", depth=1).count() > 0 and api.impact(m, "part:5").count() > 0 and api.inspect(m, page[0].path).count() > 0
+    assert api.history(m, 3).count() == 3 and api.ancestry(m).count() > 0
