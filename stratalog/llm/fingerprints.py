@@ -20,6 +20,11 @@ from pyspark.sql.window import Window
 S, K = 2, 6
 KEEP = 64
 LONG = 64
+#: Ranges of doc_ids at most (their bounds are a literal of the plan); with more rows than fill these, ranges grow and their
+#: sorts spill.
+MAX_RANGES = 100_000
+#: Bounds that one step of a lookup compares.
+FAN = 64
 _DIGITS = 10
 
 
@@ -77,6 +82,21 @@ def matched_positions(a: str, b: str) -> Column:
     return F.filter(pairs, lambda p: p["position_a"].isNotNull())
 
 
+def with_range(docs: DataFrame, key: str, bounds: list[int], out: str) -> DataFrame:
+    """Add `out`: how many of the ascending bounds are at most the key (null: 0), by FAN comparisons a level."""
+    levels = [bounds]
+    while len(levels[-1]) > FAN:
+        levels.append(levels[-1][::FAN])
+    # folded to one literal at planning
+    literal = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+    below = lambda part: F.coalesce(F.size(F.filter(part, lambda b: b <= F.col(key))), F.lit(0))
+    docs = docs.withColumn(out, below(literal(levels[-1])))
+    for level in reversed(levels[:-1]):  # entry j of the level above is entry j * FAN here
+        first = (F.col(out) - 1) * FAN
+        docs = docs.withColumn(out, F.when(F.col(out) == 0, 0).otherwise(first + below(F.slice(literal(level), first + 1, FAN))))
+    return docs.withColumn(out, F.when(F.col(key).isNull(), 0).otherwise(F.col(out)))
+
+
 def with_next(docs: DataFrame, columns: list[str], rows: int, per_part: int = 1000) -> DataFrame:
     """Add next_<column> of the next document by doc_id (after the last: the first), without a global sort.
 
@@ -84,17 +104,16 @@ def with_next(docs: DataFrame, columns: list[str], rows: int, per_part: int = 10
     neighbour (its bound) is known where it is read and sent to both. Null doc_ids come first; equal doc_ids are
     ordered by the columns.
     """
-    parts = max(1, min(4096, -(-rows // per_part)))
+    parts = max(1, min(MAX_RANGES, -(-rows // per_part)))
     probe = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("q") if parts > 1 else F.lit(None).alias("q"), F.min("doc_id").alias("lo"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     bounds = sorted({b for b in probe["q"] or [] if probe["lo"] is None or b > probe["lo"]})
-    listed = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
-    bucket = F.coalesce(F.size(F.filter(listed, lambda b: b <= F.col("doc_id"))), F.lit(0))
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(bucket)
+    docs, kept = with_range(docs, "doc_id", bounds, "_range"), docs.columns
+    bucket = F.col("_range")
     own = F.struct(bucket.alias("bucket"), F.lit(False).alias("ghost"))
     is_first = F.col("doc_id").isNull() if probe["nulls"] else F.col("doc_id") == F.lit(probe["lo"])
     ghost = F.when(is_first, F.lit(len(bounds))).when(F.col("doc_id").isin(bounds) if bounds else F.lit(False), bucket - 1)
     dealt = docs.withColumn("_at", F.explode(F.when(ghost.isNotNull(), F.array(own, F.struct(ghost.alias("bucket"), F.lit(True).alias("ghost")))).otherwise(F.array(own))))
-    dealt = dealt.select(*docs.columns, F.col("_at.bucket").alias("_bucket"), F.col("_at.ghost").alias("_ghost"))
+    dealt = dealt.select(*kept, F.col("_at.bucket").alias("_bucket"), F.col("_at.ghost").alias("_ghost"))
     # one specification for all, else each column gets an exchange of its own
     w = Window.partitionBy("_bucket").orderBy("_ghost", "doc_id", *columns)
     led = dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])

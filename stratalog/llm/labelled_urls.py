@@ -11,7 +11,7 @@ _BAD = (
 #: Words of ordinary sites.
 _GOOD = (
     ("city", "north", "river", "green", "open", "daily", "old", "royal", "central", "little"),
-    ("library", "museum", "garden", "history", "science", "recipes", "weather", "school", "theatre", "atlas", "journal", "music", "village", "winter"),
+    ("library", "museum", "garden", "history", "science", "recipes", "weather", "school", "theatre", "almanac", "journal", "music", "village", "winter"),
 )
 #: Syllables for names without a meaning, which are allowed.
 _PLAIN = ("an", "er", "in", "on", "re", "st", "th", "ou", "ed", "ti", "al", "en", "or", "ha", "nt", "is")

@@ -59,3 +59,21 @@ def test_positions_match_where_passages_stand(spark):
     got = both.select(f.matched_positions("x", "y").alias("m"), "x", "y").first()
     assert [(p.position, p.anchor) for p in got.x] == anchors(a) and [(p.position, p.anchor) for p in got.y] == anchors(b)
     assert len(got.m) > 5 and {p.position_b - p.position_a for p in got.m} == {-13}
+
+
+def test_ranges_by_levels(spark):
+    import bisect
+
+    for n in (0, 1, 63, 64, 65, 4096, 4097, 9000):
+        bounds = [3 * i + 1 for i in range(n)]
+        df = spark.createDataFrame([(k,) for k in [None, -5, *range(0, 3 * n + 9, 7)]], "doc_id long")
+        for r in f.with_range(df, "doc_id", bounds, "x").collect():
+            assert r.x == (0 if r.doc_id is None else bisect.bisect_right(bounds, r.doc_id))
+
+
+def test_next_across_many_ranges(spark):
+    data = [(i * 2, f"t{i}") for i in range(500)] + [(None, "n")] + [(10, "again")]
+    got = f.with_next(spark.createDataFrame(data, "doc_id long, text string"), ["text"], len(data), per_part=3).collect()
+    order = sorted(data, key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
+    want = Counter((d[0], d[1], order[(i + 1) % len(order)][1]) for i, d in enumerate(order))
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got) == want
