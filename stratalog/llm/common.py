@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 
 #: Bytes of text that the vectorised stages hold as numpy arrays at once (a longer document is one chunk).
 CHUNK_BYTES = 600_000
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: texts are long, and a worker and its JVM hold
+#: batches several times over.
+BATCH_ROWS = 2000
 #: Neighbouring rows of a file that make a block.
 BLOCK_ROWS = 16_384
 
@@ -33,6 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Set BATCH_ROWS unless the session was given another number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stratalog/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from . import binary_ids, decontamination, fingerprints, packing, quality, sharding, similarity_join, substring_dedup, token_counts, url_filter
+from .common import small_batches
 from .labelled_urls import labelled_urls
 from .tokens import word_tokenizer_path
 
@@ -17,7 +18,7 @@ RULES = [url_filter.Rule("com", "/", "allow"), url_filter.Rule("example.com", "/
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(ship_package(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from .words import NOT_SPACE, Words, mix
 
 #: Distinct pieces that a worker keeps; beyond it the table starts again (results do not depend on it).
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 200_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
