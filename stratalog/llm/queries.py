@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import binary_ids, decontamination, fingerprints, packing, quality, sharding, similarity_join, substring_dedup, token_counts, url_filter
+from . import binary_ids, decontamination, fingerprints, golden, packing, quality, residual_packing, sharding, similarity_join, substring_dedup, token_counts, url_filter, whitening
 from .common import small_batches
 from .labelled_urls import labelled_urls
 from .tokens import word_tokenizer_path
@@ -78,8 +78,25 @@ def op10_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "doc_tokens", F.col("section").cast("long").alias("section"), "s.*")
 
 
+def op11_gramian_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(spark, _table(spark, sf_dir, "embeddings"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("i", "c")
+    rows = white.select(F.col("id").alias("vec_id"), "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "identity_error", each)
+    return rows.select("vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op12_hierarchical_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual_packing.pack_whole_documents(spark, _table(spark, sf_dir, "documents"), word_tokenizer_path())
+
+
+def op13_golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = golden.client_records(_table(spark, sf_dir, "clients"))
+    cents = F.floor(F.lit(100.0) * F.col("balance") + F.lit(0.5)).alias("balance_cents")
+    return found.select("cluster_id", "n_records", "n_stale", "name", "email", "segment", "city", "nation_id", cents, "name_from", "email_from", "segment_from", "balance_from", "address_from")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_hash_tree_sharding, op2_wu_manber_decontamination, op3_ngram_jaccard_join, op4_kneser_ney_quality, op5_minimum_slack_packing, op6_suffix_automaton_dedup, op7_simple8b_token_ids, op8_closed_syncmers, op9_url_logistic_regression, op10_offset_token_counts)
+    all_ = (op1_hash_tree_sharding, op2_wu_manber_decontamination, op3_ngram_jaccard_join, op4_kneser_ney_quality, op5_minimum_slack_packing, op6_suffix_automaton_dedup, op7_simple8b_token_ids, op8_closed_syncmers, op9_url_logistic_regression, op10_offset_token_counts, op11_gramian_whitening, op12_hierarchical_residual_packing, op13_golden_records)
     return {f.__name__: f for f in all_}
 
 
@@ -118,6 +135,29 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n
 FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
+_BLANK = r"^[\x20\x09-\x0D]*$"
+
+_OP13_SQL = rf"""
+WITH r AS (SELECT coalesce(master_id, client_id) AS cluster_id, client_id, updated_at, nation_id, balance,
+                  CASE source WHEN 'partner' THEN 0 WHEN 'store' THEN 1 WHEN 'web' THEN 2 WHEN 'crm' THEN 3 ELSE 4 END AS trust,
+                  CASE WHEN NOT regexp_full_match(name, '{_BLANK}') THEN name END AS name, CASE WHEN NOT regexp_full_match(email, '{_BLANK}') THEN email END AS email,
+                  CASE WHEN NOT regexp_full_match(city, '{_BLANK}') THEN city END AS city, CASE WHEN NOT regexp_full_match(segment, '{_BLANK}') THEN segment END AS segment FROM clients),
+s AS (SELECT *, updated_at IS NULL OR updated_at < max(updated_at) OVER (PARTITION BY cluster_id) - INTERVAL 720 HOUR AS stale, (city IS NOT NULL)::INT + (nation_id IS NOT NULL)::INT AS filled FROM r),
+c AS (SELECT *, first_value(segment) OVER (PARTITION BY cluster_id ORDER BY (segment IS NULL), updated_at DESC NULLS LAST, trust, client_id) AS chosen FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY (name IS NULL), length(name) DESC, stale, trust, updated_at DESC NULLS LAST, client_id) AS k_name,
+             row_number() OVER (PARTITION BY cluster_id ORDER BY (email IS NULL), stale, trust, updated_at DESC NULLS LAST, client_id) AS k_email,
+             row_number() OVER (PARTITION BY cluster_id ORDER BY (segment IS NULL), updated_at DESC NULLS LAST, trust, client_id) AS k_segment,
+             row_number() OVER (PARTITION BY cluster_id ORDER BY (balance IS NULL), (segment IS NULL OR segment <> chosen), updated_at DESC NULLS LAST, trust, client_id) AS k_balance,
+             row_number() OVER (PARTITION BY cluster_id ORDER BY filled DESC, stale, trust, updated_at DESC NULLS LAST, client_id) AS k_address FROM c)
+SELECT cluster_id, count(*)::BIGINT AS n_records, count(*) FILTER (WHERE stale)::BIGINT AS n_stale, max(name) FILTER (WHERE k_name = 1) AS name, max(email) FILTER (WHERE k_email = 1) AS email,
+       max(segment) FILTER (WHERE k_segment = 1) AS segment, max(city) FILTER (WHERE k_address = 1) AS city, max(nation_id) FILTER (WHERE k_address = 1) AS nation_id,
+       floor(100 * max(balance) FILTER (WHERE k_balance = 1) + 0.5)::BIGINT AS balance_cents,
+       max(client_id) FILTER (WHERE k_name = 1 AND name IS NOT NULL) AS name_from, max(client_id) FILTER (WHERE k_email = 1 AND email IS NOT NULL) AS email_from,
+       max(client_id) FILTER (WHERE k_segment = 1 AND segment IS NOT NULL) AS segment_from, max(client_id) FILTER (WHERE k_balance = 1 AND balance IS NOT NULL) AS balance_from,
+       max(client_id) FILTER (WHERE k_address = 1 AND filled > 0) AS address_from
+FROM k GROUP BY cluster_id"""
+
+
 def _url_sql() -> str:
     model = url_model()
     weights = ", ".join(map(str, model.weights))
@@ -135,4 +175,4 @@ FROM ruled LEFT JOIN score USING (page_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_wu_manber_decontamination": _OP2_SQL, "op3_ngram_jaccard_join": _OP3_SQL, "op6_suffix_automaton_dedup": _OP6_SQL, "op9_url_logistic_regression": _url_sql()}
+    return {"op2_wu_manber_decontamination": _OP2_SQL, "op3_ngram_jaccard_join": _OP3_SQL, "op6_suffix_automaton_dedup": _OP6_SQL, "op9_url_logistic_regression": _url_sql(), "op13_golden_records": _OP13_SQL}
