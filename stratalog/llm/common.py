@@ -234,5 +234,17 @@ def some_rows(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[
     return flat, cut
 
 
+def free_memory() -> None:
+    """Give back what earlier tasks of this worker process left: Spark uses workers again, and allocators keep freed pages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

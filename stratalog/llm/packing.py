@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_parts, chunks, gapless, salts_for, stored, text_bytes
+from .common import binary_parts, chunks, free_memory, gapless, salts_for, stored, text_bytes
 from .tokens import encoder
 
 
@@ -71,6 +71,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, keep
     """doc_id, doc_tokens and for each piece its crc32 (and its ids if asked for): windows first, then the rest."""
 
     def run(batches):
+        free_memory()
         enc = encoder(tokenizer)
         for batch in batches:
             data, offs = binary_parts(batch.column("body"))
