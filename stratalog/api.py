@@ -99,7 +99,8 @@ def temporal_state(m: Model) -> DataFrame:
 
 
 def ancestry(m: Model) -> DataFrame:
-    return _lifecycle.ancestry(m.generations())
+    """How many ancestors each generation has."""
+    return _lifecycle.Ancestry(m.generations()).depths()
 
 
 def governor(m: Model) -> DataFrame:

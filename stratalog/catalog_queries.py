@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .functions import expressions as X
 from .functions import vocab
-from .operators import budget, diff, graph
+from .operators import budget, diff, graph, ranks
 from .queries import QUERIES
 from .sources.model import Model
 from .sources.tables import Catalog
@@ -145,8 +145,7 @@ def a9_evidence_clusters(c: Catalog) -> DataFrame:
 
 @_register("a15_nearest_rank", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def a15_nearest_rank(c: Catalog) -> DataFrame:
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return c.table("events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
+    return ranks.nearest_ranks(c.table("events").select("event_type", "value"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 # --- windows, order, sets ---------------------------------------------------------------------------------------

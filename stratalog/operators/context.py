@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,18 +41,6 @@ def resolve_seeds(seeds: DataFrame, symbols: DataFrame, paths: DataFrame | None
     return kept.select("request", "seed", "stage", "symbol_key", "uncertain")
 
 
-def mentions(tasks: DataFrame, names: DataFrame) -> DataFrame:
-    """request, name of the names whose words stand in a task's text one after another.
-
-    names: name. An equi join on the name's first word, then the whole phrase; no task meets every name.
-    """
-    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda w: w != "")
-    phrase = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    t = tasks.withColumn("w", words(F.col("text"))).select("request", phrase("w").alias("body"), F.explode(F.array_distinct("w")).alias("first"))
-    n = names.select("name").distinct().withColumn("w", words(F.col("name"))).where(F.size("w") > 0).select("name", phrase("w").alias("looked"), F.get("w", 0).alias("first"))
-    return t.join(n, "first").where(F.contains("body", "looked")).select("request", "name").distinct()
-
-
 def tests_of(seeds: DataFrame, files: DataFrame) -> DataFrame:
     """seed, path of the files whose path holds `test` before or after the seed's base name. Seeds are a request's: few."""
     base = F.regexp_replace(F.element_at(F.split("seed", "/"), -1), r"\.[^.]*$", "")
@@ -77,56 +62,6 @@ def one_hop_points(kind: Column) -> Column:
     return F.when(kind == "calls", 50).when(kind == "imports", 40).otherwise(20)
 
 
-BUDGET_SCHEMA = "request string, rank long, item string, decision string, ledger long"
-
-
-def deep_budget(candidates: DataFrame, max_records: int, max_bytes: int, max_tokens: int, max_depth: int, max_work: int, reserve_percent: int) -> DataFrame:
-    """request, rank, item, decision, ledger: candidates in rank order, the work ledger first.
-
-    candidates: request, rank, item, work, depth, uncertain, bytes, tokens. A candidate that the ledger can't pay is
-    `work_units` and costs nothing; any other is paid for, even if it is then left out for its depth, the uncertainty
-    reserve, records, bytes or tokens. The rows of a request are sorted within its partition and streamed with six
-    running totals, so a request of any length takes no more memory than one batch.
-    """
-    reserve = math.ceil(max_records * reserve_percent / 100)
-    usual = max_records - reserve
-
-    def run(batches):
-        request, spent, n, doubtful, size, tokens = None, 0, 0, 0, 0, 0
-        for batch in batches:
-            out: list[str] = []
-            ledger: list[int] = []
-            names = ("request", "work", "depth", "uncertain", "bytes", "tokens")
-            for r, work, depth, unsure, b, t in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if r != request:
-                    request, spent, n, doubtful, size, tokens = r, 0, 0, 0, 0, 0
-                if spent + work > max_work:
-                    why = "work_units"
-                else:
-                    spent += work
-                    if depth > max_depth:
-                        why = "depth"
-                    elif unsure and doubtful >= reserve:
-                        why = "uncertainty_reserve"
-                    elif not unsure and n >= usual:
-                        why = "records"
-                    elif size + b > max_bytes:
-                        why = "bytes"
-                    elif tokens + t > max_tokens:
-                        why = "tokens"
-                    else:
-                        why = "selected"
-                        size, tokens = size + b, tokens + t
-                        doubtful, n = (doubtful + 1, n) if unsure else (doubtful, n + 1)
-                out.append(why)
-                ledger.append(spent)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("request", "rank", "item")] + [pa.array(out, pa.string()), pa.array(ledger, pa.int64())], names=["request", "rank", "item", "decision", "ledger"])
-
-    long = [F.col(c).cast("long").alias(c) for c in ("rank", "work", "depth", "bytes", "tokens")]
-    rows = candidates.select("request", F.col("item").cast("string").alias("item"), "uncertain", *long)
-    return rows.repartition("request").sortWithinPartitions("request", "rank").mapInArrow(run, BUDGET_SCHEMA)
-
-
 def role_and_reason(kind: Column, inbound: Column, neighbour_is_symbol: Column, artifact_role: Column) -> Column:
     """struct<role, reason> of a neighbour: its artifact's role first, then the edge's type and direction."""
     pair = lambda role, reason: F.struct(F.lit(role).alias("role"), F.lit(reason).alias("reason"))

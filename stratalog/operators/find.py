@@ -69,6 +69,15 @@ def keyset_page(rows: DataFrame, keys: list[str], limit: int, after: tuple | Non
     return rows.orderBy(*keys).limit(limit)
 
 
+def watermarked_page(rows: DataFrame, keys: list[str], limit: int, after: tuple, seen: str, now: str) -> DataFrame:
+    """outcome, the keys, digest: keyset_page under the digest `seen` that its cursor carries; where the snapshot's digest is
+    another by `now`, one row `snapshot_changed` without keys, and no row is read."""
+    if seen != now:
+        none = [F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys]
+        return rows.sparkSession.range(1).select(F.lit("snapshot_changed").alias("outcome"), *none, F.lit(now).alias("digest"))
+    return keyset_page(rows, keys, limit, after).select(F.lit("page").alias("outcome"), *keys, F.lit(now).alias("digest"))
+
+
 def negative_answer(matched: Column, truncated: Column, provider_available: Column, coverage_complete: Column) -> Column:
     """Why a result is empty, in the order in which the reasons hold; null where it is not."""
     why = F.when(truncated, "truncated").when(~provider_available, "provider_unavailable").when(~coverage_complete, "coverage_partial").otherwise("not_found")

@@ -71,11 +71,6 @@ def ordered_digest(rows: DataFrame, key: Column, groups: int = 4096) -> DataFram
     return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(joined, 256).alias("digest"))
 
 
-def whole_digest(rows: DataFrame, key: Column) -> DataFrame:
-    """One row, n and digest over all keys in one order: the canonical form, for tables of bounded size."""
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "\n"), 256).alias("digest"))
-
-
 def cards(facts: DataFrame, counts: DataFrame, coverage: DataFrame) -> DataFrame:
     """One card for each symbol: its preferred fact, counts, coverage and cost, and a hash of them."""
     known = coverage.where("status != 'unsupported'").select("file_id", F.col("status").alias("coverage_state"))
@@ -85,13 +80,6 @@ def cards(facts: DataFrame, counts: DataFrame, coverage: DataFrame) -> DataFrame
     return rows.select(*body, F.sha2(F.concat_ws("\u001f", *body), 256).alias("card_hash"))
 
 
-def status_of_build(builds: DataFrame, active: str) -> DataFrame:
-    """generation_id, status: ready only where counts and content hash are those of a new projection."""
-    same = (F.col("cards") == F.col("expected_cards")) & (F.col("edges") == F.col("expected_edges")) & (F.col("content_hash") == F.col("expected_hash"))
-    status = F.when(F.col("state").isNull(), "absent").when(F.col("state") != "ready", F.col("state"))
-    return builds.withColumn("status", status.when(F.col("generation_id") != active, "superseded").when(same, "ready").otherwise("stale"))
-
-
 def adjacency(edges: DataFrame, outbound: bool, types: list[str], limit: int) -> DataFrame:
     """The first edges of each node, resolved ones first, then by fact id; inbound ones count only where resolved."""
     side = "source" if outbound else "target"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import policy
+from . import ranks
 
 #: Evidence of one session that is measured at most; more is a typed invalidity.
 MAX_EVIDENCE = 4096
@@ -148,21 +149,29 @@ def compare_reports(pairs: DataFrame) -> DataFrame:
     return rows.select("pair", "verdict", F.when(same, F.col("a.context_hash") == F.col("b.context_hash")).alias("hashes_match"), delta("size").alias("size_delta"), delta("source_bytes").alias("bytes_delta"))
 
 
-def nearest_rank(values: str | Column, percent: int) -> Column:
-    """The ceil(p * n / 100)-th of an ascending array."""
-    return F.element_at(values, F.greatest(F.ceil(F.lit(percent) * F.size(values) / 100), F.lit(1)).cast("int"))
+def arm_summary(samples: DataFrame) -> DataFrame:
+    """arm, n, minimum, maximum, mean (whole), mad, p50, p95, deterministic (all hashes equal), of samples (arm, micros, hash);
+    quantiles are exact nearest ranks, and no arm goes through one task."""
+    n = F.count(F.lit(1))
+    s = samples.groupBy("arm").agg(n.alias("n"), F.min("micros").alias("minimum"), F.max("micros").alias("maximum"), F.floor(F.sum("micros") / n).alias("mean"), F.min("hash").eqNullSafe(F.max("hash")).alias("deterministic"))
+    middle = ranks.nearest_ranks(samples, ["arm"], "micros", {"p50": 0.5, "p95": 0.95})
+    return s.join(middle, "arm").join(deviations(samples, middle, ["arm"], "micros"), "arm")
 
 
-def arm_summary(samples: DataFrame) -> DataFrame:
-    """arm, n, minimum, maximum, mean (whole), mad, p50, p95, deterministic (all hashes equal), of samples (arm, micros, hash).
+def deviations(samples: DataFrame, middle: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, mad: the nearest rank at one half of the distances from each group's p50."""
+    off = samples.select(*keys, value).join(middle.select(*keys, "p50"), keys).select(*keys, F.abs(F.col(value) - F.col("p50")).alias("off"))
+    return ranks.nearest_ranks(off, keys, "off", {"mad": 0.5})
 
-    Values are counted first, so an arm of many equal samples is a short array; quantiles are exact nearest ranks.
-    """
-    n = F.count(F.lit(1))
-    disc = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY micros)")
-    s = samples.groupBy("arm").agg(n.alias("n"), F.min("micros").alias("minimum"), F.max("micros").alias("maximum"), F.floor(F.sum("micros") / n).alias("mean"), disc(0.5).cast("long").alias("p50"), disc(0.95).cast("long").alias("p95"), (F.count_distinct("hash") <= 1).alias("deterministic"))
-    off = samples.join(F.broadcast(s.select("arm", "p50")), "arm").withColumn("micros", F.abs(F.col("micros") - F.col("p50")))  # a row an arm
-    return s.join(off.groupBy("arm").agg(disc(0.5).cast("long").alias("mad")), "arm")
+
+def validate_arms(declared: DataFrame, found: DataFrame) -> DataFrame:
+    """arm, verdict of declared figures (arm, n, p95, deterministic) against those taken again from the samples: the first that
+    differs, missing_samples where there are none, else valid."""
+    said = declared.select("arm", *[F.col(c).alias(f"said_{c}") for c in ("n", "p95", "deterministic")])
+    verdict = F.when(F.col("n").isNull(), "missing_samples")
+    for column, why in (("n", "sample_count"), ("p95", "p95"), ("deterministic", "determinism")):
+        verdict = verdict.when(~F.col(column).eqNullSafe(F.col(f"said_{column}")), why)
+    return said.join(found.select("arm", "n", "p95", "deterministic"), "arm", "left").select("arm", verdict.otherwise("valid").alias("verdict"))
 
 
 def regression_gate(base: DataFrame, candidate: DataFrame) -> DataFrame:

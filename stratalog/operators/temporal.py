@@ -126,13 +126,28 @@ def reusable(documents: DataFrame, earlier: DataFrame) -> DataFrame:
     return documents.join(best, "fingerprint", "left")
 
 
-def explain(files: DataFrame, symbols: DataFrame, relations: DataFrame, others: DataFrame) -> DataFrame:
-    """All changes as category, key, change."""
-    out = files
-    for more in (symbols, relations, others):
+def explain(changes: dict[str, DataFrame]) -> DataFrame:
+    """All changes (key, change of each category) as category, key, change."""
+    rows = [df.select(F.lit(category).alias("category"), "key", "change") for category, df in changes.items()]
+    out = rows[0]
+    for more in rows[1:]:
         out = out.unionByName(more)
     return out
 
 
+def provider_set_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """key, change: one row if the providers (provider, version) of two generations are not the same, else none."""
+    side = lambda df, name: df.select("provider", F.col("version").alias(name))
+    both = side(before, "old").join(side(after, "new"), "provider", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+    return both.limit(1).select(F.lit("provider-set").alias("key"), F.lit("modified").alias("change"))
+
+
+def changed_sources(changes: DataFrame, symbols: DataFrame, live: DataFrame) -> DataFrame:
+    """symbol_key, status of changed symbols whose file's bytes now are not those indexed: source_stale or source_unavailable."""
+    rows = changes.select("symbol_key").join(symbols.select("symbol_key", "file_id", "content_hash"), "symbol_key").join(live.select("file_id", "live_hash"), "file_id", "left")
+    status = F.when(F.col("live_hash").isNull(), "source_unavailable").when(F.col("live_hash") != F.col("content_hash"), "source_stale")
+    return rows.select("symbol_key", status.alias("status")).where("status IS NOT NULL")
+
+
 def disruptive(change: Column) -> Column:
     return change.isin(*DISRUPTIVE)

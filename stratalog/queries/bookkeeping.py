@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import policy
-from ..operators import find, graph, resolution
+from ..operators import find, graph, merkle, resolution
 from ..sources.model import Model, chosen
 from .registry import register, sql
 
@@ -129,10 +129,26 @@ def u1_union_distinct(m: Model) -> DataFrame:
 @register("j6_suffix_impact", sql("ce", """, e AS (SELECT DISTINCT source, target FROM ce) SELECT DISTINCT source AS dependent, contains(lower(source), 'test') OR contains(lower(source), 'spec') AS is_test FROM e WHERE (target IN ('part:5', '7') OR lower(target) LIKE '%part:5' OR lower(target) LIKE '%7') AND source NOT IN ('part:5', '7')"""))
 def j6_suffix_impact(m: Model) -> DataFrame:
     """G3 with suffix seeds: a seed may hit longer targets."""
-    edges = m.current_edges().select("source", "target", "type").distinct()
+    edges = m.current_edges().select("source", "target")
     return graph.impact(edges, m.spark.createDataFrame([("part:5",), ("7",)], "node string"))
 
 
+_REF_KIND = "CASE WHEN type = 'imports' THEN 'path' WHEN status = 'external' THEN 'external' ELSE 'symbol' END"
+
+
+@register("g3_impact_of_parts", sql("ce", f""", s AS (SELECT CASE p_partkey // 20 % 3 WHEN 0 THEN 'part:' WHEN 1 THEN './PART:' ELSE ':' END || p_partkey AS seed FROM part WHERE p_partkey % 20 = 0), e AS (SELECT path, target, status FROM ce WHERE {_REF_KIND} IN ('path', 'external')),
+t AS (SELECT DISTINCT target FROM e JOIN s ON target = seed OR lower(target) LIKE '%' || regexp_replace(lower(seed), '^([.]/)+', ''))
+SELECT path AS dependent, contains(lower(path), 'test') OR contains(lower(path), 'spec') AS is_test, bool_or(status LIKE 'resolved%') AS verified, bool_or(status NOT LIKE 'resolved%') AS uncertain FROM e WHERE target IN (SELECT target FROM t) AND path NOT IN (SELECT seed FROM s) GROUP BY path"""))
+def g3_impact_of_parts(m: Model) -> DataFrame:
+    """Files that depend on parts divisible by 20 through path and external references, verified and uncertain parts apart."""
+    kind = F.when(F.col("type") == "imports", "path").when(F.col("status") == "external", "external").otherwise("symbol")
+    edges = m.current_edges().select(F.col("path").alias("source"), "target", "status", kind.alias("ref_kind"))
+    form = F.floor(F.col("p_partkey") / 20) % 3
+    seed = F.concat(F.when(form == 0, "part:").when(form == 1, "./PART:").otherwise(":"), F.col("p_partkey").cast("string"))
+    found = graph.impact(edges, m.table("part").where("p_partkey % 20 = 0").select(seed.alias("node")))
+    return found.select("dependent", "is_test", "verified", "uncertain")
+
+
 @register("a20_distinct_dependents", sql("ce", "SELECT target, count(DISTINCT source) AS dependents FROM ce GROUP BY target"))
 def a20_distinct_dependents(m: Model) -> DataFrame:
     return m.current_edges().groupBy("target").agg(F.count_distinct("source").alias("dependents"))
@@ -143,28 +159,16 @@ def r3_capabilities(m: Model) -> DataFrame:
     return m.spark.createDataFrame(list(policy.CAPABILITIES.items()), "capability string, least_route string")
 
 
-@register("j15_phrase_search", r"""WITH w AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM documents), q AS (SELECT item_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' ' AS p FROM benchmark)
-SELECT q.item_id, w.doc_id FROM w JOIN q ON contains(w.t, q.p) WHERE p <> '  '""")
-def j15_phrase_search(m: Model) -> DataFrame:
-    """Whole benchmark texts as phrases: an equi join on the phrase's first three words, then the whole phrase."""
-    words = lambda df: df.withColumn("w", F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != ""))
-    framed = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    q = words(m.table("benchmark")).where(F.size("w") >= 3).select("item_id", framed.alias("p"), F.array_join(F.slice("w", 1, 3), " ").alias("first"))
-    heads = q.select("first").distinct()
-    d = words(m.table("documents")).where(F.size("w") >= 3).select("doc_id", framed.alias("t"), F.explode(F.array_distinct(starts)).alias("first"))
-    return d.join(heads, "first", "left_semi").join(q, "first").where(F.contains("t", "p")).select("item_id", "doc_id").distinct()
-
-
-@register("l5_page_with_watermark", sql("cf", """, d AS (SELECT sha256(string_agg(file_id || ':' || coalesce(content_hash, ''), chr(10) ORDER BY file_id || ':' || coalesce(content_hash, ''))) AS digest FROM cf) SELECT path, file_id, digest FROM cf, d WHERE (path, file_id) > ('src1/en/5.md', '') ORDER BY path, file_id LIMIT 200"""))
+@register("l5_page_with_watermark", sql("cf", f""", {merkle.root_sql("SELECT file_id AS key, content_hash AS value FROM cf", "mf")}
+SELECT 'same' AS request, 'page' AS outcome, path, file_id, digest FROM (SELECT path, file_id FROM cf WHERE (path, file_id) > ('src1/en/5.md', '') ORDER BY path, file_id LIMIT 200), mf
+UNION ALL SELECT 'other', 'snapshot_changed', NULL, NULL, digest FROM mf""", recursive=True))
 def l5_page_with_watermark(m: Model) -> DataFrame:
-    """A keyset page with the digest of the snapshot that it was cut from; a page of another digest starts again."""
-    from ..operators.serving import whole_digest
-
+    """A keyset page under the digest of the snapshot that its cursor came from; a cursor of another digest gets no rows."""
     files = m.current_files()
-    key = F.concat(F.col("file_id"), F.lit(":"), F.coalesce("content_hash", F.lit("")))
-    page = find.keyset_page(files.select("path", "file_id"), ["path", "file_id"], 200, ("src1/en/5.md", ""))
-    return page.crossJoin(F.broadcast(whole_digest(files, key).select("digest")))
+    digest = lambda df: merkle.tree(df, F.col("file_id"), F.col("content_hash")).root().first().digest
+    now, old = digest(files), digest(m.files_at(1))
+    page = lambda name, seen: find.watermarked_page(files.select("path", "file_id"), ["path", "file_id"], 200, ("src1/en/5.md", ""), seen, now).select(F.lit(name).alias("request"), "outcome", "path", "file_id", "digest")
+    return page("same", now).unionByName(page("other", old))
 
 
 @register("s17_snapshot_tables", sql("gf", "SELECT generation_id, presence, count(*) AS n, count(DISTINCT path) AS paths FROM gf GROUP BY 1, 2"))

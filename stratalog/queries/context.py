@@ -54,53 +54,6 @@ def u4_canonical_seeds(m: Model) -> DataFrame:
     return found.select("request", F.array_join("seeds", ",").alias("seeds"))
 
 
-_SEEDS = """sd AS (SELECT 'q' || (p_partkey % 50) AS request, CASE p_partkey % 5 WHEN 0 THEN 'part:' || p_partkey WHEN 1 THEN p_brand || '::' || p_name WHEN 2 THEN p_name WHEN 3 THEN coalesce((SELECT min(path) FROM cs WHERE cs.p_partkey = part.p_partkey), 'none') ELSE 'nothing' || p_partkey END AS seed FROM part WHERE p_partkey % 13 = 0)"""
-
-
-def seeds(m: Model) -> DataFrame:
-    p = m.table("part").where("p_partkey % 13 = 0")
-    path = m.current_symbols().groupBy("p_partkey").agg(F.min("path").alias("path"))
-    key = F.col("p_partkey")
-    seed = F.when(key % 5 == 0, named("part", "p_partkey")).when(key % 5 == 1, F.concat_ws("::", "p_brand", "p_name")).when(key % 5 == 2, F.col("p_name")).when(key % 5 == 3, F.coalesce("path", F.lit("none")))
-    seed = seed.otherwise(F.concat(F.lit("nothing"), key.cast("string")))
-    return p.join(path, "p_partkey", "left").select(F.concat(F.lit("q"), (key % 50).cast("string")).alias("request"), seed.alias("seed"))
-
-
-def _stages(with_paths: bool) -> str:
-    rows = [("symbol_key", 0, "canonical")] + ([("path", 1, "path")] if with_paths else []) + [("qualified_name", 2, "qualified"), ("display_name", 3, "display")]
-    return " UNION ALL ".join(f"SELECT DISTINCT request, seed, {rank} AS rank, '{name}' AS stage, symbol_key FROM sd JOIN cs ON cs.{column} = seed" for column, rank, name in rows)
-
-
-def _seed_sql(with_paths: bool) -> str:
-    kept = "" if with_paths else " AND NOT (stage = 'display' AND n > 1)"
-    return sql("cs", f""", {_SEEDS}, st AS ({_stages(with_paths)}), b AS (SELECT *, min(rank) OVER (PARTITION BY request, seed) AS best FROM st), k AS (SELECT *, count(*) OVER (PARTITION BY request, seed) AS n FROM b WHERE rank = best)
-SELECT request, seed, stage, symbol_key, stage = 'display' AND n > 1 AS uncertain FROM k WHERE true{kept}""")
-
-
-@register("b5_seed_resolution", _seed_sql(False))
-def b5_seed_resolution(m: Model) -> DataFrame:
-    return context.resolve_seeds(seeds(m), m.current_symbols())
-
-
-@register("b6_seed_resolution_deep", _seed_sql(True))
-def b6_seed_resolution_deep(m: Model) -> DataFrame:
-    s = m.current_symbols()
-    none = m.spark.createDataFrame([], "seed string, symbol_key string")
-    return context.resolve_seeds(seeds(m), s, s.select("path", "symbol_key"), none)
-
-
-_WORDS = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9_]+'), lambda x: x <> ''), ' ') || ' '"
-
-
-@register("j17_mentions", f"""WITH t AS (SELECT doc_id::VARCHAR AS request, {_WORDS.format("text || ' ' || 'red widget ' || source")} AS body FROM documents), n AS (SELECT name, {_WORDS.format("name")} AS looked FROM (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT source FROM documents UNION SELECT 'of the'))
-SELECT request, name FROM t JOIN n ON contains(body, looked)""")
-def j17_mentions(m: Model) -> DataFrame:
-    d = m.table("documents")
-    tasks = d.select(F.col("doc_id").cast("string").alias("request"), F.concat_ws(" ", "text", F.lit("red widget"), "source").alias("text"))
-    names = m.table("part").select(F.col("p_name").alias("name")).union(d.select("source")).union(m.spark.createDataFrame([("of the",)], "name string"))
-    return context.mentions(tasks, names)
-
-
 @register("j16_tests_for_seed", """WITH f AS (SELECT 'src/' || CASE WHEN doc_id % 3 = 0 THEN 'test_' ELSE '' END || source || '_' || lang || '.rs' AS path FROM documents), s(seed, base) AS (VALUES ('a/src1_en.rs', 'src1_en'), ('src7_de', 'src7_de'))
 SELECT seed, path FROM f JOIN s ON lower(path) LIKE '%test%' || base || '%' OR lower(path) LIKE '%' || base || '%test%'""")
 def j16_tests_for_seed(m: Model) -> DataFrame:
@@ -108,43 +61,6 @@ def j16_tests_for_seed(m: Model) -> DataFrame:
     return context.tests_of(m.spark.createDataFrame([("a/src1_en.rs",), ("src7_de",)], "seed string"), m.table("documents").select(path.alias("path")))
 
 
-_SCORES = """sc AS (SELECT 'q' || (p_partkey % 20) AS request, symbol_key AS key, path, 100 AS points, 0 AS distance FROM cs WHERE p_partkey % 40 = 0
-UNION ALL SELECT 'q' || (p_partkey % 20), symbol_key, path, CASE WHEN method = 'semantic' THEN 115 ELSE 100 END, 0 FROM cs WHERE p_partkey % 25 = 1
-UNION ALL SELECT 'q' || (s.p_partkey % 20), c.symbol_key, c.path, CASE e.type WHEN 'calls' THEN 50 WHEN 'imports' THEN 40 ELSE 20 END, 1 FROM cs s JOIN (SELECT source, target, min_by(type, CASE type WHEN 'calls' THEN 0 WHEN 'imports' THEN 1 ELSE 2 END) AS type FROM ce GROUP BY 1, 2) e ON e.source = s.symbol_key JOIN cs c ON c.symbol_key = e.target WHERE s.p_partkey % 40 = 0),
-rk AS (SELECT request, key, path, sum(points)::BIGINT AS score, min(distance) AS distance FROM sc GROUP BY 1, 2, 3), r2 AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, distance, path, key) AS rank FROM rk)"""
-
-
-def scores(m: Model) -> DataFrame:
-    """What explicit paths, symbols and one-hop neighbours add; of several edges to a neighbour the best counts once."""
-    s, key = m.current_symbols(), F.col("p_partkey")
-    request = F.concat(F.lit("q"), (key % 20).cast("string")).alias("request")
-    row = lambda points, distance: [F.col("symbol_key").alias("key"), "path", points.cast("int").alias("points"), F.lit(distance).alias("distance")]
-    paths = s.where(key % 40 == 0).select(request, *row(F.lit(100), 0))
-    given = s.where(key % 25 == 1).select(request, *row(F.when(F.col("method") == "semantic", 115).otherwise(100), 0))
-    best = m.current_edges().groupBy("source", "target").agg(F.max(context.one_hop_points(F.col("type"))).alias("points"))
-    near = s.where(key % 40 == 0).select(request, F.col("symbol_key").alias("source")).join(best, "source").join(s.select(F.col("symbol_key").alias("target"), "path"), "target")
-    near = near.select("request", F.col("target").alias("key"), "path", F.col("points").cast("int").alias("points"), F.lit(1).alias("distance"))
-    return paths.unionByName(given).unionByName(near)
-
-
-@register("l2_broker_rank", sql("cs ce", f", {_SCORES} SELECT request, key, path, score, rank FROM r2 WHERE rank <= 30"))
-def l2_broker_rank(m: Model) -> DataFrame:
-    return context.rank_candidates(scores(m)).where("rank <= 30").select("request", "key", "path", "score", "rank")
-
-
-_FOLD = """c AS (SELECT request AS g, rank AS k, key, score, (strlen(path) + strlen(key)) AS b FROM r2 WHERE rank <= 60),
-fold AS (SELECT g, k, key, CASE WHEN b > 300 THEN 'bytes' ELSE 'selected' END AS d, CASE WHEN b <= 300 THEN 1 ELSE 0 END AS n, CASE WHEN b <= 300 THEN b ELSE 0 END AS sb FROM c WHERE k = 1
-UNION ALL SELECT c.g, c.k, c.key, CASE WHEN n >= 18 THEN 'records' WHEN sb + b > 300 THEN 'bytes' ELSE 'selected' END, n + CASE WHEN n < 18 AND sb + b <= 300 THEN 1 ELSE 0 END, sb + CASE WHEN n < 18 AND sb + b <= 300 THEN b ELSE 0 END FROM fold JOIN c ON c.g = fold.g AND c.k = fold.k + 1)"""
-
-
-@register("b3_build_packet", sql("cs ce", f", {_SCORES}, {_FOLD} SELECT g AS request, k AS rank, key AS item, d AS decision FROM fold", recursive=True))
-def b3_build_packet(m: Model) -> DataFrame:
-    """Ranked candidates under the packet's budget: nine tenths of 20 records, 300 bytes."""
-    size = (F.octet_length("path") + F.octet_length("key")).cast("long")
-    ranked = context.rank_candidates(scores(m)).where("rank <= 60").select("request", "rank", F.col("key").alias("item"), size.alias("bytes"), F.lit(0).cast("long").alias("tokens"))
-    return budget.greedy_select(ranked, "request", int(20 * 0.9), 300, 10**9)
-
-
 _DEEP = """c AS (SELECT source || '|' || lang AS g, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k, doc_id::VARCHAR AS item, 1 + doc_id % 3 AS work, doc_id % 4 AS depth, doc_id % 5 = 0 AS u, strlen(text)::BIGINT AS b FROM documents),
 x AS (SELECT *, 0 AS z FROM c WHERE k = 1),
 r AS (SELECT g, k, item, CASE WHEN work > 40 THEN 'work_units' WHEN depth > 2 THEN 'depth' WHEN u AND 0 >= 2 THEN 'uncertainty_reserve' WHEN b > 20000 THEN 'bytes' WHEN b // 4 > 4000 THEN 'tokens' ELSE 'selected' END AS d, CASE WHEN work > 40 THEN 0 ELSE work END AS spent,
@@ -163,7 +79,7 @@ def deep_candidates(m: Model) -> DataFrame:
 @register("b2_deep_budget", f"WITH RECURSIVE {_DEEP} SELECT g AS request, k AS rank, item, d AS decision, spent::BIGINT AS ledger FROM r")
 def b2_deep_budget(m: Model) -> DataFrame:
     """Ten records of which a fifth are kept for uncertainty."""
-    return context.deep_budget(deep_candidates(m), 10, 20_000, 4_000, 2, 40, 20)
+    return budget.deep_budget(deep_candidates(m), 10, 20_000, 4_000, 2, 40, 20)
 
 
 @register("p19_role_and_reason", sql("ce", """, x AS (SELECT type, unnest([true, false]) AS inbound, CASE WHEN is_test OR artifact_class = 'test' THEN 'test_contract' WHEN artifact_class IN ('configuration', 'build_manifest', 'infrastructure') THEN 'configuration_input' END AS ar FROM ce),
@@ -281,7 +197,7 @@ SELECT request, considered, (SELECT count(*) FROM (SELECT row_number() OVER (ORD
 def b7_deep_context(m: Model) -> DataFrame:
     """Candidates of the closure through the deep budget: depth 1 at most, 24 usual records, ample bytes, tokens and work."""
     items = compiled(m).select("request", "item", "rank", "depth", F.lit(1).alias("work"), F.lit(False).alias("uncertain"), F.lit(1).alias("bytes"), F.lit(1).alias("tokens"))
-    chosen = context.deep_budget(items, 30, 10**9, 10**9, 1, 10**9, 20).groupBy("request").agg(F.count(F.lit(1)).alias("considered"), F.count_if(F.col("decision") == "selected").alias("selected"))
+    chosen = budget.deep_budget(items, 30, 10**9, 10**9, 1, 10**9, 20).groupBy("request").agg(F.count(F.lit(1)).alias("considered"), F.count_if(F.col("decision") == "selected").alias("selected"))
     lost = context.frontier(m.current_edges(), walk_seeds(m), ["calls", "imports", "tests"], 2, 3).where("state = 'deferred'")
     lost = lost.select("request", "source", "type", "target", "fact_id").distinct().groupBy("request").agg(F.count(F.lit(1)).alias("deferred"))
     return chosen.join(lost, "request", "left").select("request", "considered", "selected", F.coalesce("deferred", F.lit(0)).alias("deferred"))

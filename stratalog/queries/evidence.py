@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import threading
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import vocab
-from ..operators import resolution, serving
+from ..operators import graph, merkle, projection, resolution, serving
 from ..sources.model import Model, chosen, named
 from .registry import register, sql
 
@@ -128,19 +132,21 @@ def a4_coverage_rollup(m: Model) -> DataFrame:
     return serving.coverage_rollup(m.file_coverage(), {"language": F.col("lang"), "presence": F.col("presence")})
 
 
-@register("a5_build_input", sql("cf cs ce conf cov eff", """SELECT (SELECT count(*) FROM cf) AS files, (SELECT count(*) FROM cs) AS symbols, (SELECT count(*) FROM ce) AS relationships, (SELECT count(*) FROM conf) AS conflicts, (SELECT count(*) FROM cov) AS coverage, (SELECT count(*) FROM eff) AS effects,
-sha256((SELECT string_agg(fact_id, chr(10) ORDER BY fact_id) FROM cs) || '|' || (SELECT string_agg(fact_id, chr(10) ORDER BY fact_id) FROM ce)) AS legacy_digest,
-(SELECT sha256(string_agg(fact_id, chr(10) ORDER BY fact_id)) FROM (SELECT fact_id FROM cs UNION ALL SELECT fact_id FROM ce)) AS canonical_digest"""))
+_FACT_ROOTS = ", ".join(merkle.root_sql(f"SELECT fact_id AS key, '' AS value FROM {rows}", name) for rows, name in (("cs", "ms"), ("ce", "me"), ("(SELECT fact_id FROM cs UNION ALL SELECT fact_id FROM ce)", "mu")))
+
+
+@register("a5_build_input", sql("cf cs ce conf cov eff", f""", {_FACT_ROOTS} SELECT (SELECT count(*) FROM cf) AS files, (SELECT count(*) FROM cs) AS symbols, (SELECT count(*) FROM ce) AS relationships, (SELECT count(*) FROM conf) AS conflicts, (SELECT count(*) FROM cov) AS coverage, (SELECT count(*) FROM eff) AS effects,
+sha256((SELECT digest FROM ms) || '|' || (SELECT digest FROM me)) AS legacy_digest, (SELECT digest FROM mu) AS canonical_digest""", recursive=True))
 def a5_build_input(m: Model) -> DataFrame:
-    """Counts and digests of what a build reads, in one order over everything (a generation's facts); see serving.ordered_digest for larger ones."""
+    """Counts and digests of what a build reads: roots of Merkle trees, the first of symbols and then of relationships, the
+    second of all of them."""
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    listed = lambda df, name: df.agg(F.count(F.lit(1)).alias(name), F.array_join(F.array_sort(F.collect_list("fact_id")), "\n").alias(f"{name}_ids"))
-    s, e = m.current_symbols().select("fact_id"), m.current_edges().select("fact_id")
-    row = listed(s, "symbols").crossJoin(listed(e, "relationships")).crossJoin(serving.whole_digest(s.unionByName(e), F.col("fact_id")).select(F.col("digest").alias("canonical_digest")))
-    for df, name in ((m.current_files(), "files"), (m.conflicts(), "conflicts"), (m.file_coverage(), "coverage"), (m.effects(), "effects")):
+    s, e = graph.cut(m.current_symbols().select("fact_id"), "facts"), graph.cut(m.current_edges().select("fact_id"), "facts")
+    root = lambda df, name: merkle.tree(df, F.col("fact_id"), F.lit("")).root().select(F.col("digest").alias(name))
+    row = root(s, "s").crossJoin(root(e, "e")).crossJoin(root(s.unionByName(e), "canonical_digest"))
+    for df, name in ((m.current_files(), "files"), (s, "symbols"), (e, "relationships"), (m.conflicts(), "conflicts"), (m.file_coverage(), "coverage"), (m.effects(), "effects")):
         row = row.crossJoin(n(df, name))  # single rows
-    legacy = F.sha2(F.concat_ws("|", "symbols_ids", "relationships_ids"), 256)
-    return row.select("files", "symbols", "relationships", "conflicts", "coverage", "effects", legacy.alias("legacy_digest"), "canonical_digest")
+    return row.select("files", "symbols", "relationships", "conflicts", "coverage", "effects", F.sha2(F.concat_ws("|", "s", "e"), 256).alias("legacy_digest"), "canonical_digest")
 
 
 _PREF = """pref AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol_key ORDER BY method = 'semantic' DESC, method = 'exact' DESC, confidence DESC, fact_id) AS k FROM cs) WHERE k = 1)"""
@@ -189,28 +195,96 @@ FROM pref p JOIN counts USING (symbol_key) LEFT JOIN cov c ON c.file_id = p.file
 _CARD_HASH = "sha256(concat_ws(chr(31), symbol_key, fact_id, callers, callees, \"references\", tests, configs, effects, conflicts, unresolved, coverage_state, tokens))"
 
 
+def source_at(m: Model, number: int) -> projection.Source:
+    return projection.Source(m.symbols_at(number), m.edges_at(number), m.effects(), m.conflicts(), m.coverage_at(number))
+
+
+def fingerprint(m: Model, *tables: str) -> str:
+    """A digest of the tables' files (path, length, time of change): no row is read for it."""
+    listed = []
+    for t in tables:
+        at = m.spark._jvm.org.apache.hadoop.fs.Path(f"{m.root}/{t}.parquet")
+        files = at.getFileSystem(m.spark._jsc.hadoopConfiguration()).listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            listed.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(listed)).encode()).hexdigest()
+
+
+_BUILDING = threading.Lock()
+
+
+def projected(m: Model) -> projection.Projection:
+    """The projection of generation 1, built, and that of generation 2, kept up from it by the keys that differ. One of the same
+    files that this application has built is read again."""
+    spark = m.spark
+    found = fingerprint(m, "documents", "part", "lineitem", "events", "labels")
+    p = projection.Projection(spark, f"{graph.shared_folder(spark)}/{spark.sparkContext.applicationId}/projection-{found[:32]}")
+    with _BUILDING:
+        if p.same("g2", found) is None:
+            before, after = source_at(m, 1), source_at(m, 2)
+            p.build("g1", found, before)
+            changed = graph.cut(projection.affected(before, after), "affected")
+            row = ["file_id", "lang", "presence", "status"]
+            gone, come = before.coverage.join(after.coverage, row, "left_anti"), after.coverage.join(before.coverage, row, "left_anti")
+            p.advance("g1", "g2", found, changed, after, gone, come)
+    return p
+
+
 @register("b15_serving_cards", sql("cs ce eff conf cov", f", {_CARDS} SELECT symbol_key, fact_id, callers, unresolved, coverage_state, tokens, {_CARD_HASH} AS card_hash FROM cards"))
 def b15_serving_cards(m: Model) -> DataFrame:
-    return serving.cards(m.current_symbols(), counts(m), m.file_coverage()).select("symbol_key", "fact_id", "callers", "unresolved", "coverage_state", "tokens", "card_hash")
+    """The stored cards of the active generation after an update by keys; the SQL makes them from nothing."""
+    return projected(m).read("g2", "cards").select("symbol_key", "fact_id", "callers", "unresolved", "coverage_state", "tokens", "card_hash")
+
+
+@register("b15_stored_rollups", sql("cov", """, r AS (SELECT 'lang' AS scope_kind, lang AS scope_key, status FROM cov UNION ALL SELECT 'presence', presence, status FROM cov UNION ALL SELECT 'workspace', '', status FROM cov)
+SELECT scope_kind, scope_key, count(*) AS eligible, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'unsupported') AS unsupported,
+count(*) FILTER (status = 'excluded') AS excluded, count(*) FILTER (status IN ('failed', 'stale')) AS failed FROM r GROUP BY 1, 2"""))
+def b15_stored_rollups(m: Model) -> DataFrame:
+    """The stored rollups after a delta was added and subtracted."""
+    return projected(m).read("g2", "rollups")
 
 
-@register("a6_projection_output", sql("cs ce eff conf cov", f""", {_CARDS}, h AS (SELECT {_CARD_HASH} AS card_hash FROM cards)
-SELECT count(*) AS cards, sum(strlen(card_hash))::BIGINT AS bytes, sha256(string_agg(card_hash, chr(10) ORDER BY card_hash)) AS content_hash FROM h"""))
+@register("a6_projection_output", sql("cs ce eff conf cov", f""", {_CARDS}, h AS (SELECT symbol_key, {_CARD_HASH} AS card_hash FROM cards), {merkle.root_sql("SELECT symbol_key AS key, card_hash AS value FROM h", "mh")}
+SELECT count(*) AS cards, sum(strlen(card_hash))::BIGINT AS bytes, (SELECT digest FROM mh) AS content_hash FROM h""", recursive=True))
 def a6_projection_output(m: Model) -> DataFrame:
-    made = serving.cards(m.current_symbols(), counts(m), m.file_coverage())
-    joined = F.array_join(F.array_sort(F.collect_list("card_hash")), "\n")
-    return made.agg(F.count(F.lit(1)).alias("cards"), F.sum(F.octet_length("card_hash")).cast("long").alias("bytes"), F.sha2(joined, 256).alias("content_hash"))
+    made = graph.cut(serving.cards(m.current_symbols(), counts(m), m.file_coverage()).select("symbol_key", "card_hash"), "cards")
+    root = merkle.tree(made, F.col("symbol_key"), F.col("card_hash")).root().select(F.col("digest").alias("content_hash"))
+    return made.agg(F.count(F.lit(1)).alias("cards"), F.sum(F.octet_length("card_hash")).cast("long").alias("bytes")).crossJoin(root)  # single rows
+
+
+_LANES = "sum(('0x' || substr(d, 1, 15))::HUGEINT) AS a, sum(('0x' || substr(d, 16, 15))::HUGEINT) AS b"
+_CONTENT = f"""cd AS (SELECT 'cards' AS kind, {_CARD_HASH} AS d FROM cards UNION ALL SELECT 'edges', sha256(concat_ws(chr(31), fact_id, source, target, type, status)) FROM ce), tot AS (SELECT kind, count(*) AS n, {_LANES} FROM cd GROUP BY 1)"""
 
 
-@register("b16_serving_status", sql("gen", """, b AS (SELECT generation_id, CASE generation_id WHEN 'g0' THEN NULL WHEN 'g3' THEN 'failed' WHEN 'g4' THEN 'building' ELSE 'ready' END AS state, 10 AS cards, 10 + CASE WHEN generation_id = 'g2' THEN 0 ELSE 1 END AS expected FROM gen)
-SELECT generation_id, CASE WHEN state IS NULL THEN 'absent' WHEN state <> 'ready' THEN state WHEN generation_id <> 'g2' THEN 'superseded' WHEN cards = expected THEN 'ready' ELSE 'stale' END AS status FROM b"""))
+@register("b16_serving_status", sql("cs ce eff conf cov", f""", {_CARDS}, {_CONTENT}, b(build, generation_id, status) AS (VALUES ('kept_up', 'g2', 'ready'), ('older', 'g1', 'superseded'), ('changed', 'g2', 'stale'), ('lost', 'g2', 'stale'), ('none', 'g0', 'absent'), ('broken', 'g3', 'failed'), ('begun', 'g4', 'building'))
+SELECT build, generation_id, status, CASE WHEN build = 'kept_up' THEN (SELECT string_agg(kind || ':' || n || ':' || a || ':' || b, '|' ORDER BY kind) FROM tot) END AS content FROM b"""))
 def b16_serving_status(m: Model) -> DataFrame:
-    g = F.col("generation_id")
-    rows = m.generations().select(
-        "generation_id", chosen(g, {"g0": F.lit(None).cast("string"), "g3": "failed", "g4": "building"}, "ready").alias("state"), F.lit(10).alias("cards"),
-        F.when(g == "g2", 10).otherwise(11).alias("expected_cards"), F.lit(1).alias("edges"), F.lit(1).alias("expected_edges"), F.lit("h").alias("content_hash"), F.lit("h").alias("expected_hash"),
-    )
-    return serving.status_of_build(rows, "g2").select("generation_id", "status")
+    """Statuses of written projections, by counts and sums taken anew from their files: one kept up by keys is ready (and has
+    the sums of one made from nothing); one whose card was changed or lost behind the manifest's back is stale."""
+    p = projected(m)
+    p.begin("g4")
+    p.begin("g3")
+    p.fail("g3")
+    cards = p.read("g2", "cards")
+    first = cards.agg(F.min("symbol_key").alias("k")).first().k
+    hurt = {"changed": cards.withColumn("callers", F.col("callers") + F.when(F.col("symbol_key") == first, 1).otherwise(0)), "lost": cards.where(F.col("symbol_key") != first)}
+    rows = [("kept_up", "g2", p.status("g2", "g2")), ("older", "g1", p.status("g1", "g2")), ("none", "g0", p.status("g0", "g2")), ("broken", "g3", p.status("g3", "g2")), ("begun", "g4", p.status("g4", "g2"))]
+    rows += [(name, "g2", damaged(p, name, df).status("g2", "g2")) for name, df in hurt.items()]
+    listed = m.spark.createDataFrame(rows, "build string, generation_id string, status string")
+    total = p.recount("g2").where("kind != 'rollups'").groupBy("kind").agg(F.concat_ws(":", "kind", F.sum("n"), F.sum("a").cast("decimal(38,0)"), F.sum("b").cast("decimal(38,0)")).alias("t"))
+    content = total.agg(F.array_join(F.array_sort(F.collect_list("t")), "|").alias("content"))  # two rows
+    return listed.crossJoin(F.broadcast(content)).select("build", "generation_id", "status", F.when(F.col("build") == "kept_up", F.col("content")).alias("content"))
+
+
+def damaged(p: projection.Projection, name: str, cards: DataFrame) -> projection.Projection:
+    """A copy of g2's projection with other cards under the same manifest figures."""
+    copy = projection.Projection(p.spark, f"{p.root}-{name}-{uuid.uuid4().hex}", p.buckets)
+    folder = copy.begin("g2")
+    copy._write(folder, "cards", cards)
+    claimed = p.manifest("g2").withColumn("folder", F.when(F.col("kind") == "cards", F.lit(folder)).otherwise(F.col("folder")))
+    copy._finish("g2", claimed.first().fingerprint, claimed.drop("generation_id", "fingerprint"))
+    return copy
 
 
 def _adjacent(side: str, extra: str) -> str:
@@ -229,9 +303,8 @@ def g8_adjacency_inbound(m: Model) -> DataFrame:
 
 @register("g9_adjacency_projection", _adjacent("source", ""))
 def g9_adjacency_projection(m: Model) -> DataFrame:
-    """The same contract read from a projection's edges: those that carry a resolution already."""
-    projected = m.current_edges().select("source", "target", "type", "status", "fact_id")
-    return serving.adjacency(projected, True, ["calls", "imports"], 3).select("source", "target", "type", "status", "fact_id")
+    """The same contract read from the stored projection's edges."""
+    return serving.adjacency(projected(m).read("g2", "edges"), True, ["calls", "imports"], 3).select("source", "target", "type", "status", "fact_id")
 
 
 @register("l4_light_lookup", sql("cs", """, r AS (SELECT display_name, symbol_key, fact_id, row_number() OVER (PARTITION BY display_name ORDER BY symbol_key, fact_id) AS k FROM cs)

@@ -47,11 +47,15 @@ def d13_generation_lifecycle(m: Model) -> DataFrame:
     return lifecycle.judge_transitions(m.generations(), m.workspace(), asked)
 
 
-@register("g7_ancestry", sql("gen", """, a AS (SELECT generation_id, parent_id AS ancestor, 1 AS distance FROM gen WHERE parent_id IS NOT NULL
-UNION ALL SELECT a.generation_id, gen.parent_id, a.distance + 1 FROM a JOIN gen ON gen.generation_id = a.ancestor WHERE gen.parent_id IS NOT NULL AND a.distance < 20)
-SELECT generation_id, ancestor, distance::BIGINT AS distance FROM a""", recursive=True))
+@register("g7_ancestry", """WITH RECURSIVE p AS (SELECT doc_id AS id, CASE WHEN doc_id - 1 - doc_id % 7 >= 0 THEN doc_id - 1 - doc_id % 7 END AS parent FROM documents), q AS (SELECT doc_id AS newer, doc_id // 2 AS older FROM documents WHERE doc_id % 20 = 0),
+w AS (SELECT newer, newer AS node, 0 AS d FROM q UNION ALL SELECT newer, parent, d + 1 FROM w JOIN p ON p.id = node WHERE parent IS NOT NULL)
+SELECT q.older, q.newer, w.node IS NOT NULL AS is_ancestor, coalesce(w.d, -1)::BIGINT AS distance FROM q LEFT JOIN w ON w.newer = q.newer AND w.node = q.older""")
 def g7_ancestry(m: Model) -> DataFrame:
-    return lifecycle.ancestry(m.generations())
+    """Chains over all documents, a seventh of their number long; asked for every document divisible by 20."""
+    d, up = m.table("documents").select("doc_id"), F.col("doc_id") - 1 - F.col("doc_id") % 7
+    chains = lifecycle.Ancestry(d.select(F.col("doc_id").alias("generation_id"), F.when(up >= 0, up).alias("parent_id")))
+    found = chains.judge(d.where("doc_id % 20 = 0").select(F.expr("doc_id div 2").alias("older"), F.col("doc_id").alias("newer")))
+    return found.withColumn("distance", F.coalesce("distance", F.lit(-1)))
 
 
 @register("a8_generation_counters", sql("gf rev", """SELECT generation_id, count(*) AS eligible, count(*) FILTER (presence = 'present') AS indexed, count(*) FILTER (presence = 'excluded') AS excluded,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import policy
-from ..operators import find, resolution, sessions
+from ..operators import find, graph, ranks, resolution, sessions
 from ..sources.model import Model, chosen
 from .context import _task_kind_sql, task_kinds
 from .registry import register, sql
@@ -146,14 +146,24 @@ def a16_arm_summary(m: Model) -> DataFrame:
     return sessions.arm_summary(e.select(F.col("event_type").alias("arm"), F.round(F.col("value") * 1000).cast("long").alias("micros"), hash_.alias("hash")))
 
 
-@register("k22_validate_arm", """WITH s AS (SELECT event_type AS arm, round(value * 1000)::BIGINT AS micros FROM events), b AS (SELECT arm, count(*) AS n, quantile_disc(micros, 0.95) AS p95 FROM s GROUP BY 1)
-SELECT arm, n, p95, CASE WHEN arm = 'click' THEN 'sample_count' WHEN arm = 'error' THEN 'p95' ELSE 'valid' END AS verdict FROM b""")
+_ARMS = "SELECT event_type || ':' || v AS arm, round(value * 1000)::BIGINT AS micros, (event_id % 2)::VARCHAR AS hash, user_id FROM events, (SELECT unnest(range(4)) AS v)"
+
+
+@register("k22_validate_arm", f"""WITH s AS ({_ARMS}), f AS (SELECT arm, count(*) AS n, quantile_disc(micros, 0.95) AS p95, count(DISTINCT hash) <= 1 AS same FROM s GROUP BY 1),
+d AS (SELECT arm, count(*) + CASE WHEN arm LIKE '%:2' THEN (SELECT count(*) FROM s x WHERE x.arm = s.arm) - count(*) ELSE 0 END AS n, quantile_disc(micros, 0.95) AS p95, arm LIKE '%:3' AS same FROM s WHERE CASE WHEN arm LIKE '%:1' THEN user_id % 20 <> 0 WHEN arm LIKE '%:2' THEN micros < 9000 ELSE true END GROUP BY 1)
+SELECT d.arm, f.n, f.p95, CASE WHEN d.n <> f.n THEN 'sample_count' WHEN d.p95 <> f.p95 THEN 'p95' WHEN d.same <> f.same THEN 'determinism' ELSE 'valid' END AS verdict FROM d JOIN f USING (arm)""")
 def k22_validate_arm(m: Model) -> DataFrame:
-    """Declared figures against figures taken again from the samples."""
-    found = sessions.arm_summary(m.table("events").select(F.col("event_type").alias("arm"), F.round(F.col("value") * 1000).cast("long").alias("micros"), F.lit("h").alias("hash"))).select("arm", "n", "p95")
-    said = found.select("arm", (F.col("n") + F.when(F.col("arm") == "click", 1).otherwise(0)).alias("said_n"), (F.col("p95") + F.when(F.col("arm") == "error", 1).otherwise(0)).alias("said_p95"))
-    verdict = F.when(F.col("said_n") != F.col("n"), "sample_count").when(F.col("said_p95") != F.col("p95"), "p95").otherwise("valid")
-    return found.join(said, "arm").select("arm", "n", "p95", verdict.alias("verdict"))
+    """Declared figures against figures taken again: declared of all samples, of a part of them, of the small ones under the
+    whole count, and with a wrong claim of determinism."""
+    v = F.explode(F.array(*[F.lit(str(i)) for i in range(4)]))
+    e = m.table("events").withColumn("v", v)
+    s = e.select(F.concat_ws(":", "event_type", "v").alias("arm"), "v", F.round(F.col("value") * 1000).cast("long").alias("micros"), (F.col("event_id") % 2).cast("string").alias("hash"), "user_id")
+    found = graph.cut(sessions.arm_summary(s.select("arm", "micros", "hash")), "arms")
+    part = s.where(F.when(F.col("v") == "1", F.col("user_id") % 20 != 0).when(F.col("v") == "2", F.col("micros") < 9000).otherwise(True))
+    said = sessions.arm_summary(part.select("arm", "micros", "hash")).select("arm", F.col("n").alias("part_n"), "p95")
+    whole = F.col("arm").endswith(":2")
+    said = said.join(found.select("arm", "n"), "arm").select("arm", F.when(whole, F.col("n")).otherwise(F.col("part_n")).alias("n"), "p95", F.col("arm").endswith(":3").alias("deterministic"))
+    return sessions.validate_arms(said, found).join(found.select("arm", "n", "p95"), "arm").select("arm", "n", "p95", "verdict")
 
 
 @register("a17_regression_gate", """WITH s AS (SELECT event_type AS profile, event_id % 3 AS repetition, user_id % 2 AS arm, value FROM events), q AS (SELECT profile, repetition, arm, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM s GROUP BY 1, 2, 3),
@@ -163,9 +173,8 @@ SELECT profile, count(*) FILTER (worse) >= 2 AS regressed, count(*) FILTER (wors
 def a17_regression_gate(m: Model) -> DataFrame:
     e = m.table("events").select(F.col("event_type").alias("profile"), (F.col("event_id") % 3).alias("repetition"), (F.col("user_id") % 2).alias("side"), "value")
     keys = ["profile", "repetition", "side"]
-    disc = lambda q, c: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {c})")
-    s = e.groupBy(*keys).agg(disc(0.5, "value").alias("p50"), disc(0.95, "value").alias("p95"))
-    mad = e.join(F.broadcast(s), keys).withColumn("off", F.abs(F.col("value") - F.col("p50"))).groupBy(*keys).agg(disc(0.5, "off").alias("mad"))  # 30 rows
+    s = ranks.nearest_ranks(e, keys, "value", {"p50": 0.5, "p95": 0.95})
+    mad = sessions.deviations(e, s, keys, "value")
     both = s.join(mad, keys)
     return sessions.regression_gate(both.where("side = 0"), both.where("side = 1"))
 

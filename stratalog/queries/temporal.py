@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import budget, diff, find, temporal
+from ..operators import budget, diff, find, graph, merkle, temporal
 from ..sources.model import Model, named
 from .registry import register, sql
 
@@ -22,19 +24,27 @@ def snapshot_symbols(m: Model, number: int) -> DataFrame:
     return p.select(named("part", "p_partkey").alias("symbol_key"), "file_id", "path", F.col("p_type").alias("kind"), F.col("p_name").alias("display_name"), F.col("p_brand").alias("qualified_name"), signature.alias("signature"), F.lit("exact").alias("method"), tenths.alias("confidence"), line.alias("start_line"), "p_partkey")
 
 
-def snapshot_edges(m: Model, number: int) -> DataFrame:
-    """Outbound targets; the second generation has others for some sources."""
-    li = m.table("lineitem").where("l_linenumber = 1")
-    target = F.col("l_suppkey") + (F.when(F.col("l_partkey") % 43 == 0, 1).otherwise(0) if number == 2 else F.lit(0))
-    return li.select(named("part", "l_partkey").alias("source"), named("part", target).alias("target"))
+def snapshot_relations(m: Model, number: int) -> DataFrame:
+    """identity, target, state of every line; the second generation has other targets and states, lost some and gained some."""
+    key, order = F.col("l_partkey"), F.col("l_orderkey")
+    li = m.table("lineitem").where(order % (59 if number == 2 else 61) != 0)
+    target = F.col("l_suppkey") + (F.when(key % 43 == 0, 1).otherwise(0) if number == 2 else F.lit(0))
+    state = F.when(order % 53 == 0, "X").otherwise(F.col("l_returnflag")) if number == 2 else F.col("l_returnflag")
+    source = named("part", "l_partkey")
+    return li.select(F.concat_ws("|", source, F.col("l_linenumber").cast("string")).alias("identity"), named("part", target).alias("target"), state.alias("state"), source.alias("source"))
+
+
+def _relations_sql(number: int) -> str:
+    shift = "CASE WHEN l_partkey % 43 = 0 THEN 1 ELSE 0 END" if number == 2 else "0"
+    state = "CASE WHEN l_orderkey % 53 = 0 THEN 'X' ELSE l_returnflag END" if number == 2 else "l_returnflag"
+    return f"SELECT l_partkey, 'part:' || l_partkey || '|' || l_linenumber AS i, 'part:' || (l_suppkey + {shift}) AS t, {state} AS s FROM lineitem WHERE l_orderkey % {59 if number == 2 else 61} <> 0"
 
 
 def _symbols_sql(number: int) -> str:
     later = "TRUE" if number == 2 else "FALSE"
-    shift = "CASE WHEN l_partkey % 43 = 0 THEN 1 ELSE 0 END" if number == 2 else "0"
     return f"""SELECT 'part:' || p_partkey AS symbol_key, path, file_id, sha256(concat_ws(chr(31), p_type, p_name, p_brand, CASE WHEN {later} AND p_partkey % 23 = 0 THEN 'v2' ELSE 'v1' END)) AS semantic,
 sha256(concat_ws(chr(31), 'exact', (p_size % 10 + CASE WHEN {later} AND p_partkey % 29 = 0 THEN 1 ELSE 0 END)::VARCHAR)) AS evidence, coalesce(o.outbound, '') AS outbound
-FROM part JOIN g{number} ON file_id = 'f:' || (p_partkey // 2) LEFT JOIN (SELECT l_partkey, string_agg(DISTINCT 'part:' || (l_suppkey + {shift}), ',' ORDER BY 'part:' || (l_suppkey + {shift})) AS outbound FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) o ON o.l_partkey = p_partkey"""
+FROM part JOIN g{number} ON file_id = 'f:' || (p_partkey // 2) LEFT JOIN (SELECT l_partkey, string_agg(DISTINCT t, ',' ORDER BY t) AS outbound FROM ({_relations_sql(number)}) GROUP BY 1) o ON o.l_partkey = p_partkey"""
 
 
 _D4 = f"""s1 AS ({_symbols_sql(1)}), s2 AS ({_symbols_sql(2)}),
@@ -45,7 +55,7 @@ WHEN a.evidence <> b.evidence THEN 'evidence_changed' WHEN a.outbound <> b.outbo
 
 
 def symbol_diff(m: Model) -> DataFrame:
-    states = [temporal.symbol_states(snapshot_symbols(m, n), snapshot_edges(m, n)) for n in (1, 2)]
+    states = [temporal.symbol_states(snapshot_symbols(m, n), snapshot_relations(m, n)) for n in (1, 2)]
     return temporal.symbol_changes(*states)
 
 
@@ -79,8 +89,7 @@ _EFF2 = "SELECT subject || '|' || effect_type, effect_id || p, p FROM (SELECT *,
 
 @register("d6_effect_diff", sql("eff", f", a AS ({_EFF1}), b(k, i, s) AS ({_EFF2}), {_KEYED} SELECT k AS key, change FROM d WHERE change IS NOT NULL"))
 def d6_effect_diff(m: Model) -> DataFrame:
-    keyed = lambda n: effects_of(m, n).withColumn("key", F.concat_ws("|", "subject", "effect_type"))
-    return temporal.state_changes(keyed(1), keyed(2), "key", "phase", ["effect_id", "phase"])
+    return effect_diff(m)
 
 
 @register("d6_conflict_diff", sql("conf", f", a AS (SELECT subject_key AS k, ok::VARCHAR || status AS i, status AS s FROM conf WHERE ok % 3 <> 0), b AS (SELECT subject_key AS k, ok::VARCHAR || status AS i, status AS s FROM conf WHERE ok % 5 <> 0), {_KEYED} SELECT k AS key, change FROM d WHERE change IS NOT NULL"))
@@ -102,18 +111,24 @@ def d6_coverage_diff(m: Model) -> DataFrame:
     return temporal.state_changes(key(m.file_coverage()), key(later_coverage(m)), "key", "status", ["status"])
 
 
-_D5 = f"""{_D4}, {_COV2}, d5 AS (SELECT s2.symbol_key, CASE WHEN p_partkey % 47 = 0 THEN 'provider_changed' WHEN coalesce(c1.status, '') <> 'complete' OR coalesce(c2.status, '') <> 'complete' THEN 'coverage_incomplete'
+_D5_ROWS = """live AS (SELECT 'f:' || doc_id AS file_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 9 <> 0),
+d5 AS (SELECT s2.symbol_key, CASE WHEN p_partkey % 47 = 0 THEN 'provider_changed' WHEN coalesce(c1.status, '') <> 'complete' OR coalesce(c2.status, '') <> 'complete' THEN 'coverage_incomplete'
 WHEN live.h IS NULL THEN 'source_unavailable' WHEN live.h <> g2.content_hash THEN 'source_stale' ELSE 'verified' END AS status
-FROM s2 JOIN part ON symbol_key = 'part:' || p_partkey JOIN g2 ON g2.file_id = s2.file_id LEFT JOIN cov c1 ON c1.file_id = s2.file_id LEFT JOIN cov2 c2 ON c2.file_id = s2.file_id
-LEFT JOIN (SELECT 'f:' || doc_id AS file_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 9 <> 0) live ON live.file_id = s2.file_id
+FROM s2 JOIN part ON symbol_key = 'part:' || p_partkey JOIN g2 ON g2.file_id = s2.file_id LEFT JOIN cov c1 ON c1.file_id = s2.file_id LEFT JOIN cov2 c2 ON c2.file_id = s2.file_id LEFT JOIN live ON live.file_id = s2.file_id
 WHERE s2.symbol_key NOT IN (SELECT symbol_key FROM d4))"""
+_D5 = f"{_D4}, {_COV2}, {_D5_ROWS}"
+
+
+def live_files(m: Model) -> DataFrame:
+    """file_id, live_hash of the files that are there now: some gone, some edited."""
+    d = m.table("documents").where("doc_id % 9 != 0")
+    return d.select(named("f", "doc_id").alias("file_id"), F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.sha2(F.col("text").cast("binary"), 256)).alias("live_hash"))
 
 
 def contracts(m: Model) -> DataFrame:
     s = snapshot_symbols(m, 2).join(m.generation(2).select("file_id", "content_hash"), "file_id")
     s = s.select("symbol_key", "file_id", "content_hash", F.lit("a").alias("old_provider"), F.when(F.col("p_partkey") % 47 == 0, "b").otherwise("a").alias("new_provider"))
-    live = m.table("documents").where("doc_id % 9 != 0").select(named("f", "doc_id").alias("file_id"), F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.sha2(F.col("text").cast("binary"), 256)).alias("live_hash"))
-    return temporal.unchanged_contracts(s, symbol_diff(m), m.file_coverage(), later_coverage(m), live)
+    return temporal.unchanged_contracts(s, symbol_diff(m), m.file_coverage(), later_coverage(m), live_files(m))
 
 
 @register("d5_unchanged_contracts", sql("g1 g2 cov", f", {_D5} SELECT symbol_key, status FROM d5"))
@@ -121,31 +136,100 @@ def d5_unchanged_contracts(m: Model) -> DataFrame:
     return contracts(m)
 
 
-_CHANGES = f"""{_FILE_DIFF}, {_D4}, {_COV2}, ca AS (SELECT coalesce(a.file_id, b.file_id) AS key, CASE WHEN b.file_id IS NULL THEN 'removed' ELSE 'state_changed' END AS change FROM cov a LEFT JOIN cov2 b ON a.file_id = b.file_id WHERE b.file_id IS NULL OR a.status <> b.status),
-ch AS (SELECT 'files' AS category, key, change FROM fd UNION ALL SELECT 'symbols', symbol_key, change FROM d4 UNION ALL SELECT 'coverage', key, change FROM ca UNION ALL SELECT 'coverage', 'provider-set', 'modified')"""
+_RELATIONS = f"""rb AS ({_relations_sql(1)}), ra AS ({_relations_sql(2)}),
+rg AS (SELECT *, row_number() OVER (PARTITION BY i, t ORDER BY s) AS k FROM (SELECT i, t, s FROM rb EXCEPT ALL SELECT i, t, s FROM ra)), rn AS (SELECT *, row_number() OVER (PARTITION BY i, t ORDER BY s) AS k FROM (SELECT i, t, s FROM ra EXCEPT ALL SELECT i, t, s FROM rb)),
+rj AS (SELECT coalesce(rg.i, rn.i) AS i, coalesce(rg.t, rn.t) AS t, rg.s AS s1, rn.s AS s2 FROM rg FULL JOIN rn ON rg.i = rn.i AND rg.t = rn.t AND rg.k = rn.k),
+rr AS (SELECT *, count(s1) OVER (PARTITION BY i) AS c1, count(s2) OVER (PARTITION BY i) AS c2 FROM rj WHERE s1 IS NULL OR s2 IS NULL),
+rel AS (SELECT i AS identity, 'evidence_changed' AS change, t AS old_target, t AS new_target FROM rj WHERE s1 IS NOT NULL AND s2 IS NOT NULL
+UNION ALL SELECT i, 'retargeted', max(CASE WHEN s1 IS NOT NULL THEN t END), max(CASE WHEN s2 IS NOT NULL THEN t END) FROM rr WHERE c1 = 1 AND c2 = 1 GROUP BY i
+UNION ALL SELECT i, CASE WHEN s1 IS NULL THEN 'added' ELSE 'removed' END, CASE WHEN s1 IS NOT NULL THEN t END, CASE WHEN s2 IS NOT NULL THEN t END FROM rr WHERE NOT (c1 = 1 AND c2 = 1)),
+rel_ch AS (SELECT identity || '>' || coalesce(old_target, '') || '>' || coalesce(new_target, '') AS key, change FROM rel)"""
 
 
-def all_changes(m: Model) -> DataFrame:
-    """Files, symbols and coverage, and D7's row that the set of providers changed."""
-    rows = lambda df, category, key: df.select(F.lit(category).alias("category"), F.col(key).alias("key"), "change")
-    files = rows(diff.file_changes(m.generation(1), m.generation(2)), "files", "file_id")
-    key = lambda df: df.withColumnRenamed("file_id", "key")
-    coverage = temporal.state_changes(key(m.file_coverage()), key(later_coverage(m)), "key", "status", ["status"])
-    provider = m.spark.createDataFrame([("coverage", "provider-set", "modified")], "category string, key string, change string")
-    return temporal.explain(files, rows(symbol_diff(m), "symbols", "symbol_key"), rows(coverage, "coverage", "key"), provider)
+def _keyed_sql(name: str, before: str, after: str) -> str:
+    """CTEs whose last is `name` (key, change): D6's rule over (k, i, s) rows of two snapshots."""
+    listed = "list(i ORDER BY i) AS items, list_sort(list_distinct(list(s))) AS states"
+    return f"""{name}_o AS (SELECT k, {listed} FROM ({before}) x(k, i, s) GROUP BY k), {name}_n AS (SELECT k, {listed} FROM ({after}) x(k, i, s) GROUP BY k),
+{name} AS (SELECT * FROM (SELECT coalesce(o.k, n.k) AS key, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' WHEN o.states <> n.states THEN 'state_changed' WHEN o.items <> n.items THEN 'modified' END AS change FROM {name}_o o FULL JOIN {name}_n n ON o.k = n.k) WHERE change IS NOT NULL)"""
+
+
+_PROVIDERS = "SELECT 'provider.' || (user_id % 4) AS provider, max(event_id // 1000) AS version FROM events {} GROUP BY 1"
+_CONF = "SELECT subject_key, ok::VARCHAR || status, status FROM conf WHERE ok % {} <> 0"
+_CHANGES = f"""{_FILE_DIFF}, {_D4}, {_COV2}, {_RELATIONS}, {_keyed_sql("eff_ch", _EFF1, _EFF2)}, {_keyed_sql("conf_ch", _CONF.format(3), _CONF.format(5))},
+ca AS (SELECT coalesce(a.file_id, b.file_id) AS key, CASE WHEN b.file_id IS NULL THEN 'removed' ELSE 'state_changed' END AS change FROM cov a LEFT JOIN cov2 b ON a.file_id = b.file_id WHERE b.file_id IS NULL OR a.status <> b.status),
+pv AS (SELECT 'provider-set' AS key, 'modified' AS change WHERE EXISTS (SELECT 1 FROM ({_PROVIDERS.format("WHERE event_id % 1000 < 500")}) a FULL JOIN ({_PROVIDERS.format("WHERE event_type <> 'view'")}) b USING (provider) WHERE a.version IS DISTINCT FROM b.version)),
+ch AS (SELECT 'files' AS category, key, change FROM fd UNION ALL SELECT 'symbols', symbol_key, change FROM d4 UNION ALL SELECT 'relationships', key, change FROM rel_ch UNION ALL SELECT 'effects', key, change FROM eff_ch
+UNION ALL SELECT 'coverage', key, change FROM ca UNION ALL SELECT 'coverage', key, change FROM pv UNION ALL SELECT 'conflicts', key, change FROM conf_ch)"""
+_DELTA = "g1 g2 cov conf eff"
+
 
+def relation_diff(m: Model) -> DataFrame:
+    found = diff.relationship_changes(snapshot_relations(m, 1), snapshot_relations(m, 2))
+    return found.select(F.concat_ws(">", "identity", F.coalesce("old_target", F.lit("")), F.coalesce("new_target", F.lit(""))).alias("key"), "change")
 
-@register("d7_all_changes", sql("g1 g2 cov", f", {_CHANGES} SELECT * FROM ch"))
+
+def effect_diff(m: Model) -> DataFrame:
+    keyed = lambda n: effects_of(m, n).withColumn("key", F.concat_ws("|", "subject", "effect_type"))
+    return temporal.state_changes(keyed(1), keyed(2), "key", "phase", ["effect_id", "phase"])
+
+
+def providers(m: Model, number: int) -> DataFrame:
+    """Each provider's version, from the events of its generation."""
+    e = m.table("events").where("event_type != 'view'" if number == 2 else "event_id % 1000 < 500")
+    return e.groupBy(F.concat(F.lit("provider."), (F.col("user_id") % 4).cast("string")).alias("provider")).agg(F.max(F.expr("event_id div 1000")).alias("version"))
+
+
+def all_changes(m: Model) -> DataFrame:
+    """All six categories; a coverage change says that the set of providers is another."""
+    key = lambda df, name: df.withColumnRenamed(name, "key")
+    coverage = temporal.state_changes(key(m.file_coverage(), "file_id"), key(later_coverage(m), "file_id"), "key", "status", ["status"])
+    c = key(m.conflicts(), "subject_key")
+    conflicts = temporal.state_changes(c.where("ok % 3 != 0"), c.where("ok % 5 != 0"), "key", "status", ["ok", "status"])
+    return temporal.explain({
+        "files": key(diff.file_changes(m.generation(1), m.generation(2)), "file_id"), "symbols": key(symbol_diff(m), "symbol_key"), "relationships": relation_diff(m), "effects": effect_diff(m),
+        "coverage": coverage.unionByName(temporal.provider_set_change(providers(m, 1), providers(m, 2))), "conflicts": conflicts,
+    })
+
+
+@register("d7_all_changes", sql(_DELTA, f", {_CHANGES} SELECT * FROM ch"))
 def d7_all_changes(m: Model) -> DataFrame:
     return all_changes(m)
 
 
-@register("d8_sealed_delta", sql("g1 g2 cov", f""", {_CHANGES} SELECT category, key, change, substr(sha256(concat_ws(chr(31), category, key, change)), 1, 32) AS change_id FROM ch"""))
+@register("d8_sealed_delta", sql(_DELTA, f""", {_CHANGES} SELECT category, key, change, substr(sha256(concat_ws(chr(31), category, key, change)), 1, 32) AS change_id FROM ch"""))
 def d8_sealed_delta(m: Model) -> DataFrame:
     return temporal.sealed(all_changes(m)).select("category", "key", "change", "change_id")
 
 
-@register("d9_bounded_delta", sql("g1 g2 cov", f", {_CHANGES} SELECT 100000000 AS budget, category, count(*) AS n FROM ch GROUP BY category"))
+_LESS = "SELECT category || chr(31) || key AS key, change AS value FROM ch"
+
+
+@register("d8_replays", sql(_DELTA, f""", {_CHANGES}, {merkle.root_sql(_LESS, "all_")}, {merkle.root_sql(_LESS + " WHERE category <> 'symbols'", "less_")}
+SELECT 'first' AS attempt, 'sealed' AS outcome, n, digest FROM all_ UNION ALL SELECT 'again', 'replayed', n, digest FROM all_ UNION ALL SELECT 'other', 'conflict', n, digest FROM less_""", recursive=True))
+def d8_replays(m: Model) -> DataFrame:
+    """A delta is sealed once under its name: the same content again is a replay, other content a conflict."""
+    c = graph.cut(all_changes(m), "delta")
+    store = merkle.Sealed(m.spark, f"{graph.shared_folder(m.spark)}/deltas-{uuid.uuid4().hex}")
+    key = F.concat_ws("\u001f", "category", "key")
+    out = None
+    for attempt, rows in (("first", c), ("again", c.orderBy("change", F.desc("key"))), ("other", c.where("category != 'symbols'"))):
+        t = merkle.tree(rows, key, F.col("change"))
+        row = t.root().select(F.lit(attempt).alias("attempt"), F.lit(store.seal("g1-g2", t)).alias("outcome"), "n", "digest")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("d2_merkle_differences", sql("g1 g2", """, a AS (SELECT file_id AS key, path || '|' || content_hash AS v FROM g1), b AS (SELECT file_id AS key, path || '|' || content_hash AS v FROM g2)
+SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'modified' END AS change, a.v AS before, b.v AS after FROM a FULL JOIN b USING (key) WHERE a.v IS DISTINCT FROM b.v"""))
+def d2_merkle_differences(m: Model) -> DataFrame:
+    """The files that differ between two snapshots, by descending both trees together."""
+    value = F.concat_ws("|", "path", "content_hash")
+    a = merkle.tree(m.generation(1), F.col("file_id"), value, keep_rows=True, leaf_rows=16)
+    b = merkle.tree(m.generation(2), F.col("file_id"), value, keep_rows=True, depth=a.depth)
+    return merkle.differences(a, b)
+
+
+@register("d9_bounded_delta", sql(_DELTA, f", {_CHANGES} SELECT 100000000 AS budget, category, count(*) AS n FROM ch GROUP BY category"))
 def d9_bounded_delta(m: Model) -> DataFrame:
     """All within the larger budget, nothing within the smaller one."""
     c = all_changes(m)
@@ -156,41 +240,47 @@ def d9_bounded_delta(m: Model) -> DataFrame:
 _CATEGORIES = ["files", "symbols", "relationships", "effects", "coverage", "conflicts"]
 
 
-@register("a12_category_totals", sql("g1 g2 cov", f""", {_CHANGES}, k AS (SELECT unnest({_CATEGORIES}) AS category) SELECT k.category, count(ch.key) AS total, least(count(ch.key), 50) AS kept, greatest(count(ch.key) - 50, 0) AS omitted FROM k LEFT JOIN ch USING (category) GROUP BY 1"""))
+@register("a12_category_totals", sql(_DELTA, f""", {_CHANGES}, k AS (SELECT unnest({_CATEGORIES}) AS category) SELECT k.category, count(ch.key) AS total, least(count(ch.key), 50) AS kept, greatest(count(ch.key) - 50, 0) AS omitted FROM k LEFT JOIN ch USING (category) GROUP BY 1"""))
 def a12_category_totals(m: Model) -> DataFrame:
     return temporal.category_totals(all_changes(m), _CATEGORIES, 50)
 
 
-@register("l7_first_details", sql("g1 g2 cov", f""", {_CHANGES} SELECT category, key, change, total FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY key, change) AS k, count(*) OVER (PARTITION BY category) AS total FROM ch) WHERE k <= 50"""))
+@register("l7_first_details", sql(_DELTA, f""", {_CHANGES} SELECT category, key, change, total FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY key, change) AS k, count(*) OVER (PARTITION BY category) AS total FROM ch) WHERE k <= 50"""))
 def l7_first_details(m: Model) -> DataFrame:
     return temporal.first_details(all_changes(m), 50).select("category", "key", "change", "total")
 
 
-_RISK = f"""{_D5}, {_FILE_DIFF}, core AS (SELECT change FROM fd UNION ALL SELECT change FROM d4), t AS (SELECT
-(SELECT count(*) FROM d5 WHERE status = 'source_stale') AS live_source_stale, (SELECT count(*) FROM d5 WHERE status = 'source_unavailable') AS live_source_unavailable, (SELECT count(*) FROM d5 WHERE status IN ('provider_changed', 'coverage_incomplete')) AS delta_uncertainty,
+_RISK = f"""{_CHANGES}, {_D5_ROWS}, core AS (SELECT change FROM ch WHERE category IN ('files', 'symbols', 'relationships', 'effects')),
+own AS (SELECT CASE WHEN live.h IS NULL THEN 'source_unavailable' WHEN live.h <> g2.content_hash THEN 'source_stale' END AS status FROM d4 JOIN s2 USING (symbol_key) JOIN g2 ON g2.file_id = s2.file_id LEFT JOIN live ON live.file_id = s2.file_id), t AS (SELECT
+(SELECT count(*) FROM d5 WHERE status = 'source_stale') + (SELECT count(*) FROM own WHERE status = 'source_stale') AS live_source_stale, (SELECT count(*) FROM d5 WHERE status = 'source_unavailable') + (SELECT count(*) FROM own WHERE status = 'source_unavailable') AS live_source_unavailable, (SELECT count(*) FROM d5 WHERE status IN ('provider_changed', 'coverage_incomplete')) AS delta_uncertainty,
 (SELECT count(*) FROM conf WHERE status IN ('open', 'preferred_with_conflict')) AS open_evidence_conflicts, (SELECT count(*) FROM cov WHERE status IN ('failed', 'stale')) AS failed_or_stale_coverage,
 (SELECT greatest(count(*) - 50, 0) FROM d5 WHERE status = 'verified') AS validity_evidence_omitted, (SELECT greatest(count(*) - 50, 0) FROM core) AS change_evidence_omitted,
-(SELECT count(*) FROM core WHERE change <> 'added') AS disruptive_changes, (SELECT count(*) FROM ce WHERE status IN ('unresolved', 'ambiguous', 'invalid', 'stale')) AS unresolved_relationships,
+(SELECT count(*) FROM core WHERE change IN ('removed', 'renamed', 'retargeted', 'state_changed', 'modified')) AS disruptive_changes, (SELECT count(*) FROM ce WHERE status IN ('unresolved', 'ambiguous', 'invalid', 'stale')) AS unresolved_relationships,
 (SELECT count(*) FROM core WHERE change = 'added') AS additive_changes, CASE WHEN (SELECT count(*) FROM core) = 0 AND (SELECT count(*) FROM d5 WHERE status = 'verified') = 0 THEN 1 ELSE 0 END::BIGINT AS unchanged_contracts_unavailable),
 l AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{v}', {temporal.LEVELS.index(v)})" for c, v in temporal.SIGNALS.items())}) AS v(code, level, rank)), u AS (UNPIVOT t ON COLUMNS(*) INTO NAME code VALUE count)
 SELECT code, level, count, ({list(temporal.LEVELS)})[max(rank) OVER () + 1] AS overall FROM l JOIN u USING (code) WHERE count > 0"""
 
 
-@register("a13_risk_signals", sql("g1 g2 cov conf ce", f", {_RISK}"))
+@register("a13_risk_signals", sql(_DELTA + " ce", f", {_RISK}"))
 def a13_risk_signals(m: Model) -> DataFrame:
-    """All eleven counters."""
+    """All eleven counters: changes of files, symbols, relationships and effects; sources of changed symbols count as stale or
+    gone like those of unchanged contracts."""
     c = contracts(m).agg(*[F.count_if(F.col("status").isin(*s)).alias(n) for n, s in (("live_source_stale", ["source_stale"]), ("live_source_unavailable", ["source_unavailable"]), ("delta_uncertainty", ["provider_changed", "coverage_incomplete"]), ("verified", ["verified"]))])
-    core = diff.file_changes(m.generation(1), m.generation(2)).select("change").unionByName(symbol_diff(m).select("change"))
+    changed = symbol_diff(m).select("symbol_key", "change")
+    core = diff.file_changes(m.generation(1), m.generation(2)).select("change").unionByName(changed.select("change")).unionByName(relation_diff(m).select("change")).unionByName(effect_diff(m).select("change"))
     core = core.agg(F.count(F.lit(1)).alias("core"), F.count_if(temporal.disruptive(F.col("change"))).alias("disruptive_changes"), F.count_if(F.col("change") == "added").alias("additive_changes"))
     some = lambda df, states, name: df.agg(F.count_if(F.col("status").isin(*states)).alias(name))
-    row = c.crossJoin(core).crossJoin(some(m.conflicts(), find.OPEN_CONFLICT, "open_evidence_conflicts")).crossJoin(some(m.file_coverage(), ("failed", "stale"), "failed_or_stale_coverage"))
+    own = temporal.changed_sources(changed, snapshot_symbols(m, 2).join(m.generation(2).select("file_id", "content_hash"), "file_id"), live_files(m))
+    own = own.agg(F.count_if(F.col("status") == "source_stale").alias("own_stale"), F.count_if(F.col("status") == "source_unavailable").alias("own_gone"))
+    row = c.crossJoin(own).crossJoin(core).crossJoin(some(m.conflicts(), find.OPEN_CONFLICT, "open_evidence_conflicts")).crossJoin(some(m.file_coverage(), ("failed", "stale"), "failed_or_stale_coverage"))
     row = row.crossJoin(some(m.current_edges(), find.UNRESOLVED, "unresolved_relationships"))  # single rows
     over = lambda x: F.greatest(F.col(x) - 50, F.lit(0))
     none = F.when((F.col("core") == 0) & (F.col("verified") == 0), 1).otherwise(0)
+    row = row.withColumns({"live_source_stale": F.col("live_source_stale") + F.col("own_stale"), "live_source_unavailable": F.col("live_source_unavailable") + F.col("own_gone")})
     return temporal.risk_summary(row.withColumns({"validity_evidence_omitted": over("verified"), "change_evidence_omitted": over("core"), "unchanged_contracts_unavailable": none}))
 
 
-@register("d10_explain", sql("g1 g2 cov gen", f""", {_CHANGES}, h AS (SELECT count(*) AS events FROM events WHERE event_id > 100 AND event_id <= 5000)
+@register("d10_explain", sql(_DELTA + " gen", f""", {_CHANGES}, h AS (SELECT count(*) AS events FROM events WHERE event_id > 100 AND event_id <= 5000)
 SELECT category, change, count(*) AS n, max(events) AS events, 'g1' AS baseline, 'g2' AS active FROM ch, h GROUP BY 1, 2"""))
 def d10_explain(m: Model) -> DataFrame:
     """The baseline is the active generation's parent; changes by category and kind, and the events in its sequence range."""

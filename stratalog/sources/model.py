@@ -14,6 +14,10 @@ RUNS = [
 ]
 
 
+#: The generation that the workspace's pointer names.
+ACTIVE = 2
+
+
 def named(kind: str, key: str | Column) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     return F.concat(F.lit(f"{kind}:"), key.cast("string"))
@@ -27,11 +31,17 @@ def chosen(value: Column, cases: dict, otherwise) -> Column:
     return out
 
 
+def about_file() -> dict[str, Column]:
+    """What a file's path rules say of it."""
+    doc = F.col("doc_id")
+    return {"artifact_class": chosen(doc % 6, {0: "test", 1: "configuration"}, "source"), "is_test": doc % 6 == 0}
+
+
 class Model(Catalog):
     """Every method is a lazy table; names follow the columns that the queries' SQL uses."""
 
     def workspace(self) -> DataFrame:
-        return self.spark.createDataFrame([("w1", "g2")], "workspace_id string, active_id string")
+        return self.spark.createDataFrame([("w1", f"g{ACTIVE}")], "workspace_id string, active_id string")
 
     def generations(self) -> DataFrame:
         return self.spark.createDataFrame(GENERATIONS, "generation_id string, parent_id string, sequence_no long, state string")
@@ -39,37 +49,55 @@ class Model(Catalog):
     def runs(self) -> DataFrame:
         return self.spark.createDataFrame(RUNS, "run_id string, provider string, tier string, run_status string")
 
-    def generation_files(self) -> DataFrame:
+    def members(self, number: int) -> DataFrame:
+        """One generation's files with presence and revision: one pass over its documents."""
         doc = F.col("doc_id")
         presence = F.when(doc % 19 == 0, "excluded").when(doc % 37 == 0, "secret_excluded").otherwise("present")
         revision = F.substring(F.sha2(F.concat_ws("\u001f", "file_id", "content_hash"), 256), 1, 32)
-        both = self.generation(1).withColumn("generation_id", F.lit("g1")).unionByName(self.generation(2).withColumn("generation_id", F.lit("g2")))
-        return both.withColumn("presence", presence).withColumn("revision_id", F.when(F.col("presence") == "present", revision))
+        rows = self.generation(number).withColumn("generation_id", F.lit(f"g{number}")).withColumn("presence", presence)
+        return rows.withColumn("revision_id", F.when(F.col("presence") == "present", revision))
+
+    def generation_files(self) -> DataFrame:
+        return self.members(1).unionByName(self.members(2))
 
     def revisions(self) -> DataFrame:
-        doc = F.col("doc_id")
         rows = self.generation_files().where("revision_id is not null").select("revision_id", "file_id", "content_hash", "byte_size", "lang", "doc_id").distinct()
-        return rows.withColumns({"artifact_class": chosen(doc % 6, {0: "test", 1: "configuration"}, "source"), "is_test": doc % 6 == 0})
+        return rows.withColumns(about_file())
+
+    def files_at(self, number: int = ACTIVE) -> DataFrame:
+        """workspace, a generation (the active one), its members, and their revisions' columns where they have one.
+
+        A revision's attributes follow from its file, so only this generation is read, once.
+        """
+        there = F.col("revision_id").isNotNull()
+        rows = self.members(number).withColumns(about_file())
+        kept = [F.when(there, F.col(c)).alias(c) for c in ("content_hash", "byte_size", "artifact_class", "is_test")]
+        return rows.select(F.lit("w1").alias("workspace_id"), "generation_id", "file_id", "path", "presence", "revision_id", *kept)
 
     def current_files(self) -> DataFrame:
-        """workspace, its active generation, the members, and their revisions where they have one."""
-        members = self.generation_files().join(F.broadcast(self.workspace()), F.col("generation_id") == F.col("active_id"))
-        about = self.revisions().select("revision_id", "artifact_class", "is_test")
-        kept = members.select("workspace_id", "generation_id", "file_id", "path", "presence", "revision_id", *[F.when(F.col("revision_id").isNotNull(), F.col(c)).alias(c) for c in ("content_hash", "byte_size")])
-        return kept.join(about, "revision_id", "left")
+        return self.files_at()
 
     def symbol_facts(self) -> DataFrame:
+        """Facts of every generation's revisions."""
+        return self._facts(self.revisions().select("revision_id", "file_id"))
+
+    def _facts(self, revisions: DataFrame) -> DataFrame:
         p, key = self.table("part"), F.col("p_partkey")
-        rows = p.join(self.revisions().select("revision_id", "file_id"), named("f", F.floor(key / 2)) == F.col("file_id"))
+        more = [c for c in revisions.columns if c not in ("revision_id", "file_id")]
+        rows = p.join(revisions, named("f", F.floor(key / 2)) == F.col("file_id"))
         return rows.select(
             F.concat(F.lit("s:"), key.cast("string"), F.lit("@"), F.substring("revision_id", 1, 8)).alias("fact_id"), named("run", key % 5).alias("run_id"), "revision_id", "file_id",
             named("part", "p_partkey").alias("symbol_key"), F.col("p_type").alias("kind"), F.col("p_name").alias("display_name"), F.concat_ws("::", "p_brand", "p_name").alias("qualified_name"),
             F.col("p_size").cast("long").alias("start_byte"), (F.col("p_size") + 40).cast("long").alias("end_byte"),
-            chosen(key % 4, {0: "exact", 1: "semantic"}, "structural").alias("method"), F.round((F.col("p_size") % 10) / 10.0 + 0.05, 2).alias("confidence"), "p_partkey",
+            chosen(key % 4, {0: "exact", 1: "semantic"}, "structural").alias("method"), F.round((F.col("p_size") % 10) / 10.0 + 0.05, 2).alias("confidence"), "p_partkey", *more,
         )
 
+    def symbols_at(self, number: int = ACTIVE) -> DataFrame:
+        """Facts of a generation's present revisions, with their files' columns."""
+        return self._facts(self.files_at(number).where("revision_id is not null").select("revision_id", "file_id", "path", "artifact_class", "is_test"))
+
     def current_symbols(self) -> DataFrame:
-        return self.symbol_facts().join(self.current_files().select("revision_id", "path", "artifact_class", "is_test"), "revision_id")
+        return self.symbols_at()
 
     def symbol_edges(self) -> DataFrame:
         line = F.col("l_linenumber")
@@ -87,16 +115,22 @@ class Model(Catalog):
         status = F.when(t % 9 == 0, "stale").when(t % 5 == 0, "external").when(line == 6, "ambiguous").when((line == 7) & (F.col("ok") % 2 == 0), "unresolved").otherwise("resolved_symbol")
         return self.symbol_edges().withColumn("status", status)
 
+    def edges_at(self, number: int = ACTIVE) -> DataFrame:
+        """Edges of files that a generation (the active one) has."""
+        return self.resolved().join(self.files_at(number).where("revision_id is not null").select("file_id", "path", "artifact_class", "is_test"), "file_id")
+
     def current_edges(self) -> DataFrame:
-        """Edges of files that the active generation has."""
-        return self.resolved().join(self.current_files().where("revision_id is not null").select("file_id", "path", "artifact_class", "is_test"), "file_id")
+        return self.edges_at()
 
-    def file_coverage(self) -> DataFrame:
-        rows = self.current_files().join(self.table("labels").select(named("f", "doc_id").alias("file_id"), "quality", "toxic", F.lit(True).alias("listed")), "file_id", "left")
+    def coverage_at(self, number: int = ACTIVE) -> DataFrame:
+        rows = self.files_at(number).join(self.table("labels").select(named("f", "doc_id").alias("file_id"), "quality", "toxic", F.lit(True).alias("listed")), "file_id", "left")
         status = F.when(F.col("presence") != "present", "excluded").when(F.col("toxic") == 1, "failed").when(F.col("quality") == 1, "complete").when(F.col("quality") == 0, "partial")
         status = status.when(F.col("listed"), "stale").otherwise("unsupported")
         return rows.select("file_id", "path", F.get(F.split(F.replace("path", F.lit("moved/"), F.lit("")), "/"), 1).alias("lang"), "presence", status.alias("status"))
 
+    def file_coverage(self) -> DataFrame:
+        return self.coverage_at()
+
     def conflicts(self) -> DataFrame:
         rows = self.table("lineitem").groupBy("l_partkey", "l_orderkey").agg(F.count_distinct("l_suppkey").alias("n")).where("n > 1")
         return rows.select(named("part", "l_partkey").alias("subject_key"), F.col("l_orderkey").alias("ok"), chosen(F.col("l_orderkey") % 4, {0: "open", 1: "preferred_with_conflict", 2: "unresolved"}, "resolved").alias("status"))

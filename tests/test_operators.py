@@ -2,7 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from stratalog.operators import context, extractors, find, lifecycle, resolution, scip, sessions, temporal, workspace
+from stratalog.operators import budget, context, extractors, find, lifecycle, resolution, scip, sessions, temporal, workspace
 
 
 def test_extractor_spans():
@@ -108,7 +108,7 @@ def test_manifest_swaps_only_on_success(spark, tmp_path):
         m.finish("b", "committed")
     g = spark.createDataFrame([("x", "y", 1), ("y", "x", 2)], "generation_id string, parent_id string, sequence_no long")
     with pytest.raises(ValueError):
-        lifecycle.ancestry(g)
+        lifecycle.Ancestry(g)
 
 
 def test_cursor_of_another_snapshot_starts_again():
@@ -143,7 +143,7 @@ def test_resolution_precedence_and_candidates(spark):
 def test_deep_budget_charges_before_it_refuses(spark):
     rows = [("q", 0, "a", 3, 9, False, 1, 1), ("q", 1, "b", 3, 0, False, 1, 1), ("q", 2, "c", 5, 0, False, 1, 1), ("q", 3, "d", 1, 0, True, 1, 1), ("q", 4, "e", 1, 0, True, 1, 1)]
     df = spark.createDataFrame(rows, "request string, rank long, item string, work long, depth long, uncertain boolean, bytes long, tokens long")
-    got = {r.item: (r.decision, r.ledger) for r in context.deep_budget(df, 5, 100, 100, 2, 9, 20).collect()}
+    got = {r.item: (r.decision, r.ledger) for r in budget.deep_budget(df, 5, 100, 100, 2, 9, 20).collect()}
     assert got == {"a": ("depth", 3), "b": ("selected", 6), "c": ("work_units", 6), "d": ("selected", 7), "e": ("uncertainty_reserve", 8)}
 
 
