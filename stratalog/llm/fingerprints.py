@@ -1,10 +1,11 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-The alphabet is words (split at white space; one of more than LONG characters gives its single characters), inner substrings are S = 2 words and k-mers K = 6 words: a k-mer is an
-anchor where the least hash of its inner substrings lies at its first or last place. That depends on the k-mer alone,
-so equal passages have equal anchors wherever they stand. A fingerprint is the `keep` least distinct anchor hashes
-(40 bits each, as hex); likeness is the Jaccard similarity of all distinct anchors. A text in which no k-mer is closed, or
-of fewer than K words, is its own single anchor; an empty or null text has no anchors, and two of those are alike (1.0).
+The alphabet is pieces: the runs of characters between white space, cut after every PIECE characters (most words are one piece;
+a text without white space is many). Inner substrings are S = 2 pieces and k-mers K = 6: a k-mer is an anchor where the least
+hash of its inner substrings lies at its first or last place. That depends on the k-mer alone, so equal passages have equal
+anchors wherever they stand. A fingerprint is all of a text's anchors in their order, each a hash (40 bits) and a position,
+as hex; likeness is the Jaccard similarity of two fingerprints' distinct hashes. A text in which no k-mer is closed, or of
+fewer than K pieces, is its own single anchor; an empty or null text has no anchors, and two of those are alike (1.0).
 
 Very long texts are fingerprinted whole. Rows of a repeated or null doc_id each get a row; among themselves they follow
 each other by text (equal ones either way), nulls before all others. Empty tables give empty results. Other columns are
@@ -18,8 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 S, K = 2, 6
-KEEP = 64
-LONG = 64
+PIECE = 16
 #: Ranges of doc_ids at most (their bounds are a literal of the plan); with more rows than fill these, ranges grow and their
 #: sorts spill.
 MAX_RANGES = 100_000
@@ -29,15 +29,13 @@ _DIGITS = 10
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add `out`: array<struct<position int, anchor long>>; positions count words from 0.
+    """Add `out`: array<struct<position int, anchor long>>; positions count pieces from 0.
 
     Each step is a projection that the next one reads more than once, which keeps Catalyst from merging them (merged,
     an array would be built again for each of its elements).
     """
     words, inner = f"_{out}_words", f"_{out}_inner"
-    df = df.withColumn(words, F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""))
-    long = lambda w: F.length(w) > LONG
-    df = df.withColumn(words, F.when(F.exists(words, long), F.flatten(F.transform(words, lambda w: F.when(long(w), F.split(w, "")).otherwise(F.array(w))))).otherwise(F.col(words)))
+    df = df.withColumn(words, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0)))
     n = F.size(words)
     none = F.array().cast("array<int>")
     df = df.withColumn(inner, F.transform(F.when(n >= S, F.sequence(F.lit(0), n - S)).otherwise(none), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1))))
@@ -54,13 +52,9 @@ def _short(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - 4 * _DIGITS)
 
 
-def sketch(anchors: str | Column, keep: int = KEEP) -> Column:
-    """The least distinct anchor hashes, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors, lambda a: a["anchor"]))), 1, keep)
-
-
-def as_text(sketched: str | Column) -> Column:
-    return F.array_join(F.transform(sketched, lambda h: F.lpad(F.lower(F.hex(h)), _DIGITS, "0")), "")
+def as_text(anchors: str | Column) -> Column:
+    """Each anchor as hash:position, in the text's order."""
+    return F.array_join(F.transform(anchors, lambda a: F.concat(F.lpad(F.lower(F.hex(a["anchor"])), _DIGITS, "0"), F.lit(":"), F.lower(F.hex(a["position"])))), ",")
 
 
 def hashes(anchors: str | Column) -> Column:
@@ -121,7 +115,7 @@ def with_next(docs: DataFrame, columns: list[str], rows: int, per_part: int = 10
 
 
 def fingerprint_edits(docs: DataFrame, rows: int | None = None) -> DataFrame:
-    """doc_id, n_chars, fingerprint and sketch of each text, the edited text with its own, and the likenesses.
+    """doc_id, n_chars, each text's fingerprint, the edited text with its own, and the likenesses of fingerprints.
 
     The edited text replaces the last floor(n_chars / 4) code points by as many (or all) first ones of the next text.
     """
@@ -136,6 +130,6 @@ def fingerprint_edits(docs: DataFrame, rows: int | None = None) -> DataFrame:
     for column, name in (("text", "own"), ("next_text", "next"), ("edited", "changed")):
         out = with_anchors(out, column, f"{name}_anchors").withColumn(f"{name}_hashes", hashes(f"{name}_anchors"))
     return out.select(
-        "doc_id", "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(sketch("own_anchors")).alias("fingerprint"), as_text(sketch("changed_anchors")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text("own_anchors").alias("fingerprint"), as_text("changed_anchors").alias("edited_fingerprint"),
         likeness("own_hashes", "changed_hashes").alias("near_edited"), likeness("own_hashes", "next_hashes").alias("near_next"),
     )

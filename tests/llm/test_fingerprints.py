@@ -17,8 +17,7 @@ def chained(*values):
 
 
 def anchors(text):
-    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", text or "") if x]
-    w = [c for x in w for c in (x if len(x) > f.LONG else [x])]
+    w = re.findall(rf"[^ \t\n\x0b\f\r]{{1,{f.PIECE}}}", text or "")
     inner = [chained(w[i], w[i + 1]) for i in range(len(w) - 1)]
     short = lambda h: (h % (1 << 64)) >> 24
     out = []
@@ -30,7 +29,7 @@ def anchors(text):
 
 
 def shown(text):
-    return "".join(f"{h:010x}" for h in sorted({h for _, h in anchors(text)})[: f.KEEP])
+    return ",".join(f"{h:010x}:{i:x}" for i, h in anchors(text))
 
 
 def like(a, b):
@@ -49,6 +48,10 @@ def test_against_plain_python(spark):
             edited = text[: len(text) - q] + after[:q]
             want[d[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), shown(text), shown(edited), round(like(text, edited), 9), round(like(text, after), 9)] += 1
         assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+        published = lambda text: {a.split(":")[0] for a in text.split(",") if a}
+        for r in got:  # likeness is that of what is published
+            a, b = published(r.fingerprint), published(r.edited_fingerprint)
+            assert abs(r.near_edited - (len(a & b) / len(a | b) if a or b else 1.0)) < 1e-9
     assert f.fingerprint_edits(empty(spark)).count() == 0
 
 
