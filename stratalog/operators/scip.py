@@ -1,8 +1,10 @@
 """Protobuf code-index files: a bounded reader and writer, and their mapping to facts.
 
 The message layout is the published one: Index {documents = 2}, Document {relative_path = 1, occurrences = 2, symbols = 3},
-Occurrence {range = 1, symbol = 2, symbol_roles = 3}, SymbolInformation {symbol = 1, relationships = 4, display_name = 6},
-Relationship {symbol = 1, is_reference = 2, is_implementation = 3, is_type_definition = 4, is_definition = 5}.
+Occurrence {range = 1, symbol = 2, symbol_roles = 3, single_line_range = 8, multi_line_range = 9}, SymbolInformation {symbol = 1,
+relationships = 4, display_name = 6}, Relationship {symbol = 1, is_reference = 2, is_implementation = 3, is_type_definition = 4,
+is_definition = 5}; the index's external_symbols = 3. A range stands in field 1 as three or four numbers, or typed in field 8
+{line = 1, start = 2, end = 3} or 9 {start line = 1, start = 2, end line = 3, end = 4}; a typed one that is not all zero wins.
 """
 
 from __future__ import annotations
@@ -77,6 +79,37 @@ def _range(parts: list) -> tuple[int, int, int, int] | None:
     return tuple(numbers) if len(numbers) == MAX_RANGE else None
 
 
+def _typed_range(body: bytes, one_line: bool) -> tuple[int, int, int, int]:
+    """A range of field 8 (one line) or 9; absent numbers are 0."""
+    at = {n: v for n, v in fields(body) if isinstance(v, int)}
+    if one_line:
+        return at.get(1, 0), at.get(2, 0), at.get(1, 0), at.get(3, 0)
+    return at.get(1, 0), at.get(2, 0), at.get(3, 0), at.get(4, 0)
+
+
+def _symbol(body: bytes) -> tuple[str, str, list[tuple[str, str]]]:
+    """symbol, name, [(other, kind)] of a SymbolInformation."""
+    symbol, name, related = "", "", []
+    for k, x in fields(body):
+        if k == 1:
+            symbol = _text(x)
+        elif k == 6:
+            name = _text(x)
+        elif k == 4:
+            flags = dict(fields(x))
+            related += [(_text(flags.get(1, b"")), kind) for flag, kind in ((3, "IMPLEMENTS"), (4, "TYPE_DEFINITION"), (5, "DEFINED_BY")) if flags.get(flag)]
+    return symbol, name, related
+
+
+def external_symbols(data: bytes) -> Iterator[tuple[str, str, list[tuple[str, str]]]]:
+    """symbol, name, [(other, kind)] of the symbols that an index names and does not define."""
+    if len(data) > MAX_BYTES:
+        raise ValueError("an index beyond the bound")
+    for number, body in fields(data):
+        if number == 3 and not isinstance(body, int):
+            yield _symbol(body)
+
+
 def decode_index(data: bytes) -> Iterator[dict]:
     """path, occurrences [(range, symbol, roles)], symbols [(symbol, name, [(other, kind)])] of each document."""
     if len(data) > MAX_BYTES:
@@ -89,7 +122,7 @@ def decode_index(data: bytes) -> Iterator[dict]:
             if n == 1:
                 doc["path"] = _text(v)
             elif n == 2:
-                spans, symbol, roles = [], "", 0
+                spans, typed, symbol, roles = [], None, "", 0
                 for k, x in fields(v):
                     if k == 1:
                         spans.append(x)
@@ -97,18 +130,11 @@ def decode_index(data: bytes) -> Iterator[dict]:
                         symbol = _text(x)
                     elif k == 3:
                         roles = x
-                doc["occurrences"].append((_range(spans), symbol, roles))
+                    elif k in (8, 9) and not isinstance(x, int):
+                        typed = _typed_range(x, k == 8)
+                doc["occurrences"].append((typed if typed and any(typed) or typed and not spans else _range(spans), symbol, roles))
             elif n == 3:
-                symbol, name, related = "", "", []
-                for k, x in fields(v):
-                    if k == 1:
-                        symbol = _text(x)
-                    elif k == 6:
-                        name = _text(x)
-                    elif k == 4:
-                        flags = dict(fields(x))
-                        related += [(_text(flags.get(1, b"")), kind) for flag, kind in ((3, "IMPLEMENTS"), (4, "TYPE_DEFINITION"), (5, "DEFINED_BY")) if flags.get(flag)]
-                doc["symbols"].append((symbol, name, related))
+                doc["symbols"].append(_symbol(v))
         yield doc
 
 
@@ -125,20 +151,31 @@ def _put(number: int, value: int | bytes) -> bytes:
     return varint(number << 3 | 2) + varint(len(value)) + value
 
 
-def encode_index(documents: list[dict]) -> bytes:
-    """The inverse of decode_index; ranges are written packed, on one line with three numbers."""
+def encode_index(documents: list[dict], form: str = "packed", external: list[tuple] = ()) -> bytes:
+    """The inverse of decode_index and external_symbols. Ranges are written `packed` or `plain` (one by one) in field 1, on one
+    line with three numbers, or `typed` in fields 8 and 9."""
+
+    def information(symbol: str, name: str, related: list[tuple[str, str]]) -> bytes:
+        flag = {"IMPLEMENTS": 3, "TYPE_DEFINITION": 4, "DEFINED_BY": 5}
+        return _put(1, symbol.encode()) + b"".join(_put(4, _put(1, s.encode()) + _put(flag[k], 1)) for s, k in related) + _put(6, name.encode())
+
+    def range_of(span: tuple) -> bytes:
+        one_line = span[0] == span[2]
+        numbers = [span[0], span[1], span[3]] if one_line else list(span)
+        if form == "typed":
+            return _put(8 if one_line else 9, b"".join(_put(i + 1, n) for i, n in enumerate(numbers)))
+        if form == "plain":
+            return b"".join(_put(1, n) for n in numbers)
+        return _put(1, b"".join(_put(0, n)[1:] for n in numbers))
+
     out = b""
     for doc in documents:
         body = _put(1, doc["path"].encode())
         for span, symbol, roles in doc["occurrences"]:
-            numbers = [span[0], span[1], span[3]] if span[0] == span[2] else list(span)
-            packed = b"".join(_put(0, n)[1:] for n in numbers)
-            body += _put(2, _put(1, packed) + _put(2, symbol.encode()) + (_put(3, roles) if roles else b""))
-        for symbol, name, related in doc["symbols"]:
-            flag = {"IMPLEMENTS": 3, "TYPE_DEFINITION": 4, "DEFINED_BY": 5}
-            body += _put(3, _put(1, symbol.encode()) + b"".join(_put(4, _put(1, s.encode()) + _put(flag[k], 1)) for s, k in related) + _put(6, name.encode()))
+            body += _put(2, range_of(span) + _put(2, symbol.encode()) + (_put(3, roles) if roles else b""))
+        body += b"".join(_put(3, information(*s)) for s in doc["symbols"])
         out += _put(2, body)
-    return out
+    return out + b"".join(_put(3, information(*s)) for s in external)
 
 
 DOCUMENT = "path string, occurrences array<struct<start_line: long, start_char: long, end_line: long, end_char: long, symbol: string, roles: long>>, symbols array<struct<symbol: string, name: string, related: array<struct<symbol: string, kind: string>>>>"

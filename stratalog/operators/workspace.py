@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..session import ship_package
+from ..sources import tree
 
 #: Folders of version control that a walk never enters.
 CONTROL_FOLDERS = (".git", ".hg", ".svn", ".jj")
@@ -87,6 +89,36 @@ class Config:
         return cls(raw.get("workspace", {}).get("root", "."), tuple(raw.get("policy", {}).get("exclude", ())), raw.get("providers", {}), float(raw.get("evidence", {}).get("min_confidence", 0.0)))
 
 
+def read_tree(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
+    """path, content, content_hash, modified, state of the files below a root: folders that the configuration excludes are not
+    listed, and files are read by tasks (sources.tree)."""
+    spark.dataSource.register(tree.TreeSource)
+    config = config or Config()
+    found = ship_package(spark).read.format("stratalog_tree").option("exclude", ",".join(config.exclude)).option("splitBytes", str(1 << 62)).load(root)
+    state = F.when(F.col("state") == "read_failed", "read_failed").otherwise(X.classify_path(F.col("path"))["state"])
+    rows = found.select("path", "content", F.sha2("content", 256).alias("content_hash"), "modified", state.alias("state"))
+    for pattern in config.exclude:  # patterns that name files
+        rows = rows.where(~F.col("path").rlike(pattern))
+    return rows
+
+
+def exact_ranges(spark: SparkSession, root: str, asked: DataFrame) -> DataFrame:
+    """path, start_byte, end_byte, status, source of asked ranges (path, content_hash, start_byte, end_byte) of indexed files.
+
+    A file is read whole once, looked at before and after, and its hash compared: `verified` with the range's bytes, else
+    `hash_mismatch` or `read_failed` without. Ranges are cut to the file's size. Paths of a request: they go to the reader as
+    a list.
+    """
+    spark.dataSource.register(tree.TreeSource)
+    paths = [r.path for r in asked.select("path").distinct().toLocalIterator()]
+    ranges = "\n".join(f"{p}:0:-1" for p in paths)
+    files = ship_package(spark).read.format("stratalog_tree").option("ranges", ranges).load(root).select("path", F.col("content").alias("_content"), F.col("state").alias("_state"))
+    rows = asked.join(files, "path", "left")
+    status = F.when(F.col("_content").isNull(), "read_failed").when(F.sha2("_content", 256) == F.col("content_hash"), "verified").otherwise("hash_mismatch")
+    source = F.when(status == "verified", F.substring("_content", (F.col("start_byte") + 1).cast("int"), F.greatest(F.col("end_byte") - F.col("start_byte"), F.lit(0)).cast("int")))
+    return rows.select("path", "start_byte", "end_byte", status.alias("status"), source.alias("source"))
+
+
 class WriterLease:
     """One writer at a time, by a lock file that is made exclusively."""
 

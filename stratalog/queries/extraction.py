@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import expressions as X
 from ..functions import vocab
-from ..operators import extractors, scip, workspace
+from ..operators import extractors, scip, table_functions, workspace
 from ..sources.model import Model
 from .registry import register
 
@@ -154,8 +156,9 @@ UNION ALL SELECT p_brand || '/' || p_partkey || '.ts', l_linenumber + 50, l_supp
 sy AS (SELECT p_brand || '/' || p_partkey || '.ts' AS path, 'npm ' || p_partkey || '#' AS symbol, p_name AS name, 'npm type ' || p_type || '#' AS other, CASE WHEN p_partkey % 2 = 0 THEN 'IMPLEMENTS' ELSE 'TYPE_DEFINITION' END AS kind FROM part)"""
 
 
-def indexes(m: Model) -> DataFrame:
-    """content: one code-index file a part, with its definition and an occurrence for each of its lines."""
+def indexes(m: Model, forms: tuple[str, ...] = ("packed",)) -> DataFrame:
+    """content: one code-index file a part, with its definition, an occurrence for each of its lines and the type that it names;
+    the forms of ranges take turns."""
     p = m.table("part")
     own = F.struct(F.col("p_size").cast("long").alias("line"), F.lit(4).cast("long").alias("a"), (4 + F.octet_length("p_name")).cast("long").alias("b"), F.concat(F.lit("npm "), F.col("p_partkey").cast("string"), F.lit("#")).alias("symbol"), F.lit(1).alias("roles"))
     li = m.table("lineitem").select("l_partkey", "l_linenumber", "l_suppkey").distinct()
@@ -166,6 +169,7 @@ def indexes(m: Model) -> DataFrame:
     rows = p.join(uses, F.col("p_partkey") == F.col("l_partkey"), "left").select(
         F.concat(F.col("p_brand"), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"), own.alias("own"), F.coalesce("uses", F.array().cast(uses.schema["uses"].dataType)).alias("uses"), F.col("p_name").alias("name"),
         F.concat(F.lit("npm type "), F.col("p_type"), F.lit("#")).alias("other"), F.when(F.col("p_partkey") % 2 == 0, "IMPLEMENTS").otherwise("TYPE_DEFINITION").alias("kind"),
+        F.get(F.array(*map(F.lit, forms)), (F.col("p_partkey") % len(forms)).cast("int")).alias("form"), F.col("p_type").alias("type"),
     )
 
     def run(batches):
@@ -173,7 +177,7 @@ def indexes(m: Model) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 occurrences = [((o["line"], o["a"], o["line"], o["b"]), o["symbol"], o["roles"]) for o in [r["own"], *r["uses"]]]
-                out.append(scip.encode_index([{"path": r["path"], "occurrences": occurrences, "symbols": [(r["own"]["symbol"], r["name"], [(r["other"], r["kind"])])]}]))
+                out.append(scip.encode_index([{"path": r["path"], "occurrences": occurrences, "symbols": [(r["own"]["symbol"], r["name"], [(r["other"], r["kind"])])]}], r["form"], [(r["other"], r["type"], [])]))
             yield pa.RecordBatch.from_pydict({"content": pa.array(out, pa.binary())})
 
     return rows.mapInArrow(run, "content binary")
@@ -186,6 +190,17 @@ def s11_decode_index(m: Model) -> DataFrame:
     return d.select("path", F.size("occurrences").cast("long").alias("occurrences"), chars.alias("chars"), F.get("symbols", 0)["name"].alias("name"))
 
 
+@register("s11_index_records", f"""WITH {_OCC} SELECT 'occurrence' AS record, path, count(*) AS n, sum(line)::BIGINT AS lines, sum(b - a)::BIGINT AS chars, max(symbol) AS symbol, '' AS name FROM oc GROUP BY path
+UNION ALL SELECT 'symbol', path, 1, 0, 0, symbol, name FROM sy UNION ALL SELECT 'related', path, 1, 0, 0, symbol, name FROM sy UNION ALL SELECT 'external', '', count(*), 0, 0, other, max(p_type) FROM sy JOIN part ON path = p_brand || '/' || p_partkey || '.ts' GROUP BY other""")
+def s11_index_records(m: Model) -> DataFrame:
+    """Index files in all three forms of ranges through a table function in SQL, external symbols with them."""
+    spark = table_functions.register(m.spark)
+    view = f"indexes_{uuid.uuid4().hex}"
+    indexes(m, ("packed", "plain", "typed")).createOrReplaceTempView(view)
+    return spark.sql(f"""SELECT record, coalesce(path, '') AS path, count(*) AS n, coalesce(sum(start_line), 0) AS lines, coalesce(sum(end_char - start_char), 0) AS chars, max(symbol) AS symbol, coalesce(max(name), '') AS name
+        FROM index_records(TABLE(SELECT content FROM {view})) GROUP BY record, path, CASE WHEN record = 'external' THEN symbol END""")
+
+
 _KEY = "CASE WHEN {s} LIKE 'local %' THEN 'scip-local:' || path || ':' || {s} ELSE 'scip:' || {s} END"
 
 
