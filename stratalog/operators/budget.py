@@ -133,19 +133,23 @@ def _walked(summaries: DataFrame, limits: Limits, kind: str) -> DataFrame:
     return summaries.repartition("request").sortWithinPartitions("request", "r").mapInArrow(run, f"request {kind}, r long, how string, {_KINDS}")
 
 
-def select(candidates: DataFrame, limits: Limits, width: int = RANGE) -> DataFrame:
-    """request, rank, item, decision, ledger (work spent so far).
+def fold(candidates: DataFrame, limits: Limits, width: int = RANGE, start: DataFrame | None = None) -> DataFrame:
+    """request, rank, item, decision and the totals after each candidate: spent, n, doubtful, size, used.
 
-    candidates: request, rank (unique in a request, from 1), item, work (0 or more), depth, uncertain, bytes, tokens.
+    candidates: request, rank (unique in a request, from 1), item, work (0 or more), depth, uncertain, bytes, tokens. start: the
+    totals of each request before its first candidate, as `state_after` gives them; requests that aren't in it begin at zero.
     """
     long = [F.col(c).cast("long").alias(c) for c in ("rank", "work", "depth", "bytes", "tokens")]
     rows = candidates.select("request", F.col("item").cast("string").alias("item"), "uncertain", *long)
     kind = rows.schema["request"].dataType.simpleString()
-    zero = {f"s_{t}": F.lit(0).cast("long") for t in _TOTALS}
-    rows = cut(rows, "budget-rows")
+    begin = {f"s_{t}": F.lit(0).cast("long") for t in _TOTALS}
+    if start is not None:
+        rows = rows.join(start.select("request", *[F.col(t).alias(f"s_{t}") for t in _TOTALS]), "request", "left")
+        begin = {c: F.coalesce(c, F.lit(0)) for c in begin}
+    rows = cut(rows.withColumns(begin), "budget-rows")
     longest = rows.groupBy("request").count().agg(F.max("count").alias("n")).first().n or 0
     if longest <= width:
-        return _folded(rows.withColumns(zero), limits, kind).select("request", "rank", "item", "decision", F.col("spent").alias("ledger"))
+        return _folded(rows, limits, kind)
 
     width = max(width, math.isqrt(longest))
     rows = rows.withColumn("r", F.expr(f"(rank - 1) div {width}"))
@@ -153,7 +157,8 @@ def select(candidates: DataFrame, limits: Limits, width: int = RANGE) -> DataFra
     ends = [least(u, c).alias(f"{'unsure' if u else 'sure'}_{c}") for u in (False, True) for c in ("bytes", "tokens")]
     summaries = cut(rows.groupBy("request", "r").agg(F.sum("work").alias("work"), F.min("work").alias("least_work"), *ends), "budget-ranges")
 
-    state = rows.select("request").distinct().withColumns({"next": F.lit(0).cast("long"), **zero})
+    state = rows.groupBy("request").agg(F.lit(0).cast("long").alias("next"), *[F.max(c).alias(c) for c in begin])
+    rows = rows.drop(*begin)
     settled, visited = [], []
     while True:
         left = summaries.join(state, "request").where(F.col("r") >= F.col("next"))
@@ -162,8 +167,8 @@ def select(candidates: DataFrame, limits: Limits, width: int = RANGE) -> DataFra
         visits = walk.where("how = 'visit'")
         if visits.isEmpty():
             break
-        start = visits.groupBy("request").agg(*[F.min_by(t, "r").alias(f"s_{t}") for t in _TOTALS])
-        some = rows.join(visits.select("request", "r"), ["request", "r"]).join(start, "request")
+        begun = visits.groupBy("request").agg(*[F.min_by(t, "r").alias(f"s_{t}") for t in _TOTALS])
+        some = rows.join(visits.select("request", "r"), ["request", "r"]).join(begun, "request")
         done = cut(_folded(some.select(*[c for c in some.columns if c != "r"]), limits, kind), "budget-folded")
         visited.append(done)
         after = done.groupBy("request").agg(*[F.max_by(t, "rank").alias(f"s_{t}") for t in _TOTALS])
@@ -178,12 +183,25 @@ def select(candidates: DataFrame, limits: Limits, width: int = RANGE) -> DataFra
     paid = F.col("how") == "passed"
     why = F.when(~paid, "work_units").when(F.col("depth") > limits.depth, "depth").when(F.col("uncertain") & (F.col("doubtful") >= limits.reserve), "uncertainty_reserve")
     why = why.when(~F.col("uncertain") & (F.col("n") >= limits.records), "records").when(F.col("size") + F.col("bytes") > limits.bytes, "bytes").otherwise("tokens")
-    out = some.select("request", "rank", "item", why.alias("decision"), (F.col("spent") + F.when(paid, before).otherwise(0)).alias("ledger"))
+    out = some.select("request", "rank", "item", why.alias("decision"), (F.col("spent") + F.when(paid, before).otherwise(0)).alias("spent"), *_TOTALS[1:])
     for done in visited:
-        out = out.unionByName(done.select("request", "rank", "item", "decision", F.col("spent").alias("ledger")))
+        out = out.unionByName(done)
     return out
 
 
+def state_after(folded: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """request and its totals after its last candidate; requests of `start` without candidates keep theirs."""
+    last = folded.groupBy("request").agg(F.max_by(F.struct(*_TOTALS), "rank").alias("t")).select("request", "t.*")
+    if start is None:
+        return last
+    return last.unionByName(start.select("request", *_TOTALS).join(last.select("request"), "request", "left_anti"))
+
+
+def select(candidates: DataFrame, limits: Limits, width: int = RANGE) -> DataFrame:
+    """request, rank, item, decision, ledger (work spent so far): `fold` from zero."""
+    return fold(candidates, limits, width).select("request", "rank", "item", "decision", F.col("spent").alias("ledger"))
+
+
 def greedy_select(candidates: DataFrame, group: str, max_records: int, max_bytes: int, max_tokens: int, width: int = RANGE) -> DataFrame:
     """group, rank, item, decision (`selected`, or the first limit broken: records, bytes, tokens).
 

@@ -12,15 +12,31 @@ from pyspark.sql import functions as F
 
 from .graph import cut
 
-def judge_transitions(generations: DataFrame, workspace: DataFrame, asked: DataFrame) -> DataFrame:
-    """generation_id, action, state, accepted, active_id: only a candidate can be activated, failed or abandoned.
+def latest_committed(generations: DataFrame) -> DataFrame:
+    """workspace_id, generation_id, sequence_no of each workspace's last committed generation."""
+    best = F.max(F.struct("sequence_no", "generation_id")).alias("b")
+    return generations.where("state = 'committed'").groupBy("workspace_id").agg(best).select("workspace_id", "b.generation_id", "b.sequence_no")
 
-    Each request is judged by itself; a rejected or failed candidate leaves the active generation as it is.
+
+def doctor(generations: DataFrame) -> DataFrame:
+    """The generations, with candidates that are older than their workspace's last committed one abandoned."""
+    last = latest_committed(generations).select("workspace_id", F.col("sequence_no").alias("_last"))
+    rows = generations.join(last, "workspace_id", "left")
+    left = (F.col("state") == "candidate") & (F.col("sequence_no") < F.col("_last"))
+    return rows.withColumn("state", F.when(left, "abandoned").otherwise(F.col("state"))).drop("_last")
+
+
+def judge_transitions(generations: DataFrame, active: DataFrame, asked: DataFrame) -> DataFrame:
+    """workspace_id, generation_id, action, state, accepted, active_id: only a candidate can be activated, failed or abandoned.
+
+    active: workspace_id, active_id. Each request is judged by itself; a rejected or failed candidate leaves the active
+    generation as it is.
     """
-    rows = asked.join(generations.select("generation_id", "state"), "generation_id", "left").crossJoin(F.broadcast(workspace.select("active_id")))
+    on = ["workspace_id", "generation_id"]
+    rows = asked.join(generations.select(*on, "state"), on, "left").join(active.select("workspace_id", "active_id"), "workspace_id", "left")
     accepted = F.coalesce(F.col("state") == "candidate", F.lit(False))
-    active = F.when(accepted & (F.col("action") == "activate"), F.col("generation_id")).otherwise(F.col("active_id"))
-    return rows.select("generation_id", "action", F.coalesce("state", F.lit("absent")).alias("state"), accepted.alias("accepted"), active.alias("active_id"))
+    now = F.when(accepted & (F.col("action") == "activate"), F.col("generation_id")).otherwise(F.col("active_id"))
+    return rows.select(*on, "action", F.coalesce("state", F.lit("absent")).alias("state"), accepted.alias("accepted"), now.alias("active_id"))
 
 
 class Ancestry:

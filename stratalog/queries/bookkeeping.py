@@ -65,10 +65,11 @@ def k11_decide_support(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", decision.alias("decision"))
 
 
-@register("k12_provider_set_hash", sql("run", "SELECT count(*) AS members, sha256(string_agg(provider || '@' || tier, chr(31) ORDER BY provider)) AS set_hash FROM run"))
+@register("k12_provider_set_hash", f"""WITH RECURSIVE {merkle.root_sql("SELECT 'provider.' || user_id AS key, max(event_id // 1000)::VARCHAR AS value FROM events GROUP BY 1", "mp")} SELECT n AS members, digest AS set_hash FROM mp""")
 def k12_provider_set_hash(m: Model) -> DataFrame:
-    member = F.concat_ws("@", "provider", "tier")
-    return m.runs().agg(F.count(F.lit(1)).alias("members"), F.sha2(F.array_join(F.array_sort(F.collect_list(member)), "\u001f"), 256).alias("set_hash"))
+    """The digest of a set of providers with their versions, whatever order they come in."""
+    p = m.table("events").groupBy(F.concat(F.lit("provider."), F.col("user_id").cast("string")).alias("provider")).agg(F.max(F.expr("event_id div 1000")).alias("version"))
+    return merkle.tree(p, F.col("provider"), F.col("version")).root().select(F.col("n").alias("members"), F.col("digest").alias("set_hash"))
 
 
 _OUTCOMES = list(policy.COVERAGE_OF_OUTCOME)
@@ -154,9 +155,16 @@ def a20_distinct_dependents(m: Model) -> DataFrame:
     return m.current_edges().groupBy("target").agg(F.count_distinct("source").alias("dependents"))
 
 
-@register("r3_capabilities", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{r}')" for c, r in policy.CAPABILITIES.items()) + ") AS t(capability, least_route)")
+_CAPABILITY_ROWS = ", ".join(f"('{c}', '{r}')" for c, r in policy.CAPABILITIES.items())
+
+
+@register("r3_capabilities", f"WITH c(capability, least_route) AS (VALUES {_CAPABILITY_ROWS}), e AS (SELECT ({list(policy.CAPABILITIES)})[event_id % {len(policy.CAPABILITIES)} + 1] AS capability, user_id FROM events) SELECT capability, least_route, count(*) AS requests, count(DISTINCT user_id) AS users FROM e JOIN c USING (capability) GROUP BY 1, 2")
 def r3_capabilities(m: Model) -> DataFrame:
-    return m.spark.createDataFrame(list(policy.CAPABILITIES.items()), "capability string, least_route string")
+    """Recorded requests by capability and the least route that serves it."""
+    named_ = F.get(F.array(*map(F.lit, policy.CAPABILITIES)), (F.col("event_id") % len(policy.CAPABILITIES)).cast("int"))
+    table = m.spark.createDataFrame(list(policy.CAPABILITIES.items()), "capability string, least_route string")
+    asked = m.table("events").select(named_.alias("capability"), "user_id")
+    return asked.join(F.broadcast(table), "capability").groupBy("capability", "least_route").agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("user_id").alias("users"))
 
 
 @register("l5_page_with_watermark", sql("cf", f""", {merkle.root_sql("SELECT file_id AS key, content_hash AS value FROM cf", "mf")}

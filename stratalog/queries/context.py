@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import expressions as X
 from ..functions import policy, vocab
 from ..operators import budget, context, graph
+from ..operators import compiled as compiled_context
 from ..sources.model import Model, named
 from .registry import register, sql
 
@@ -145,14 +146,14 @@ def b9_coverage_claim(m: Model) -> DataFrame:
 
 
 _FEW = "few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY status LIKE 'resolved%' DESC, fact_id) AS k FROM ce WHERE type IN ('calls', 'imports', 'tests')) WHERE k <= 3)"
-_SD = "sd0 AS (SELECT 'q' || (p_partkey % 7) AS request, 'part:' || p_partkey AS node FROM part WHERE p_partkey % 101 = 0)"
+_SD = "sd0 AS (SELECT 'q' || (p_partkey % 7) AS request, 'part:' || p_partkey AS node FROM part WHERE p_partkey % 20 = 0)"
 _FRONT = f"""{_FEW}, {_SD}, fr AS (SELECT request, 1 AS depth, source, type, target, fact_id, status LIKE 'resolved%' AS ok FROM sd0 JOIN few ON source = node
 UNION SELECT fr.request, fr.depth + 1, few.source, few.type, few.target, few.fact_id, few.status LIKE 'resolved%' FROM fr JOIN few ON few.source = fr.target WHERE fr.ok AND fr.depth < 2),
 f2 AS (SELECT request, min(depth)::INTEGER AS depth, source, type, target, fact_id, CASE WHEN ok THEN 'followed' ELSE 'deferred' END AS state FROM fr GROUP BY request, source, type, target, fact_id, ok)"""
 
 
 def walk_seeds(m: Model) -> DataFrame:
-    return m.table("part").where("p_partkey % 101 = 0").select(F.concat(F.lit("q"), (F.col("p_partkey") % 7).cast("string")).alias("request"), named("part", "p_partkey").alias("seed"))
+    return m.table("part").where("p_partkey % 20 = 0").select(F.concat(F.lit("q"), (F.col("p_partkey") % 7).cast("string")).alias("request"), named("part", "p_partkey").alias("seed"))
 
 
 @register("g4_frontier", sql("ce", f", {_FRONT} SELECT request, depth, source, type, target, state FROM f2", recursive=True))
@@ -160,16 +161,23 @@ def g4_frontier(m: Model) -> DataFrame:
     return context.frontier(m.current_edges(), walk_seeds(m), ["calls", "imports", "tests"], 2, 3).select("request", "depth", "source", "type", "target", "state")
 
 
-@register("g5_relationship_closure", sql("ce", f", {_FRONT} SELECT request, depth, source, type, target, state FROM f2", recursive=True))
+_CLOSURE = f"""{_FEW}, {_SD}, c1 AS (SELECT DISTINCT request, source, type, target, fact_id, status LIKE 'resolved%' AS ok FROM sd0 JOIN few ON source = node), lft AS (SELECT least((9 - 2) // 5, 3) AS rows FROM (SELECT count(*) FROM c1)),
+c2 AS (SELECT DISTINCT n.request, f.source, f.type, f.target, f.fact_id, f.status LIKE 'resolved%' AS ok FROM (SELECT DISTINCT request, target AS node FROM c1 WHERE ok EXCEPT SELECT request, node FROM sd0) n JOIN few f ON f.source = n.node, lft WHERE f.k <= lft.rows)"""
+
+
+@register("g5_relationship_closure", sql("ce", f", {_CLOSURE} SELECT request, 1 AS depth, source, type, target, CASE WHEN ok THEN 'followed' ELSE 'deferred' END AS state FROM c1 UNION ALL SELECT request, 2, source, type, target, CASE WHEN ok THEN 'followed' ELSE 'deferred' END FROM c2"))
 def g5_relationship_closure(m: Model) -> DataFrame:
-    """One ledger of all levels, here large enough for three rows a node at both."""
-    return context.relationship_closure(m.current_edges(), walk_seeds(m), ["calls", "imports", "tests"], 2, 3, 100_000_000)[0].select("request", "depth", "source", "type", "target", "state")
+    """One ledger of all levels that binds: it pays the first level at three rows a node, and then one row a node."""
+    edges, seeds = graph.cut(m.current_edges(), "edges"), walk_seeds(m)
+    first = context.frontier(edges, seeds, ["calls", "imports", "tests"], 1, 3).count()
+    found, left = context.relationship_closure(edges, seeds, ["calls", "imports", "tests"], 3, 3, first + 2 + 9)
+    return found.select("request", "depth", "source", "type", "target", "state")
 
 
-@register("g6_effect_closure", sql("eff conf", """, s AS (SELECT DISTINCT 'q' || (p_partkey % 7) AS request, 'part:' || p_partkey AS subject FROM part WHERE p_partkey % 3 = 0), b AS (SELECT DISTINCT subject_key FROM conf WHERE status IN ('open', 'preferred_with_conflict', 'unresolved'))
+@register("g6_effect_closure", sql("eff conf", """, s AS (SELECT DISTINCT 'q' || (p_partkey % 7) AS request, 'part:' || p_partkey AS subject FROM part WHERE p_partkey % 20 = 0), b AS (SELECT DISTINCT subject_key FROM conf WHERE status IN ('open', 'preferred_with_conflict', 'unresolved'))
 SELECT request, effect_id, subject, effect_type, subject IN (SELECT subject_key FROM b) AS conflicted FROM s JOIN eff USING (subject)"""))
 def g6_effect_closure(m: Model) -> DataFrame:
-    chosen = m.table("part").where("p_partkey % 3 = 0").select(F.concat(F.lit("q"), (F.col("p_partkey") % 7).cast("string")).alias("request"), named("part", "p_partkey").alias("symbol_key"))
+    chosen = m.table("part").where("p_partkey % 20 = 0").select(F.concat(F.lit("q"), (F.col("p_partkey") % 7).cast("string")).alias("request"), named("part", "p_partkey").alias("symbol_key"))
     return context.effect_closure(chosen, m.effects(), m.conflicts())
 
 
@@ -243,3 +251,72 @@ def k25_validation_plan(m: Model) -> DataFrame:
     """Test files that a working set's items stand in."""
     tests = m.current_edges().where("is_test").select(F.col("source").alias("item"), "path").distinct()
     return compiled(m).where("rank <= 30").join(tests, "item").select("request", "path").distinct()
+
+
+_KINDS = "('calls', 'imports', 'tests', 'configures', 'implements')"
+_LIMITS = budget.Limits(12, 2500, 400, reserve=3, depth=1, work=30)
+_TASK_KINDS = list(policy.RECIPES)
+
+
+def _fold_sql(name: str, candidates: str, start: str) -> str:
+    """CTEs: {name}_c, ranked candidates; {name}, their fold from the totals in {start}; {name}_s, the totals after it."""
+    x = _LIMITS
+    why = f"CASE WHEN f.spent + 1 > {x.work} THEN 'work_units' WHEN c.depth > {x.depth} THEN 'depth' WHEN c.u AND f.doubtful >= {x.reserve} THEN 'uncertainty_reserve' WHEN NOT c.u AND f.n >= {x.records} THEN 'records' WHEN f.size + c.b > {x.bytes} THEN 'bytes' WHEN f.used + c.t > {x.tokens} THEN 'tokens' ELSE 'selected' END"
+    return f"""{name}_c AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY depth, item) AS rank FROM ({candidates})),
+{name} AS (SELECT request, 0::BIGINT AS rank, NULL::VARCHAR AS item, NULL::VARCHAR AS role, NULL::VARCHAR AS reason, NULL::VARCHAR AS file_id, NULL::VARCHAR AS d, spent, n, doubtful, size, used FROM {start}
+UNION ALL SELECT request, rank, item, role, reason, file_id, d, spent + CASE WHEN d = 'work_units' THEN 0 ELSE 1 END, n + CASE WHEN d = 'selected' AND NOT u THEN 1 ELSE 0 END, doubtful + CASE WHEN d = 'selected' AND u THEN 1 ELSE 0 END, size + CASE WHEN d = 'selected' THEN b ELSE 0 END, used + CASE WHEN d = 'selected' THEN t ELSE 0 END
+FROM (SELECT c.request, c.rank, c.item, c.role, c.reason, c.file_id, c.u, c.b, c.t, f.spent, f.n, f.doubtful, f.size, f.used, {why} AS d FROM {name} f JOIN {name}_c c ON c.request = f.request AND c.rank = f.rank + 1)),
+{name}_s AS (SELECT request, arg_max(spent, rank) AS spent, arg_max(n, rank) AS n, arg_max(doubtful, rank) AS doubtful, arg_max(size, rank) AS size, arg_max(used, rank) AS used FROM {name} GROUP BY 1)"""
+
+
+_AR = "CASE WHEN is_test OR artifact_class = 'test' THEN 'test_contract' WHEN artifact_class IN ('configuration', 'build_manifest', 'infrastructure') THEN 'configuration_input' END"
+_ROLE_OF = f"""CASE WHEN u THEN 'uncertainty|unresolved_relation' WHEN {_AR} = 'test_contract' THEN 'test_contract|test_relation' WHEN {_AR} = 'configuration_input' THEN 'configuration_input|config_relation' WHEN inbound AND type = 'calls' THEN 'direct_dependent|direct_caller'
+WHEN type = 'tests' THEN 'test_contract|test_relation' WHEN type = 'configures' THEN 'configuration_input|config_relation' WHEN inbound THEN 'direct_dependent|task_recipe_requirement' WHEN type = 'calls' THEN 'direct_dependency|direct_callee'
+WHEN type IN ('implements', 'extends') THEN 'type_contract|implementation_relation' WHEN type = 'imports' THEN 'direct_dependency|import_neighbor' ELSE 'direct_dependency|task_recipe_requirement' END"""
+_SMALL = "{} AS role, {} AS reason, 0 AS depth, {} AS u, 64::BIGINT AS b, 16::BIGINT AS t, NULL AS file_id"
+_DOCUMENT = f"""rq AS (SELECT 'q' || p_partkey AS request, ({_TASK_KINDS})[p_partkey // 20 % {len(_TASK_KINDS)} + 1] AS task_kind FROM part WHERE p_partkey % 20 = 0), s0 AS (SELECT request, 0::BIGINT AS spent, 0::BIGINT AS n, 0::BIGINT AS doubtful, 0::BIGINT AS size, 0::BIGINT AS used FROM rq),
+sdx AS (SELECT 'q' || (p_partkey - p_partkey % 20) AS request, 'part:' || p_partkey AS k FROM part WHERE p_partkey % 20 < 2),
+{_fold_sql("x1", f"SELECT request, symbol_key AS item, coalesce({_AR}, 'primary_implementation') AS role, 'explicit_seed' AS reason, 0 AS depth, false AS u, greatest(end_byte - start_byte, 0) + 96 AS b, greatest(end_byte - start_byte, 0) // 4 AS t, file_id FROM sdx JOIN cs ON symbol_key = k", "s0")},
+g1x AS (SELECT request, item FROM x1 WHERE d = 'selected'),
+fo AS (SELECT source AS a, target AS z, type, status LIKE 'resolved%' AS ok, false AS inbound FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY status LIKE 'resolved%' DESC, fact_id) AS k FROM ce WHERE type IN {_KINDS}) WHERE k <= 3
+UNION ALL SELECT target, source, type, true, true FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY fact_id) AS k FROM ce WHERE type IN {_KINDS} AND status = 'resolved_symbol') WHERE k <= 3),
+nb AS (SELECT request, z AS item, min((NOT ok, inbound, type)) AS m FROM g1x JOIN fo ON a = item GROUP BY 1, 2),
+n2 AS (SELECT nb.request, nb.item, m[1] AS u, m[2] AS inbound, m[3] AS type FROM nb ANTI JOIN g1x ON g1x.request = nb.request AND g1x.item = nb.item),
+{_fold_sql("x2", f"SELECT request, item, split_part(rr, '|', 1) AS role, split_part(rr, '|', 2) AS reason, 1 AS depth, u, coalesce(greatest(end_byte - start_byte, 0), 0) + 64 AS b, coalesce(greatest(end_byte - start_byte, 0), 0) // 4 AS t, file_id FROM (SELECT n2.*, end_byte, start_byte, file_id, {_ROLE_OF} AS rr FROM n2 LEFT JOIN cs ON symbol_key = item)", "x1_s")},
+g2x AS (SELECT request, item FROM g1x UNION ALL SELECT request, item FROM x2 WHERE d = 'selected'), bad AS (SELECT DISTINCT subject_key FROM conf WHERE status IN ('open', 'preferred_with_conflict', 'unresolved')),
+{_fold_sql("x3", "SELECT request, effect_id AS item, " + _SMALL.format("'effect'", "'effect_of_' || min(effect_type)", "bool_or(subject IN (SELECT subject_key FROM bad))") + " FROM g2x JOIN eff ON subject = item GROUP BY 1, 2", "x2_s")},
+{_fold_sql("x4", "SELECT request, concat_ws('@', subject, kind, event_id) AS item, " + _SMALL.format("CASE WHEN kind = 'error' THEN 'historical_constraint' ELSE 'temporal_evidence' END", "'last_' || kind", "false") + " FROM (SELECT request, subject, effect_type AS kind, max(event_id) AS event_id FROM g2x JOIN eff ON subject = item GROUP BY 1, 2, 3)", "x3_s")},
+{_fold_sql("x5", "SELECT request, item, " + _SMALL.format("'validation_target'", "'covers_selected'", "false") + " FROM (SELECT DISTINCT request, 'test:' || cs.path AS item FROM g2x JOIN ce ON ce.target = g2x.item JOIN cs ON cs.symbol_key = ce.source AND cs.is_test)", "x4_s")},
+dx AS (SELECT *, 'seeds' AS section, 0 AS place FROM x1 WHERE rank > 0 UNION ALL SELECT *, 'closure', 1 FROM x2 WHERE rank > 0 UNION ALL SELECT *, 'effects', 2 FROM x3 WHERE rank > 0 UNION ALL SELECT *, 'temporal', 3 FROM x4 WHERE rank > 0 UNION ALL SELECT *, 'validation', 4 FROM x5 WHERE rank > 0),
+om AS (SELECT request, string_agg(why || ':' || n, ',' ORDER BY why) AS omissions FROM (SELECT request, section || '_' || d AS why, count(*) AS n FROM dx WHERE d <> 'selected' GROUP BY 1, 2) GROUP BY 1),
+rrx(task_kind, role, required) AS (VALUES {_ROLE_ROWS}), sel AS (SELECT DISTINCT request, role FROM dx WHERE d = 'selected'), dfx AS (SELECT request, role, min((place, 'omitted_' || d)) AS m FROM dx WHERE d <> 'selected' GROUP BY 1, 2),
+ro AS (SELECT request, string_agg(rrx.role || ':' || CASE WHEN sel.role IS NOT NULL THEN 'satisfied' WHEN dfx.role IS NOT NULL THEN 'deficient_' || dfx.m[2] WHEN required THEN 'missing' ELSE 'unavailable' END, ',' ORDER BY rrx.role) AS roles
+FROM rq JOIN rrx USING (task_kind) LEFT JOIN sel USING (request, role) LEFT JOIN dfx USING (request, role) GROUP BY 1),
+lv AS (SELECT 'f:' || doc_id AS file_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 9 <> 0),
+st AS (SELECT request, file_id, bool_or(place = 0) AS prim, any_value(CASE WHEN h IS NULL THEN 'unavailable' WHEN h = content_hash THEN 'verified' ELSE 'stale' END) AS state FROM dx JOIN g2 USING (file_id) LEFT JOIN lv USING (file_id) WHERE d = 'selected' GROUP BY 1, 2),
+sl AS (SELECT request, count(*) AS leases, CASE WHEN count(*) FILTER (state <> 'verified') = 0 THEN 'complete' WHEN bool_or(state = 'verified' AND prim) THEN 'partial' ELSE 'blocked' END AS seal FROM st GROUP BY 1)"""
+
+
+@register("b7_compiled_document", sql("cs ce eff conf g2", f""", {_DOCUMENT} SELECT rq.request, task_kind, coalesce(string_agg(section || '|' || item || '|' || role || '|' || reason, ',' ORDER BY place, rank) FILTER (d = 'selected'), '') AS items, any_value(roles) AS roles, coalesce(any_value(omissions), '') AS omissions,
+coalesce(any_value(leases), 0) AS leases, coalesce(any_value(seal), 'blocked') AS seal, any_value(x5_s.spent) AS work, any_value(x5_s.n + x5_s.doubtful) AS records, any_value(x5_s.size)::BIGINT AS bytes, any_value(x5_s.used)::BIGINT AS tokens
+FROM rq LEFT JOIN dx USING (request) LEFT JOIN om USING (request) LEFT JOIN ro USING (request) LEFT JOIN sl USING (request) LEFT JOIN x5_s USING (request) GROUP BY 1, 2""", recursive=True))
+def b7_compiled_document(m: Model) -> DataFrame:
+    """The compiled context of parts divisible by 20 in five sections under one ledger, its lists as text."""
+    key = F.col("p_partkey")
+    request = lambda k: F.concat(F.lit("q"), k.cast("string")).alias("request")
+    p = m.table("part")
+    kind = F.get(F.array(*map(F.lit, _TASK_KINDS)), (F.floor(key / 20) % len(_TASK_KINDS)).cast("int")).alias("task_kind")
+    requests, seeds = p.where(key % 20 == 0).select(request(key), kind), p.where(key % 20 < 2).select(request(key - key % 20), named("part", "p_partkey").alias("seed"))
+    from .temporal import live_files
+
+    files = m.generation(2).select("file_id", "path", "content_hash").join(live_files(m), "file_id", "left")
+    e = compiled_context.Evidence(
+        graph.cut(m.current_symbols().select("symbol_key", "file_id", "path", "start_byte", "end_byte", "artifact_class", "is_test"), "symbols"), graph.cut(m.current_edges().select("source", "target", "type", "status", "fact_id"), "edges"),
+        m.effects(), m.conflicts(), m.effects().select("event_id", "subject", F.col("effect_type").alias("kind")), files,
+    )
+    found = compiled_context.compile_context(requests, seeds, context.required_roles(m.spark), e, _LIMITS, ["calls", "imports", "tests", "configures", "implements"], 1)
+    lines = lambda c, sep, *f: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(sep, *[x[k] for k in f])), ","), F.lit(""))
+    return found.select(
+        "request", "task_kind", lines("items", "|", "section", "item", "role", "reason").alias("items"), lines("roles", ":", "role", "state").alias("roles"), lines("omissions", ":", "why", "n").alias("omissions"),
+        F.coalesce(F.size("leases").cast("long"), F.lit(0)).alias("leases"), "seal", "cost.work", "cost.records", "cost.bytes", "cost.tokens",
+    )

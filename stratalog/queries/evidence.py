@@ -102,9 +102,10 @@ def j14_span_join(m: Model) -> DataFrame:
     return found.select("document", "start_line", "start_char", "caller", "symbol", "confidence")
 
 
-@register("u6_verified_uncertain", sql("ce", "SELECT path, bool_or(status LIKE 'resolved%') AS verified, bool_or(status NOT LIKE 'resolved%') AS uncertain FROM ce WHERE target IN ('part:3', 'part:9', 'part:14') GROUP BY path"))
+@register("u6_verified_uncertain", sql("ce", "SELECT path, bool_or(status LIKE 'resolved%') AS verified, bool_or(status NOT LIKE 'resolved%') AS uncertain FROM ce JOIN part ON target = 'part:' || p_partkey WHERE p_partkey % 20 = 0 GROUP BY path"))
 def u6_verified_uncertain(m: Model) -> DataFrame:
-    return resolution.split_by_resolution(m.current_edges().where(F.col("target").isin("part:3", "part:9", "part:14")))
+    asked = m.table("part").where("p_partkey % 20 = 0").select(named("part", "p_partkey").alias("target"))
+    return resolution.split_by_resolution(m.current_edges().join(asked, "target", "left_semi"))
 
 
 # --- serving ----------------------------------------------------------------------------------------------------
@@ -315,13 +316,13 @@ def l4_light_lookup(m: Model) -> DataFrame:
     return serving.first_few(rows, "display_name", ["symbol_key", "fact_id"], 2).select("display_name", "symbol_key", "fact_id", "truncated")
 
 
-@register("b17_light_projection", sql("ce conf cov", """, q AS (SELECT 'part:' || unnest(range(0, 60)) AS target), e AS (SELECT target, fact_id, row_number() OVER (PARTITION BY target ORDER BY fact_id) AS k, count(*) OVER (PARTITION BY target) AS n FROM ce WHERE target IN (SELECT target FROM q)),
+@register("b17_light_projection", sql("ce conf cov", """, q AS (SELECT 'part:' || p_partkey AS target FROM part WHERE p_partkey % 20 = 0), e AS (SELECT target, fact_id, row_number() OVER (PARTITION BY target ORDER BY fact_id) AS k, count(*) OVER (PARTITION BY target) AS n FROM ce WHERE target IN (SELECT target FROM q)),
 x AS (SELECT subject_key AS target, count(*) AS c FROM conf WHERE status IN ('open', 'preferred_with_conflict', 'unresolved') GROUP BY 1)
 SELECT q.target, string_agg(e.fact_id, ',' ORDER BY e.fact_id) AS edges, coalesce(bool_or(e.n > 2), false) AS truncated, coalesce(max(x.c), 0) AS conflicts FROM q LEFT JOIN (SELECT * FROM e WHERE k <= 2) e USING (target) LEFT JOIN x USING (target) GROUP BY q.target"""))
 def b17_light_projection(m: Model) -> DataFrame:
     """Per target: two edges, a truncated flag, and conflicts, which here count `unresolved` too."""
-    asked = m.spark.range(60).select(named("part", "id").alias("target"))
-    edges = m.current_edges().join(F.broadcast(asked), "target", "left_semi")
+    asked = m.table("part").where("p_partkey % 20 = 0").select(named("part", "p_partkey").alias("target"))
+    edges = m.current_edges().join(asked, "target", "left_semi")
     few = serving.first_few(edges, "target", ["fact_id"], 2).groupBy("target").agg(F.array_join(F.array_sort(F.collect_list("fact_id")), ",").alias("edges"), F.max("truncated").alias("truncated"))
     open_ = m.conflicts().where(F.col("status").isin("open", "preferred_with_conflict", "unresolved")).groupBy(F.col("subject_key").alias("target")).agg(F.count(F.lit(1)).alias("conflicts"))
     rows = asked.join(few, "target", "left").join(open_, "target", "left")

@@ -27,24 +27,39 @@ def j3_edge_membership(m: Model) -> DataFrame:
     return m.current_edges().groupBy("type", "method", "artifact_class").agg(F.count(F.lit(1)).alias("n"), F.min("fact_id").alias("first_fact"))
 
 
-@register("w7_latest_generation", sql("gen", "SELECT arg_max(generation_id, sequence_no) AS generation_id, max(sequence_no) AS sequence_no FROM gen WHERE state = 'committed'"))
+_HISTORY = "WITH hg AS (SELECT 'w' || o_custkey AS workspace_id, 'g' || o_orderkey AS generation_id, o_orderkey AS sequence_no, CASE o_orderstatus WHEN 'F' THEN 'committed' WHEN 'O' THEN 'candidate' ELSE 'failed' END AS state FROM orders)"
+
+
+def history_of_generations(m: Model) -> DataFrame:
+    """A workspace for each customer, with a generation for each order."""
+    o, status = m.table("orders"), F.col("o_orderstatus")
+    return o.select(F.concat(F.lit("w"), F.col("o_custkey").cast("string")).alias("workspace_id"), F.concat(F.lit("g"), F.col("o_orderkey").cast("string")).alias("generation_id"), F.col("o_orderkey").alias("sequence_no"), chosen(status, {"F": "committed", "O": "candidate"}, "failed").alias("state"))
+
+
+@register("w7_latest_generation", f"{_HISTORY} SELECT workspace_id, arg_max(generation_id, sequence_no) AS generation_id, max(sequence_no) AS sequence_no FROM hg WHERE state = 'committed' GROUP BY 1")
 def w7_latest_generation(m: Model) -> DataFrame:
-    return m.generations().where("state = 'committed'").agg(F.max_by("generation_id", "sequence_no").alias("generation_id"), F.max("sequence_no").alias("sequence_no"))
+    """The latest committed generation of each workspace."""
+    return lifecycle.latest_committed(history_of_generations(m))
 
 
-@register("a19_next_sequence", sql("gen", "SELECT state, coalesce(max(sequence_no), 0) + 1 AS next_no FROM gen GROUP BY state UNION ALL SELECT 'none', coalesce(max(sequence_no), 0) + 1 FROM gen WHERE state = 'none'"))
+@register("a19_next_sequence", f"{_HISTORY} SELECT 'w' || c_custkey AS workspace_id, coalesce(max(sequence_no), 0) + 1 AS next_no FROM customer LEFT JOIN hg ON workspace_id = 'w' || c_custkey GROUP BY 1")
 def a19_next_sequence(m: Model) -> DataFrame:
-    after = (F.coalesce(F.max("sequence_no"), F.lit(0)) + 1).alias("next_no")
-    g = m.generations()
-    return g.groupBy("state").agg(after).unionByName(g.where("state = 'none'").agg(after).withColumn("state", F.lit("none")))
+    """The number that each workspace's next generation gets: 1 where there is none yet."""
+    workspaces = m.table("customer").select(F.concat(F.lit("w"), F.col("c_custkey").cast("string")).alias("workspace_id"))
+    last = history_of_generations(m).groupBy("workspace_id").agg(F.max("sequence_no").alias("last"))
+    return workspaces.join(last, "workspace_id", "left").select("workspace_id", (F.coalesce("last", F.lit(0)) + 1).alias("next_no"))
 
 
-@register("d13_generation_lifecycle", sql("gen ws", """, req AS (SELECT * FROM (VALUES ('g4', 'activate'), ('g3', 'activate'), ('g2', 'fail'), ('g9', 'activate')) AS t(generation_id, action))
-SELECT generation_id, action, coalesce(state, 'absent') AS state, coalesce(state = 'candidate', false) AS accepted,
-CASE WHEN state = 'candidate' AND action = 'activate' THEN generation_id ELSE (SELECT active_id FROM ws) END AS active_id FROM req LEFT JOIN gen USING (generation_id)"""))
+@register("d13_generation_lifecycle", f"""{_HISTORY}, ac AS (SELECT workspace_id, arg_max(generation_id, sequence_no) AS active_id FROM hg WHERE state = 'committed' GROUP BY 1),
+rq AS (SELECT 'w' || o_custkey AS workspace_id, CASE WHEN o_orderkey % 20 = 0 THEN 'g' ELSE 'x' END || o_orderkey AS generation_id, (['activate', 'fail', 'abandon'])[o_orderkey // 20 % 3 + 1] AS action FROM orders WHERE o_orderkey % 20 < 2)
+SELECT workspace_id, generation_id, action, coalesce(state, 'absent') AS state, coalesce(state = 'candidate', false) AS accepted, coalesce(CASE WHEN state = 'candidate' AND action = 'activate' THEN generation_id ELSE active_id END, '') AS active_id FROM rq LEFT JOIN hg USING (workspace_id, generation_id) LEFT JOIN ac USING (workspace_id)""")
 def d13_generation_lifecycle(m: Model) -> DataFrame:
-    asked = m.spark.createDataFrame([("g4", "activate"), ("g3", "activate"), ("g2", "fail"), ("g9", "activate")], "generation_id string, action string")
-    return lifecycle.judge_transitions(m.generations(), m.workspace(), asked)
+    """What a request does to a workspace's generation: only a candidate can be activated, failed or abandoned."""
+    key, g = F.col("o_orderkey"), history_of_generations(m)
+    action = F.get(F.array(*map(F.lit, ("activate", "fail", "abandon"))), (F.floor(key / 20) % 3).cast("int"))
+    asked = m.table("orders").where(key % 20 < 2).select(F.concat(F.lit("w"), F.col("o_custkey").cast("string")).alias("workspace_id"), F.concat(F.when(key % 20 == 0, "g").otherwise("x"), key.cast("string")).alias("generation_id"), action.alias("action"))
+    active = lifecycle.latest_committed(g).select("workspace_id", F.col("generation_id").alias("active_id"))
+    return lifecycle.judge_transitions(g, active, asked).withColumn("active_id", F.coalesce("active_id", F.lit("")))
 
 
 @register("g7_ancestry", """WITH RECURSIVE p AS (SELECT doc_id AS id, CASE WHEN doc_id - 1 - doc_id % 7 >= 0 THEN doc_id - 1 - doc_id % 7 END AS parent FROM documents), q AS (SELECT doc_id AS newer, doc_id // 2 AS older FROM documents WHERE doc_id % 20 = 0),
@@ -196,7 +211,7 @@ def k5_status(m: Model) -> DataFrame:
     return one.crossJoin(m.current_files().agg(F.count(F.lit(1)).alias("files"))).crossJoin(stuck)  # single rows
 
 
-@register("k6_doctor", sql("gen", "SELECT generation_id, CASE WHEN state = 'candidate' THEN 'abandoned' ELSE state END AS state FROM gen"))
+@register("k6_doctor", f"{_HISTORY}, ac AS (SELECT workspace_id, max(sequence_no) AS last FROM hg WHERE state = 'committed' GROUP BY 1) SELECT workspace_id, generation_id, CASE WHEN state = 'candidate' AND sequence_no < last THEN 'abandoned' ELSE state END AS state FROM hg LEFT JOIN ac USING (workspace_id)")
 def k6_doctor(m: Model) -> DataFrame:
-    """Candidates that were left behind are abandoned."""
-    return m.generations().select("generation_id", chosen(F.col("state"), {"candidate": "abandoned"}, F.col("state")).alias("state"))
+    """Candidates that a later committed generation has left behind are abandoned."""
+    return lifecycle.doctor(history_of_generations(m)).select("workspace_id", "generation_id", "state")

@@ -279,3 +279,42 @@ def test_ranks_against_sorting(spark, kind):
         values.sort()
         for name, p in shares.items():
             assert got[g][name] == values[max(1, math.ceil(round(p * len(values), 9))) - 1]
+
+
+# --- compiled contexts
+
+
+def test_a_context_does_not_depend_on_the_seeds_order(spark):
+    from stratalog.operators import compiled, context
+
+    rng = random.Random(12)
+    n = 40
+    symbols = spark.createDataFrame([(f"s{i}", f"f{i % 12}", f"p{i % 12}", 0, rng.randrange(200), rng.choice(["source", "configuration"]), i % 12 == 5) for i in range(n)], "symbol_key string, file_id string, path string, start_byte long, end_byte long, artifact_class string, is_test boolean")
+    edges = spark.createDataFrame([(f"s{rng.randrange(n)}", f"s{rng.randrange(n)}", rng.choice(["calls", "tests", "imports"]), rng.choice(["resolved_symbol", "resolved_symbol", "stale"]), f"e{i:03}") for i in range(150)], "source string, target string, type string, status string, fact_id string")
+    effects = spark.createDataFrame([(f"x{i}", f"s{rng.randrange(n)}", "view", i) for i in range(60)], "effect_id string, subject string, effect_type string, event_id long")
+    conflicts = spark.createDataFrame([("s1", "open"), ("s2", "resolved")], "subject_key string, status string")
+    files = spark.createDataFrame([(f"f{i}", f"p{i}", f"h{i}", None if i == 3 else "other" if i == 4 else f"h{i}") for i in range(12)], "file_id string, path string, content_hash string, live_hash string")
+    e = compiled.Evidence(symbols, edges, effects, conflicts, effects.select("event_id", "subject", F.col("effect_type").alias("kind")), files)
+    requests = spark.createDataFrame([("q", "bug_fix"), ("r", "explore"), ("nothing", "audit")], "request string, task_kind string")
+    seeds = [("q", f"s{i}") for i in (3, 1, 7, 20, 11)] + [("r", "s2"), ("nothing", "unknown")]
+    limits = budget.Limits(6, 10_000, 10_000, reserve=1, depth=1, work=14)
+    make = lambda some: {r.request: r for r in compiled.compile_context(requests, spark.createDataFrame(some, "request string, seed string"), context.required_roles(spark), e, limits, ["calls", "tests", "imports"], 1).collect()}
+    got, again = make(seeds), make([*seeds[::-1], seeds[0]])
+    assert {k: r.context_hash for k, r in got.items()} == {k: r.context_hash for k, r in again.items()} and got == again
+    q = got["q"]
+    assert q.cost.work == 14 and q.cost.records == len(q.items) <= 7  # the ledger binds: five seeds, then what is left
+    assert [i.section for i in q.items] == sorted((i.section for i in q.items), key=compiled.SECTIONS.index) and [i.item for i in q.items][:5] == sorted(f"s{i}" for i in (3, 1, 7, 20, 11))
+    assert any(o.why.endswith("_work_units") for o in q.omissions) and q.seal in ("partial", "blocked") and {x.path for x in q.leases} >= {"p3", "p1", "p7", "p8", "p11"}
+    states = {r.role: r.state for r in got["nothing"].roles}
+    assert got["nothing"].items is None and got["nothing"].seal == "blocked" and states["primary_implementation"] == "missing" and states["effect"] == "unavailable"
+    assert {r.role: r.state for r in q.roles}["primary_implementation"] == "satisfied"
+
+
+def test_sections_share_one_ledger(spark):
+    rows = lambda items: spark.createDataFrame([("q", i + 1, x, 1, 0, False, 10, 1) for i, x in enumerate(items)], "request string, rank long, item string, work long, depth long, uncertain boolean, bytes long, tokens long")
+    limits = budget.Limits(3, 1000, 1000, work=5)
+    first = budget.fold(rows(["a", "b"]), limits)
+    state = budget.state_after(first)
+    second = budget.fold(rows(["c", "d", "e", "f"]), limits, start=state)
+    assert [(r.item, r.decision, r.spent) for r in second.orderBy("rank").collect()] == [("c", "selected", 3), ("d", "records", 4), ("e", "records", 5), ("f", "work_units", 5)]
+    assert budget.state_after(second.where("request = 'other'"), state).first().n == 2
