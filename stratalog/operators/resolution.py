@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import expressions as X
 
@@ -22,8 +23,10 @@ def resolve(relations: DataFrame, symbols: DataFrame, files: DataFrame, same_exe
     rows = relations.where("method = 'semantic'")
     known = symbols.select(F.col("symbol_key").alias("target")).distinct().withColumn("is_symbol", F.lit(True))
     owned = files.select(F.col("path").alias("target")).distinct().withColumn("is_file", F.lit(True))
-    by_name = symbols.groupBy("display_name").agg(F.count_distinct("symbol_key").alias("n"), F.array_sort(F.collect_set("symbol_key")).alias("keys"))
-    by_name = by_name.where("n > 1").select(F.col("display_name").alias("shown"), F.slice("keys", 1, MAX_CANDIDATES).alias("keys"))
+    # of a name that any number of symbols share, the first keys only are gathered
+    pairs = symbols.select("display_name", "symbol_key").distinct()
+    place = F.row_number().over(Window.partitionBy("display_name").orderBy("symbol_key"))
+    by_name = pairs.withColumn("place", place).where(F.col("place") <= MAX_CANDIDATES).groupBy(F.col("display_name").alias("shown")).agg(F.array_sort(F.collect_list("symbol_key")).alias("keys")).where(F.size("keys") > 1)
     rows = rows.join(known, "target", "left").join(owned, "target", "left")
     rows = rows.withColumn("shown", X.display_name(F.col("target"))).join(by_name, "shown", "left")
     if same_execution is not None:

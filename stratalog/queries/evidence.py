@@ -22,9 +22,9 @@ CASE l_linenumber WHEN 2 THEN 'IMPLEMENTS' WHEN 4 THEN 'TYPE_DEFINITION' WHEN 3
 {_TARGET} AS target, CASE WHEN l_linenumber = 1 AND l_suppkey % 3 = 0 THEN 'composed_span_match' ELSE 'reference' END AS reason_in, 0.5::DOUBLE AS confidence_in FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 
-def relations(m: Model) -> DataFrame:
+def relations(m: Model, symbols: DataFrame) -> DataFrame:
     """Semantic relations with raw targets of every kind that resolution tells apart."""
-    path = m.current_symbols().agg(F.min("path").alias("first_path"))
+    path = symbols.agg(F.min("path").alias("first_path"))
     li = m.table("lineitem").join(m.table("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).crossJoin(F.broadcast(path))  # one row
     line, s = F.col("l_linenumber"), F.col("l_suppkey")
     target = chosen(line, {
@@ -47,9 +47,9 @@ SELECT type, reason, CASE WHEN reason IN ('composed_span_match', 'exact_canonica
 CASE reason WHEN 'composed_span_match' THEN 0.5 WHEN 'exact_canonical_symbol' THEN 0.95 WHEN 'alias_or_reexport' THEN 0.85 WHEN 'exact_relative_path' THEN 0.9 WHEN 'external_symbol' THEN 0.7 ELSE 0.0 END::DOUBLE AS confidence,
 count(*) AS n, min(target) AS first_target, max(CASE WHEN reason = 'multiple_valid_targets' THEN least(n, 16) ELSE 0 END)::BIGINT AS candidates FROM r GROUP BY 1, 2, 3, 4"""))
 def d14_resolution(m: Model) -> DataFrame:
-    s = m.current_symbols()
+    s = graph.cut(m.current_symbols().select("symbol_key", "display_name", "path"), "symbols")
     shown = s.select("symbol_key", F.replace("display_name", F.lit(" "), F.lit("_")).alias("display_name"))
-    found = resolution.resolve(relations(m), shown, s.select("path"))
+    found = resolution.resolve(relations(m, s), shown, s.select("path"))
     return found.groupBy("type", "reason", "status", "confidence").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("first_target"), F.max(F.size("candidates")).cast("long").alias("candidates"))
 
 

@@ -150,10 +150,15 @@ _ONE = "(SELECT min(path) FROM cs)"
 UNION ALL SELECT 'outbound', source, type, target FROM ce WHERE path = {_ONE}
 UNION ALL SELECT 'inbound', source, type, target FROM sr WHERE target IN (SELECT symbol_key FROM cs WHERE path = {_ONE})"""))
 def b11_inspect_path(m: Model) -> DataFrame:
-    """Outbound edges are the revision's; inbound ones come from every revision, whatever the generation."""
+    """Outbound edges are the revision's; inbound ones come from every revision, whatever the generation.
+
+    The file is looked up first, so that edges are filtered by it before anything else.
+    """
     s = m.current_symbols()
-    path = s.agg(F.min("path").alias("p")).first()["p"]
-    return find.inspect(s, m.current_edges(), m.resolved(), path, s.where(F.col("path") == path).select("symbol_key"))
+    one = s.agg(F.min(F.struct("path", "file_id")).alias("f")).first().f
+    own = s.where(F.col("file_id") == one.file_id).select("symbol_key", "kind", "path")
+    edges = m.resolved().where(F.col("file_id") == one.file_id).withColumn("path", F.lit(one.path))
+    return find.inspect(own, edges, m.resolved(), one.path, own.select("symbol_key"))
 
 
 @register("b11_inspect_symbol", sql("cs ce sr", """SELECT 'symbol' AS record, symbol_key AS a, path AS b, '' AS c FROM cs WHERE symbol_key = 'part:7'

@@ -60,3 +60,12 @@ def test_retarget(spark):
     f = lambda *t: spark.createDataFrame([("i", x, "s") for x in t], "identity string, target string, state string")
     assert [r.change for r in diff.relationship_changes(f("a"), f("b")).collect()] == ["retargeted"]
     assert sorted(r.change for r in diff.relationship_changes(f("a", "a", "c"), f("b", "d", "c")).collect()) == ["added", "added", "removed", "removed"]
+
+
+@pytest.mark.parametrize("name, most", [("b10_find_page", 1), ("b11_inspect_path", 2), ("d14_resolution", 0), ("a3_symbol_counts", 2), ("j3_edge_membership", 1)])
+def test_texts_are_read_once_a_use(spark, name, most):
+    """Scans of documents' texts in the plan that is left when a query is ready to run."""
+    from stratalog.plans import audit
+
+    plan = audit.audit(catalog_queries.queries()[name](spark, SF))
+    assert sum("text" in columns for columns in plan.scanned) <= most
