@@ -1,7 +1,7 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-The alphabet is pieces: the runs of characters between white space, cut after every PIECE characters (most words are one piece;
-a text without white space is many). Inner substrings are S = 2 pieces and k-mers K = 6: a k-mer is an anchor where the least
+The alphabet is pieces: each character of a script that is written without spaces (UNSPACED), and the runs of other characters
+between those and white space. Inner substrings are S = 2 pieces and k-mers K = 6: a k-mer is an anchor where the least
 hash of its inner substrings lies at its first or last place. That depends on the k-mer alone, so equal passages have equal
 anchors wherever they stand. A fingerprint is all of a text's anchors in their order, each a hash (40 bits) and a position,
 as hex; likeness is the Jaccard similarity of two fingerprints' distinct hashes. A text in which no k-mer is closed, or of
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 S, K = 2, 6
-PIECE = 16
+#: Thai to Khmer blocks, kana, and Han characters.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF"
 #: Ranges of doc_ids at most (their bounds are a literal of the plan); with more rows than fill these, ranges grow and their
 #: sorts spill.
 MAX_RANGES = 100_000
@@ -35,7 +36,7 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     an array would be built again for each of its elements).
     """
     words, inner = f"_{out}_words", f"_{out}_inner"
-    df = df.withColumn(words, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0)))
+    df = df.withColumn(words, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"[{UNSPACED}]|[^ \t-\r{UNSPACED}]+"), F.lit(0)))
     n = F.size(words)
     none = F.array().cast("array<int>")
     df = df.withColumn(inner, F.transform(F.when(n >= S, F.sequence(F.lit(0), n - S)).otherwise(none), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1))))

@@ -17,7 +17,7 @@ def chained(*values):
 
 
 def anchors(text):
-    w = re.findall(rf"[^ \t\n\x0b\f\r]{{1,{f.PIECE}}}", text or "")
+    w = re.findall(rf"[{f.UNSPACED}]|[^ \t-\r{f.UNSPACED}]+", text or "")
     inner = [chained(w[i], w[i + 1]) for i in range(len(w) - 1)]
     short = lambda h: (h % (1 << 64)) >> 24
     out = []
