@@ -115,12 +115,13 @@ def test_damage_shows(spark, folder):
 # --- phrases and names
 
 
-def test_phrases_against_a_scan(spark, folder):
+@pytest.mark.parametrize("block_tokens", [50, phrases.BLOCK_TOKENS])
+def test_phrases_against_a_scan(spark, folder, block_tokens):
     rng = random.Random(5)
     text = lambda n: " ".join(rng.choice(["a", "b", "c", "Dé", "e-f", "g"]) for _ in range(n))
     records = [(i, text(rng.randrange(0, 40))) for i in range(80)] + [(100, None), (101, ""), (102, "only once"), (103, "a " * 5000)]
     asked = [(i, text(rng.randrange(1, 5))) for i in range(30)] + [(50, "a a a"), (51, ""), (52, "zzz a"), (53, None), (54, "ONCE"), (55, "a " * 40)]
-    index = phrases.build_index(spark.createDataFrame(records, "record long, text string"), folder)
+    index = phrases.build_index(spark.createDataFrame(records, "record long, text string"), folder, block_tokens=block_tokens)
     got = {(r.phrase, r.record): r.starts for r in phrases.search(index, spark.createDataFrame(asked, "phrase long, text string")).collect()}
     split = lambda t: [w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()]
     want = {}
@@ -134,6 +135,10 @@ def test_phrases_against_a_scan(spark, folder):
     assert got == want and (50, 103) in got
     coded = index.postings().where("token = 'a' AND record = 103").first().coded
     assert coded[0] == 0 and set(coded[1:]) == {1}
+    pairs = {(w, r) for r, body in records for w in split(body)}
+    assert {(r.token, r.record) for r in index.postings().collect()} == pairs and index.postings().count() == len(pairs)
+    empty = spark.createDataFrame([], "record long, text string")
+    assert phrases.search(phrases.build_index(empty, folder + "-empty"), spark.createDataFrame(asked, "phrase long, text string")).count() == 0
 
 
 @pytest.mark.parametrize("rows, entities", [(400, 3), (7, 3), (7, 50), (1000, 50)])
