@@ -152,20 +152,21 @@ def search(index: PhraseIndex, phrases: DataFrame) -> DataFrame:
     begin = lambda: F.transform(absolute(F.col("coded")), lambda p: p - F.col("k"))
     kept = F.filter("starts", lambda s: s >= 0)
 
+    # the rarest token's places, with what to look for next: one row, as a phrase has one second token at most
+    second = ranked.where("order = 2").select("phrase", "bucket", "token", "k")
     first = unpacked(ranked.where("order = 1").select("bucket", "token", "phrase", "length", "k").join(blocks, ["bucket", "token"]))
     first = first.select("phrase", "length", "record", begin().alias("starts")).withColumn("starts", kept).where(F.size("starts") > 0)
-    first = cut(first, "phrases-first")
-    second = ranked.where("order = 2").select("phrase", "bucket", "token", "k")
-    both = of(second).join(first.where("length > 1").join(second, "phrase"), ["bucket", "token", "record"])
+    first = cut(first.join(second, "phrase", "left"), "phrases-first")
+    both = of(second).join(first.where("length > 1"), ["bucket", "token", "record"])
     left = cut(both.select("phrase", "length", "record", F.array_intersect("starts", begin()).alias("starts")).where(F.size("starts") > 0), "phrases-both")
 
-    rest = left.where("length > 2").join(ranked.where("order > 2").select("phrase", "bucket", "token", "k"), "phrase")
+    rest = cut(left.where("length > 2").join(ranked.where("order > 2").select("phrase", "bucket", "token", "k"), "phrase"), "phrases-rest")
     others = of(rest).join(rest, ["bucket", "token", "record"])
     hits = others.select("phrase", "record", "length", F.explode(F.array_intersect("starts", begin())).alias("start"))
     full = hits.groupBy("phrase", "record", "start", "length").agg(F.count(F.lit(1)).alias("n")).where("n = length - 2")
     longer = full.groupBy("phrase", "record").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    short = first.where("length = 1").unionByName(left.where("length = 2")).select("phrase", "record", F.sort_array("starts").alias("starts"))
-    return short.unionByName(longer)
+    found = lambda df: df.select("phrase", "record", F.sort_array("starts").alias("starts"))
+    return found(first.where("length = 1")).unionByName(found(left.where("length = 2"))).unionByName(longer)
 
 
 def bounded(hits: DataFrame, request: str, entity: str, order: list[Column], most_rows: int, most_entities: int) -> DataFrame:
