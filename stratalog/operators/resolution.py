@@ -89,10 +89,14 @@ def append_new(existing: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def compose_call_edges(calls: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Structural call spans joined with semantic occurrences on document, revision and span; confidence min(c * 0.98, 0.98)."""
+    """Structural call spans joined with semantic occurrences on document, revision and span; confidence min(c * 0.98, 0.98).
+
+    Spark reckons occurrences that an explode makes by the rows before it, and would broadcast them at any size: both sides
+    are shuffled and sorted.
+    """
     on = ["document", "revision_id", "start_line", "start_char", "end_line", "end_char"]
     confidence = F.least(F.round(F.col("confidence") * 0.98, 6), F.lit(0.98))
-    return calls.join(definitions, on).select(*on, "caller", "symbol", confidence.alias("confidence"), F.lit("composed_span_match").alias("reason"))
+    return calls.join(definitions.hint("merge"), on).select(*on, "caller", "symbol", confidence.alias("confidence"), F.lit("composed_span_match").alias("reason"))
 
 
 def split_by_resolution(edges: DataFrame) -> DataFrame:
