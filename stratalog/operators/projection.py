@@ -16,11 +16,13 @@ that Spark writes to.
 
 from __future__ import annotations
 
+import functools
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import serving
 
@@ -62,9 +64,14 @@ def row_digest(kind: str) -> Column:
 
 
 def sums(rows: DataFrame, kind: str, *by: str) -> DataFrame:
-    """n, a, b (by `by`): the count and the sums of two 60-bit lanes of the rows' digests."""
-    lane = lambda i: F.sum(F.conv(F.substring("_d", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
-    return rows.withColumn("_d", row_digest(kind)).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), lane(0).alias("a"), lane(1).alias("b"))
+    """n, a, b (by `by`): the count and the sums of two 60-bit lanes of the rows' digests.
+
+    The halves of a lane are summed as longs, which hold 2^33 rows."""
+    lane = lambda i: F.conv(F.substring("_d", 1 + 15 * i, 15), 16, 10).cast("long").alias("ab"[i])
+    half = lambda x: F.sum(x).cast("decimal(20,0)")
+    whole = lambda c: (half(F.shiftright(c, 30)) * F.lit(1 << 30).cast("decimal(11,0)") + half(F.col(c).bitwiseAND((1 << 30) - 1))).cast("decimal(38,0)")
+    lanes = rows.withColumn("_d", row_digest(kind)).select(*by, lane(0), lane(1))
+    return lanes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), whole("a").alias("a"), whole("b").alias("b"))
 
 
 def make_cards(source: Source) -> DataFrame:
@@ -77,22 +84,24 @@ def make_rollups(coverage: DataFrame, scopes: tuple[str, ...]) -> DataFrame:
 
 
 def only_of(source: Source, keys: DataFrame) -> Source:
-    """The part of a source that the cards of `keys` (symbol_key) need: an edge counts for both of its ends."""
+    """The part of a source that the cards of `keys` (symbol_key) need. Edges are all of them: one counts for both of its ends,
+    and their counts by symbol are smaller than any choice of edges."""
     near = lambda df, column: df.join(keys.select(F.col("symbol_key").alias(column)), column, "left_semi")
-    out = source.edges
-    ends = near(out, "source").unionByName(near(out.join(keys.select(F.col("symbol_key").alias("source")), "source", "left_anti"), "target"))
-    return Source(near(source.facts, "symbol_key"), ends, near(source.effects, "subject"), near(source.conflicts, "subject_key"), source.coverage, source.scopes)
+    return Source(near(source.facts, "symbol_key"), source.edges, near(source.effects, "subject"), near(source.conflicts, "subject_key"), source.coverage, source.scopes)
 
 
 def affected(before: Source, after: Source) -> DataFrame:
     """symbol_key of every card that differs between two sources, and of the sources of edges that do.
 
-    Rows of both sides are counted by all their columns; what is not there equally often names its symbols.
+    Rows of both sides are counted by all their columns; what is not there equally often names its symbols. Rows that are equal
+    on both sides may be left out, and a part that both sources share is not compared.
     """
     columns = {"facts": ["symbol_key", "fact_id", "file_id", "method", "confidence", "start_byte", "end_byte"], "edges": ["fact_id", "source", "target", "type", "status"], "effects": ["subject"], "conflicts": ["subject_key", "status"], "coverage": ["file_id", "status"]}
 
     def differing(name: str) -> DataFrame:
         c = columns[name]
+        if getattr(before, name) is getattr(after, name):
+            return getattr(after, name).select(*c).limit(0)
         side = lambda s, sign: getattr(s, name).select(*c, F.lit(sign).alias("_side"))
         return side(before, -1).unionByName(side(after, 1)).groupBy(*c).agg(F.sum("_side").alias("_n")).where("_n != 0").select(*c)
 
@@ -106,10 +115,10 @@ def affected(before: Source, after: Source) -> DataFrame:
 
 
 class Projection:
-    """Projections of generations under one root folder."""
+    """Projections of generations under one root folder; of some kinds of rows only, if that is asked for."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, kinds: tuple[str, ...] = tuple(SCHEMAS)):
+        self.spark, self.root, self.buckets, self.kinds = spark, root.rstrip("/"), buckets, kinds
 
     # --- what is there
 
@@ -150,12 +159,18 @@ class Projection:
 
     def _write(self, folder: str, kind: str, rows: DataFrame) -> None:
         dealt = rows.withColumn("bucket", _bucket(kind, self.buckets)).hint("rebalance", "bucket")  # a hot bucket is written by several tasks
-        dealt.write.partitionBy("bucket").parquet(f"{folder}/{kind}")
+        dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/{kind}")
+
+    def _files(self, folder: str, kind: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[kind] + ", bucket int").parquet(f"{folder}/{kind}").drop("bucket")
 
     def _sums(self, folder: str, kind: str) -> DataFrame:
         files = self.spark.read.schema(SCHEMAS[kind] + ", bucket int").parquet(f"{folder}/{kind}")
         return sums(files, kind, "bucket").select(F.lit(kind).alias("kind"), "bucket", F.lit(folder).alias("folder"), "n", "a", "b")
 
+    def _all_sums(self, folder: str) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [self._sums(folder, kind) for kind in self.kinds])
+
     def begin(self, generation: str) -> str:
         path = self._at(generation, "begun")
         if not self._there(path):
@@ -183,15 +198,21 @@ class Projection:
         if found is not None:
             return found
         folder = self.begin(generation)
-        self._write(folder, "cards", make_cards(source))
-        self._write(folder, "edges", source.edges.select("fact_id", "source", "target", "type", "status"))
-        self._write(folder, "rollups", make_rollups(source.coverage, source.scopes))
-        every = self._sums(folder, "cards").unionByName(self._sums(folder, "edges")).unionByName(self._sums(folder, "rollups"))
-        return self._finish(generation, fingerprint, every)
-
-    def advance(self, old: str, generation: str, fingerprint: str, changed: DataFrame, source: Source, coverage_before: DataFrame, coverage_after: DataFrame) -> DataFrame:
+        if "edges" in self.kinds:
+            self._write(folder, "edges", source.edges.select("fact_id", "source", "target", "type", "status"))
+            source = replace(source, edges=self._files(folder, "edges"))
+        if "cards" in self.kinds:
+            self._write(folder, "cards", make_cards(source))
+        if "rollups" in self.kinds:
+            self._write(folder, "rollups", make_rollups(source.coverage, source.scopes))
+        return self._finish(generation, fingerprint, self._all_sums(folder))
+
+    def advance(self, old: str, generation: str, fingerprint: str, changed: DataFrame, source: Source, coverage_before: DataFrame, coverage_after: DataFrame, edges: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
         """The next generation's projection: `changed` (symbol_key) names every symbol whose card or outbound edges differ,
-        coverage_* hold the files whose coverage does. Only the buckets of those symbols are read and written."""
+        coverage_* hold the files whose coverage does. Only the buckets of those symbols are read and written.
+
+        edges: the symbols (symbol_key) whose outbound edges differ and all edges that they have now, where the caller knows
+        them; else those of `changed` are taken from the source."""
         found = self.same(generation, fingerprint)
         if found is not None:
             return found
@@ -201,25 +222,48 @@ class Projection:
         touched = sorted(r[0] for r in keys.select(_bucket("cards", self.buckets)).distinct().collect())  # buckets at most
         if before.select("folder").distinct().count() >= MAX_FOLDERS:
             touched = list(range(self.buckets))
-        self._write(folder, "cards", self.read(old, "cards", touched).join(keys, "symbol_key", "left_anti").unionByName(make_cards(only_of(source, keys))))
-        by_source = keys.select(F.col("symbol_key").alias("source"))
-        edges = source.edges.select("fact_id", "source", "target", "type", "status").join(by_source, "source", "left_semi")
-        self._write(folder, "edges", self.read(old, "edges", touched).join(by_source, "source", "left_anti").unionByName(edges))
-
-        scope, counts = ["scope_kind", "scope_key"], ["eligible", "complete", "partial", "unsupported", "excluded", "failed"]
-        signed = lambda rows, sign: rows.select(*scope, *[(F.col(c) * sign).alias(c) for c in counts])
-        rollups = self.read(old, "rollups").unionByName(signed(make_rollups(coverage_after, source.scopes), 1)).unionByName(signed(make_rollups(coverage_before, source.scopes), -1))
-        rollups = rollups.groupBy(*scope).agg(*[F.sum(c).alias(c) for c in counts]).where("eligible > 0 OR scope_kind = 'workspace'")
-        self._write(folder, "rollups", rollups)
-
-        new = self._sums(folder, "cards").unionByName(self._sums(folder, "edges")).unionByName(self._sums(folder, "rollups"))
+        if "edges" in self.kinds:
+            by_source = keys.select(F.col("symbol_key").alias("source"))
+            of, now = edges or (keys, source.edges.join(by_source, "source", "left_semi"))
+            self._replace_edges(folder, self.read(old, "edges", touched), of, now)
+            rest = [b for b in range(self.buckets) if b not in touched]
+            source = replace(source, edges=self._files(folder, "edges").unionByName(self.read(old, "edges", rest)))
+        if "cards" in self.kinds:
+            self._write(folder, "cards", self.read(old, "cards", touched).join(keys, "symbol_key", "left_anti").unionByName(make_cards(only_of(source, keys))))
+
+        if "rollups" in self.kinds:
+            scope, counts = ["scope_kind", "scope_key"], ["eligible", "complete", "partial", "unsupported", "excluded", "failed"]
+            signed = lambda rows, sign: rows.select(*scope, *[(F.col(c) * sign).alias(c) for c in counts])
+            rollups = self.read(old, "rollups").unionByName(signed(make_rollups(coverage_after, source.scopes), 1)).unionByName(signed(make_rollups(coverage_before, source.scopes), -1))
+            rollups = rollups.groupBy(*scope).agg(*[F.sum(c).alias(c) for c in counts]).where("eligible > 0 OR scope_kind = 'workspace'")
+            self._write(folder, "rollups", rollups)
+
+        new = self._all_sums(folder)
         kept = before.where((F.col("kind") != "rollups") & ~F.col("bucket").isin(touched)).select(*new.columns)
         return self._finish(generation, fingerprint, kept.unionByName(new))
 
+    def _replace_edges(self, folder: str, rows: DataFrame, keys: DataFrame, now: DataFrame) -> None:
+        """Write `rows` without the edges of `keys`, and with the edges that those have now.
+
+        Each row is shuffled once, by bucket and part of a bucket, for both: keys go with the edges, and a key that meets the
+        earlier edges of its source takes them out.
+        """
+        names = [f.split()[0] for f in SCHEMAS["edges"].split(", ")]
+        key = [(F.col("symbol_key") if c == "source" else F.lit(None).cast("string")).alias(c) for c in names]
+        part = lambda df, kind: df.select(*names, F.lit(kind).alias("_kind"))
+        every = part(rows, "was").unionByName(part(now, "is")).unionByName(part(keys.select(*key), "key"))
+        place = {"bucket": _bucket("edges", self.buckets), "_part": F.pmod(F.hash("source"), F.lit(4))}
+        dealt = every.withColumns(place).repartition("bucket", "_part")
+        gone = F.max(F.col("_kind") == "key").over(Window.partitionBy("bucket", "_part", "source"))
+        kept = dealt.withColumn("_gone", gone).where("_kind = 'is' OR _kind = 'was' AND NOT _gone")
+        kept.select(*names, "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/edges")
+
     # --- whether it can be served
 
-    def status(self, generation: str, active: str) -> str:
-        """absent, building, failed, superseded, stale or ready: the last only where files, counts and sums agree."""
+    def status(self, generation: str, active: str, counted: DataFrame | None = None) -> str:
+        """absent, building, failed, superseded, stale or ready: the last only where files, counts and sums agree.
+
+        counted: a recount of the same files, where the caller has one."""
         claimed = self.manifest(generation)
         if claimed is None:
             for part, state in (("failed", "failed"), ("begun", "building")):
@@ -228,12 +272,13 @@ class Projection:
             return "absent"
         if generation != active:
             return "superseded"
-        return "ready" if content(claimed) == content(self.recount(generation)) else "stale"
+        found = self.recount(generation) if counted is None else counted
+        return "ready" if content(claimed) == content(found) else "stale"
 
-    def recount(self, generation: str) -> DataFrame:
-        """kind, n, a, b of the files as they are now."""
-        each = [sums(self.read(generation, kind), kind).select(F.lit(kind).alias("kind"), "n", "a", "b") for kind in SCHEMAS]
-        return each[0].unionByName(each[1]).unionByName(each[2])
+    def recount(self, generation: str, *kinds: str) -> DataFrame:
+        """kind, n, a, b of the files as they are now, of all kinds or of some."""
+        each = [sums(self.read(generation, kind), kind).select(F.lit(kind).alias("kind"), "n", "a", "b") for kind in kinds or self.kinds]
+        return functools.reduce(DataFrame.unionByName, each)
 
 
 def content(rows: DataFrame) -> dict[str, tuple[int, int, int]]:
