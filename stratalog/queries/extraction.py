@@ -161,7 +161,9 @@ def indexes(m: Model, forms: tuple[str, ...] = ("packed",)) -> DataFrame:
     the forms of ranges take turns."""
     p = m.table("part")
     own = F.struct(F.col("p_size").cast("long").alias("line"), F.lit(4).cast("long").alias("a"), (4 + F.octet_length("p_name")).cast("long").alias("b"), F.concat(F.lit("npm "), F.col("p_partkey").cast("string"), F.lit("#")).alias("symbol"), F.lit(1).alias("roles"))
-    li = m.table("lineitem").select("l_partkey", "l_linenumber", "l_suppkey").distinct()
+    # one shuffle by part for distinct lines, their gathering and the join; its tasks are not merged, as Python works in them
+    tasks = int(m.spark.conf.get("spark.sql.shuffle.partitions"))
+    li = m.table("lineitem").select("l_partkey", "l_linenumber", "l_suppkey").repartition(tasks, "l_partkey").distinct()
     supplier = F.col("l_suppkey").cast("string")
     symbol = F.when(F.col("l_linenumber") == 3, F.concat(F.lit("local "), supplier)).otherwise(F.concat(F.lit("npm "), supplier, F.lit("#")))
     used = F.struct((F.col("l_linenumber") + 50).cast("long").alias("line"), F.col("l_suppkey").cast("long").alias("a"), (F.col("l_suppkey") + 3).cast("long").alias("b"), symbol.alias("symbol"), F.when(F.col("l_linenumber") == 2, 2).otherwise(0).alias("roles"))
@@ -175,9 +177,14 @@ def indexes(m: Model, forms: tuple[str, ...] = ("packed",)) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                occurrences = [((o["line"], o["a"], o["line"], o["b"]), o["symbol"], o["roles"]) for o in [r["own"], *r["uses"]]]
-                out.append(scip.encode_index([{"path": r["path"], "occurrences": occurrences, "symbols": [(r["own"]["symbol"], r["name"], [(r["other"], r["kind"])])]}], r["form"], [(r["other"], r["type"], [])]))
+            uses = batch.column("uses")
+            line, a, b, symbol, roles = (uses.values.field(i).to_pylist() for i in range(5))
+            ends = uses.offsets.to_pylist()
+            for i, r in enumerate(batch.drop_columns(["uses"]).to_pylist()):
+                own = r["own"]
+                occurrences = [((own["line"], own["a"], own["line"], own["b"]), own["symbol"], own["roles"])]
+                occurrences += [((line[j], a[j], line[j], b[j]), symbol[j], roles[j]) for j in range(ends[i], ends[i + 1])]
+                out.append(scip.encode_index([{"path": r["path"], "occurrences": occurrences, "symbols": [(own["symbol"], r["name"], [(r["other"], r["kind"])])]}], r["form"], [(r["other"], r["type"], [])]))
             yield pa.RecordBatch.from_pydict({"content": pa.array(out, pa.binary())})
 
     return rows.mapInArrow(run, "content binary")
