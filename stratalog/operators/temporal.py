@@ -41,11 +41,17 @@ def symbol_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def state_changes(before: DataFrame, after: DataFrame, key: str, status: str, item: list[str]) -> DataFrame:
     """key, change: added, removed, state_changed (another set of statuses) or modified (other items under the same ones)."""
-    listed = lambda df, p: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*item))).alias(f"{p}_items"), F.array_sort(F.collect_set(status)).alias(f"{p}_states"))
-    both = listed(before, "old").join(listed(after, "new"), key, "full_outer")
-    change = F.when(F.col("old_items").isNull(), "added").when(F.col("new_items").isNull(), "removed").when(F.col("old_states") != F.col("new_states"), "state_changed")
-    change = change.when(F.col("old_items") != F.col("new_items"), "modified")
-    return both.withColumn("change", change).where("change is not null").select(key, "change")
+    side = lambda df, old, new: df.select(F.col(key).alias("_key"), F.col(status).alias("_status"), F.struct(*item).alias("_item"), F.lit(old).alias("_old"), F.lit(new).alias("_new"))
+    # counted by item, then by status, then by key, after one shuffle by key; no key's items are gathered
+    rows = side(before, 1, 0).unionByName(side(after, 0, 1)).repartition("_key")
+    on = [F.col("_key"), F.when(F.col("_key").isNull(), F.col("_old")).alias("_lone")]  # a null key has no counterpart
+    items = rows.groupBy(*on, "_status", "_item").agg(F.sum("_old").alias("_old"), F.sum("_new").alias("_new"))
+    any_of = lambda: [F.max("_old").alias("_old"), F.max("_new").alias("_new")]
+    states = items.groupBy("_key", "_lone", "_status").agg(*any_of(), F.max(F.col("_old") != F.col("_new")).alias("_differs"))
+    moved = F.col("_status").isNotNull() & ((F.col("_old") > 0) != (F.col("_new") > 0))
+    keys = states.groupBy("_key", "_lone").agg(*any_of(), F.max(moved).alias("_moved"), F.max("_differs").alias("_differs"))
+    change = F.when(F.col("_old") == 0, "added").when(F.col("_new") == 0, "removed").when(F.col("_moved"), "state_changed").when(F.col("_differs"), "modified")
+    return keys.select(F.col("_key").alias(key), change.alias("change")).where("change IS NOT NULL")
 
 
 def unchanged_contracts(symbols: DataFrame, changes: DataFrame, old_coverage: DataFrame, new_coverage: DataFrame, live: DataFrame) -> DataFrame:
