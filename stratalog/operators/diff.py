@@ -35,14 +35,15 @@ def relationship_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     copies = copies.withColumn("k", F.row_number().over(Window.partitionBy("identity", "target", "old").orderBy("state")))
     side = lambda old: F.max(F.when(F.col("old") == old, F.col("state")))
     both = copies.groupBy("identity", "target", "k").agg(side(True).alias("old_state"), side(False).alias("new_state"))
-    kept = both.where("old_state is not null and new_state is not null").select("identity", F.lit("evidence_changed").alias("change"), F.col("target").alias("old_target"), F.col("target").alias("new_target"))
-    rest = both.where("old_state is null or new_state is null")
+    # one pass gives all changes: a branch for each kind would pair everything again
+    was, now = F.col("old_state").isNotNull() & F.col("new_state").isNull(), F.col("old_state").isNull() & F.col("new_state").isNotNull()
     w = Window.partitionBy("identity")
-    rest = rest.withColumn("n_old", F.count("old_state").over(w)).withColumn("n_new", F.count("new_state").over(w))
+    rows = both.withColumns({"n_old": F.count_if(was).over(w), "n_new": F.count_if(now).over(w), "moved_to": F.max(F.when(now, F.col("target"))).over(w)})
     pair = (F.col("n_old") == 1) & (F.col("n_new") == 1)
-    moved = rest.where(pair).groupBy("identity").agg(F.lit("retargeted").alias("change"), F.max(F.when(F.col("old_state").isNotNull(), F.col("target"))).alias("old_target"), F.max(F.when(F.col("new_state").isNotNull(), F.col("target"))).alias("new_target"))
-    single = rest.where(~pair).select("identity", F.when(F.col("old_state").isNull(), "added").otherwise("removed").alias("change"), F.when(F.col("old_state").isNotNull(), F.col("target")).alias("old_target"), F.when(F.col("new_state").isNotNull(), F.col("target")).alias("new_target"))
-    return kept.unionByName(moved).unionByName(single)
+    target, none = F.col("target"), F.lit(None).cast("string")
+    row = lambda change, old, new: F.struct(F.lit(change).alias("change"), old.alias("old_target"), new.alias("new_target"))
+    what = F.when(pair & was, row("retargeted", target, F.col("moved_to"))).when(was, row("removed", target, none)).when(now, row("added", none, target)).otherwise(row("evidence_changed", target, target))
+    return rows.where(~(pair & now)).select("identity", what.alias("w")).select("identity", "w.*")
 
 
 def reconcile(before: DataFrame, after: DataFrame) -> DataFrame:
