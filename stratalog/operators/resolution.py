@@ -66,9 +66,12 @@ def preference(priority: Column, tier: Column, confidence: Column, deterministic
     )
 
 
-def clusters(facts: DataFrame) -> DataFrame:
-    """cluster, facts, targets, outcome, preferred of facts (cluster, fact_id, target, preference); null targets don't disagree."""
-    targets = F.count_distinct("target")
+def clusters(facts: DataFrame, listed: bool = False) -> DataFrame:
+    """cluster, facts, targets, outcome, preferred of facts (cluster, fact_id, target, preference); null targets don't disagree.
+
+    listed: for a caller that reads `fact_ids`. A cluster's facts are gathered for it anyway, and its targets with them, so one
+    shuffle does; a distinct count is two."""
+    targets = F.size(F.collect_set("target")).cast("long") if listed else F.count_distinct("target")
     return facts.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("facts"), targets.alias("targets"), F.when(targets <= 1, "corroborated").otherwise("conflict").alias("outcome"),
         F.max_by("fact_id", "preference").alias("preferred"), F.array_sort(F.collect_list("fact_id")).alias("fact_ids"),
