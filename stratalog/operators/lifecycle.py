@@ -42,6 +42,8 @@ def judge_transitions(generations: DataFrame, active: DataFrame, asked: DataFram
 class Ancestry:
     """Ancestors by pointer doubling: `up` of level k leads 2^k parents up, so chains of any length take log rounds.
 
+    Every join is shuffled and sorted: a level is small on disk and would be broadcast at each of the rounds, through the driver.
+
     generations: generation_id (unique) and parent_id (null, or one that is not there, at a root). Raises where parents form a
     cycle: after more rounds than the nodes' number has bits, a node in or above a cycle still has an ancestor.
     """
@@ -49,12 +51,12 @@ class Ancestry:
     def __init__(self, generations: DataFrame):
         rows = generations.select(F.col("generation_id").alias("node"), F.col("parent_id").alias("up"))
         known = rows.select(F.col("node").alias("up"))
-        self._up = [cut(rows.where("up IS NOT NULL").join(known, "up", "left_semi").select("node", "up"), "ancestors")]
+        self._up = [cut(rows.where("up IS NOT NULL").join(known.hint("merge"), "up", "left_semi").select("node", "up"), "ancestors")]
         self.nodes, n = known.withColumnRenamed("up", "node"), self._up[0].count()
         most = n.bit_length()  # a chain has n parents at most, fewer than 2^most
         while True:
             last = self._up[-1]
-            above = cut(last.join(last.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")), "ancestors")
+            above = cut(last.join(last.select(F.col("node").alias("up"), F.col("up").alias("next")).hint("merge"), "up").select("node", F.col("next").alias("up")), "ancestors")
             if above.isEmpty():
                 break
             if len(self._up) > most:
@@ -66,19 +68,19 @@ class Ancestry:
         at = self.nodes.withColumn("at", F.col("node")).withColumn("depth", F.lit(0).cast("long"))
         for k in range(len(self._up) - 1, -1, -1):
             step = self._up[k].select(F.col("node").alias("at"), F.col("up").alias("higher"))
-            at = at.join(step, "at", "left").select("node", F.coalesce("higher", "at").alias("at"), (F.col("depth") + F.when(F.col("higher").isNotNull(), 2**k).otherwise(0)).alias("depth"))
+            at = at.join(step.hint("merge"), "at", "left").select("node", F.coalesce("higher", "at").alias("at"), (F.col("depth") + F.when(F.col("higher").isNotNull(), 2**k).otherwise(0)).alias("depth"))
             at = cut(at, "depths")
         return at.select(F.col("node").alias("generation_id"), "depth")
 
     def judge(self, pairs: DataFrame) -> DataFrame:
         """older, newer, is_ancestor, distance (null where it is none; 0 for a generation and itself)."""
         d = self.depths()
-        rows = pairs.select("older", "newer").distinct().join(d.select(F.col("generation_id").alias("older"), F.col("depth").alias("d_old")), "older", "left")
-        rows = rows.join(d.select(F.col("generation_id").alias("newer"), F.col("depth").alias("d_new")), "newer", "left")
+        rows = pairs.select("older", "newer").distinct().join(d.select(F.col("generation_id").alias("older"), F.col("depth").alias("d_old")).hint("merge"), "older", "left")
+        rows = rows.join(d.select(F.col("generation_id").alias("newer"), F.col("depth").alias("d_new")).hint("merge"), "newer", "left")
         rows = rows.withColumn("distance", F.col("d_new") - F.col("d_old")).withColumn("at", F.when(F.col("distance") >= 0, F.col("newer")))
         for k, up in enumerate(self._up):  # lift the newer one by the bits of the distance
             step = up.select(F.col("node").alias("at"), F.col("up").alias("higher"))
-            rows = rows.join(step, "at", "left")
+            rows = rows.join(step.hint("merge"), "at", "left")
             rows = cut(rows.withColumn("at", F.when(F.shiftright("distance", k) % 2 == 1, F.col("higher")).otherwise(F.col("at"))).drop("higher"), "lifted")
         yes = F.coalesce(F.col("at") == F.col("older"), F.lit(False))
         return rows.select("older", "newer", yes.alias("is_ancestor"), F.when(yes, F.col("distance")).alias("distance"))
