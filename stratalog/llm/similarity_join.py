@@ -44,6 +44,11 @@ HOT_SHINGLES = 200_000
 BLOCK_DOCS = 128
 #: Lists up to this many documents are compared whole after the first round; longer ones in blocks of as many.
 SHORT_LIST = 1024
+#: From the third round on, lists up to so many are compared whole: what is left then is of documents that seldom link.
+LATE_LIST = 8 * SHORT_LIST
+#: Up to so many candidates are verified at once, and up to MANY_PAIRS meet with whole sketches at once: a pass over few
+#: rows costs more than what it rules out.
+FEW_PAIRS, MANY_PAIRS = 2000, 100_000
 #: Bits of a set's sketch: a power of two from 10 for each shingle, within these. Lists carry the least.
 SKETCH_BITS = 2048, 262_144
 #: Candidates meet first with sketches of a quarter of the bits, those left with the whole ones.
@@ -350,8 +355,11 @@ def _asked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def may_link(pairs: DataFrame, digests: DataFrame, width: int) -> DataFrame:
-    """The pairs (centre, other) whose sketches, first the coarse and then the whole ones, allow a link."""
-    for column in ("coarse", "sketch"):
+    """The pairs (centre, other) whose sketches, first the coarse and then the whole ones, allow a link; of few pairs, all."""
+    asked = pairs.count()
+    if asked <= FEW_PAIRS:
+        return pairs
+    for column in ("coarse", "sketch") if asked > MANY_PAIRS else ("sketch",):
         bodies = _asked(pairs, digests.select("doc_id", F.col(column).alias("body")))
         near = _searched(pairs, bodies, width, _read_sketches, near_sketches).select(F.col("a").alias("centre"), F.col("b").alias("other"))
         pairs = stored(near, f"join-{column}") if column == "coarse" else near
@@ -363,14 +371,14 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return _searched(pairs, _asked(pairs, texts).repartition(width, "doc_id"), width, _read_sets, search_block)
 
 
-def near_in_lists(members: DataFrame, heads: DataFrame, width: int) -> DataFrame:
+def near_in_lists(members: DataFrame, heads: DataFrame, width: int, whole: int = SHORT_LIST) -> DataFrame:
     """centre, other: documents of one list and different roots whose sketches allow a link.
 
-    `members`: shingle, m (its length), doc_id, n, root, least; `heads`: the same, the centres of lists over SHORT_LIST.
+    `members`: shingle, m (its length), doc_id, n, root, least; `heads`: the same, the centres of lists over `whole`.
     """
     count = F.expr(f"cast(ceil(m / {SHORT_LIST}) as int)")
     columns = ["shingle", "block", "head", "doc_id", "n", "root", "least"]
-    dealt = members.withColumn("block", F.when(F.col("m") <= SHORT_LIST, 0).otherwise(F.pmod(F.xxhash64("doc_id"), count)).cast("int")).withColumn("head", F.lit(False))
+    dealt = members.withColumn("block", F.when(F.col("m") <= whole, 0).otherwise(F.pmod(F.xxhash64("doc_id"), count)).cast("int")).withColumn("head", F.lit(False))
     every = heads.withColumn("block", F.explode(F.sequence(F.lit(0), count - 1))).withColumn("head", F.lit(True))
     rows = dealt.select(*columns).unionByName(every.select(*columns))
 
@@ -480,7 +488,8 @@ def _classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
         if shared.isEmpty():
             break
         # the first round has one centre a list; later ones take short lists whole and eight times as many centres of long ones
-        short = F.lit(False) if step == 0 else F.col("m") <= SHORT_LIST
+        whole = SHORT_LIST if step < 2 else LATE_LIST
+        short = F.lit(False) if step == 0 else F.col("m") <= whole
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(1 if step == 0 else 2 * 8**step))
         heads = shared.where(~short).groupBy("shingle", salt.alias("salt")).agg(F.min(F.struct("doc_id", "n", "root", "m")).alias("head"))
         heads = heads.select("shingle", "head.*")
@@ -490,9 +499,10 @@ def _classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
             asked = shared.join(centres, "shingle").where(near).select("centre", F.col("doc_id").alias("other"))
         else:
             least = digests.select("doc_id", "least")
-            asked = near_in_lists(shared.join(least, "doc_id"), heads.join(least, "doc_id"), width)
+            asked = near_in_lists(shared.join(least, "doc_id"), heads.join(least, "doc_id"), width, whole)
         asked = stored(asked.distinct(), f"join-asked-{step}")
-        pairs = stored(may_link(asked, digests, width), f"join-pairs-{step}")
+        pairs = may_link(asked, digests, width)
+        pairs = pairs if pairs is asked else stored(pairs, f"join-pairs-{step}")
         found = stored(verify(pairs, texts, width), f"join-links-{step}")
         if not found.isEmpty():
             # what is linked already is carried by its root

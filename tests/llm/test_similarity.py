@@ -74,3 +74,26 @@ def test_a_similarity_of_just_four_fifths_links():
     b = np.concatenate([a[:8], [np.uint64(99)]])
     assert similarity_join.search_block(a, [b]) == [0]  # 8 of 10
     assert similarity_join.search_block(a, [a[:7]]) == []  # 7 of 9
+
+
+def test_few_candidates_take_no_pass_over_sketches(spark, monkeypatch):
+    pairs = spark.createDataFrame([(1, 2)], "centre long, other long")
+    assert similarity_join.may_link(pairs, None, 4) is pairs
+    want, _ = plain(rows())
+    for few, many in ((0, 0), (0, 10**6)):
+        monkeypatch.setattr(similarity_join, "FEW_PAIRS", few)
+        monkeypatch.setattr(similarity_join, "MANY_PAIRS", many)
+        got = similarity_join.near_duplicates(spark, frame(spark)).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(want)
+
+
+def test_long_lists_are_compared_whole_from_the_third_round(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = [(i, " ".join(rng.choice(list("ab"), 12))) for i in range(60)]
+    names, stored = [], similarity_join.stored
+    monkeypatch.setattr(similarity_join, "stored", lambda df, name: names.append(name) or stored(df, name))
+    monkeypatch.setattr(similarity_join, "SHORT_LIST", 4)
+    monkeypatch.setattr(similarity_join, "LATE_LIST", 64)
+    got = similarity_join.near_duplicates(spark, spark.createDataFrame(data, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == Counter(plain(data)[0])
+    assert "join-lists-2" in names and "join-lists-4" not in names
