@@ -45,20 +45,31 @@ class Tree:
         return self.nodes.where("level = 0").select("n", "digest")
 
 
-def entries(table: DataFrame, key: Column, value: Column) -> DataFrame:
+def _texts(table: DataFrame, key: Column, value: Column) -> DataFrame:
     text = lambda c, name: F.coalesce(c.cast("string"), F.lit("\\N")).alias(name)
-    return table.select(text(key, "key"), text(value, "value")).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.sha2("key", 256))
+    return table.select(text(key, "key"), text(value, "value"))
+
+
+def entries(table: DataFrame, key: Column, value: Column) -> DataFrame:
+    return _texts(table, key, value).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tree(table: DataFrame, key: Column, value: Column, keep_rows: bool = False, leaf_rows: int = LEAF_ROWS, depth: int | None = None) -> Tree:
-    """The tree of a table's rows (key, value); depth as given, so that two tables share it, or by the number of rows."""
-    rows = entries(table, key, value)
-    rows = cut(rows.withColumn("top", F.substring("h", 1, 2)), "merkle-rows") if not keep_rows else _by_top(rows)
+def tree(table: DataFrame, key: Column, value: Column, keep_rows: bool = False, leaf_rows: int = LEAF_ROWS, depth: int | None = None, repeats: bool = True) -> Tree:
+    """The tree of a table's rows (key, value); depth as given, so that two tables share it, or by the number of rows.
+
+    Hashes are made where they are used and move with no row. Without `repeats` (few rows are equal), rows are counted where
+    their leaf is made, in one shuffle; else equal rows are combined first.
+    """
+    if keep_rows:
+        rows = _by_top(entries(table, key, value).withColumn("h", F.sha2("key", 256)))
+    elif repeats:
+        rows = cut(entries(table, key, value), "merkle-rows")
+    else:
+        rows = _texts(table, key, value).withColumn("n", F.lit(1).cast("long"))
+        rows = cut(rows, "merkle-rows") if depth is None else rows
     if depth is None:
         depth = depth_for(rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n, leaf_rows)
-    line = F.concat_ws("\u001f", "h", "key", "value", "n")
-    name = F.substring("h", 1, depth) if depth else F.lit("")
-    level = rows.groupBy(name.alias("node")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+    level = _leaves(rows.select("key", "value", "n"), depth, combined=keep_rows or repeats)
     nodes = level = cut(level.select(F.lit(depth).alias("level"), "node", "n", "digest"), "merkle-nodes")
     for d in range(depth - 1, -1, -1):
         part = F.concat_ws(":", "node", "digest")  # 16 parts at most
@@ -71,6 +82,16 @@ def tree(table: DataFrame, key: Column, value: Column, keep_rows: bool = False,
     return Tree(nodes, depth, rows if keep_rows else None)
 
 
+def _leaves(rows: DataFrame, depth: int, combined: bool) -> DataFrame:
+    """node, n, digest of rows (key, value, n): one shuffle, by leaf."""
+    h = F.sha2("key", 256)
+    dealt = rows.withColumn("node", F.substring(h, 1, depth) if depth else F.lit("")).repartition("node")
+    if not combined:
+        dealt = dealt.groupBy("node", "key", "value").agg(F.sum("n").alias("n"))
+    line = F.concat_ws("\u001f", h, "key", "value", "n")
+    return dealt.groupBy("node").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+
+
 def _by_top(rows: DataFrame) -> DataFrame:
     """Stored in folders by two digits and sorted by hash, so that a range is read alone."""
     import uuid

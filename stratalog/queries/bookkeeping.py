@@ -69,7 +69,7 @@ def k11_decide_support(m: Model) -> DataFrame:
 def k12_provider_set_hash(m: Model) -> DataFrame:
     """The digest of a set of providers with their versions, whatever order they come in."""
     p = m.table("events").groupBy(F.concat(F.lit("provider."), F.col("user_id").cast("string")).alias("provider")).agg(F.max(F.expr("event_id div 1000")).alias("version"))
-    return merkle.tree(p, F.col("provider"), F.col("version")).root().select(F.col("n").alias("members"), F.col("digest").alias("set_hash"))
+    return merkle.tree(p, F.col("provider"), F.col("version"), repeats=False).root().select(F.col("n").alias("members"), F.col("digest").alias("set_hash"))
 
 
 _OUTCOMES = list(policy.COVERAGE_OF_OUTCOME)
@@ -173,7 +173,7 @@ UNION ALL SELECT 'other', 'snapshot_changed', NULL, NULL, digest FROM mf""", rec
 def l5_page_with_watermark(m: Model) -> DataFrame:
     """A keyset page under the digest of the snapshot that its cursor came from; a cursor of another digest gets no rows."""
     files = m.current_files()
-    digest = lambda df: merkle.tree(df, F.col("file_id"), F.col("content_hash")).root().first().digest
+    digest = lambda df: merkle.tree(df, F.col("file_id"), F.col("content_hash"), repeats=False).root().first().digest
     now, old = digest(files), digest(m.files_at(1))
     page = lambda name, seen: find.watermarked_page(files.select("path", "file_id"), ["path", "file_id"], 200, ("src1/en/5.md", ""), seen, now).select(F.lit(name).alias("request"), "outcome", "path", "file_id", "digest")
     return page("same", now).unionByName(page("other", old))
